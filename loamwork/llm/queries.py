@@ -6,25 +6,51 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import quality
+from .decontaminate import contamination
 from .shared import default_tokenizer
 from .sharding import shard_by_bytes
+from .simhash import fingerprint_components
 from .token_files import read_token_shards, write_token_shards
+from .tokens import token_counts
+from .topk import top_k
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"), default_tokenizer("piece_bpe_32k.model"))
+
+
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), width=10)
+
+
+def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"), k=5)
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_shards(write_token_shards(table(spark, sf_dir, "documents"), default_tokenizer(), end_id=2))
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_components(table(spark, sf_dir, "documents"), k=3)
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_bytes(table(spark, sf_dir, "documents"), shards=40)
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op7_token_files, op9_sharding)}
+    return {f.__name__: f for f in (op1_token_counts, op3_decontamination, op6_top_k, op7_token_files, op8_simhash, op9_sharding, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
