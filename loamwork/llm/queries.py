@@ -5,12 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import quality
 from .decontaminate import contamination
 from .shared import default_tokenizer
 from .sharding import shard_by_bytes
 from .simhash import fingerprint_components
+from .suffixes import remove_repeats
 from .token_files import read_token_shards, write_token_shards
 from .tokens import token_counts
 from .topk import top_k
@@ -24,6 +26,11 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), default_tokenizer("piece_bpe_32k.model"))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), length=200)
+    return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), width=10)
 
@@ -50,7 +57,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op3_decontamination, op6_top_k, op7_token_files, op8_simhash, op9_sharding, op10_quality)}
+    return {f.__name__: f for f in (op1_token_counts, op2_suffix_dedup, op3_decontamination, op6_top_k, op7_token_files, op8_simhash, op9_sharding, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
