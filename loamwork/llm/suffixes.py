@@ -335,8 +335,11 @@ def _repeats(runs: DataFrame, length: int, gram: int) -> DataFrame:
         low[entry], high[entry] = least, most
         low, high = np.repeat(low, count), np.repeat(high, count)
         name, spot = np.concatenate(names), np.concatenate(spots).astype(np.int64)
-        found = pd.DataFrame({"batch": name, "starts": spot - high, "ends": spot + length - low})[low >= 0]
-        return found.groupby("batch", sort=False).agg({"starts": list, "ends": list}).reset_index()
+        rows = np.flatnonzero(low >= 0)
+        rows = rows[np.argsort(name[rows], kind="stable")]
+        start = np.flatnonzero(np.r_[True, name[rows][1:] != name[rows][:-1]]) if len(rows) else np.zeros(0, np.int64)
+        of = lambda x: pd.Series([p.astype(np.int32) for p in np.split(x, start[1:])] if len(rows) else [], dtype=object)
+        return pd.DataFrame({"batch": name[rows][start], "starts": of((spot - high)[rows]), "ends": of((spot + length - low)[rows])})
 
     return runs.groupBy("receiver").applyInPandas(merge, schema("batch long, starts array<int>, ends array<int>"))
 
