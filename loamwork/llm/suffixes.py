@@ -344,12 +344,13 @@ def _repeats(runs: DataFrame, length: int, gram: int) -> DataFrame:
     return runs.groupBy("receiver").applyInPandas(merge, schema("batch long, starts array<int>, ends array<int>"))
 
 
-def remove_repeats(docs: DataFrame, length: int = 200, batch_bytes: int = 1 << 20, common: int = 8192, receiver_entries: int = 60_000) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 200, batch_bytes: int = 1 << 20, common: int = 8192, receiver_entries: int = 60_000, as_text: bool = False) -> DataFrame:
     """All columns of ``docs`` but text, and kept (binary: the bytes left), n_bytes, n_removed, n_spans.
 
     A byte goes if a string of ``length`` bytes that covers it also starts anywhere else in the table, in the same
     document too; strings are judged on the input and never cross documents. Null texts are empty. A repeated row is a
-    repeat of itself. An empty table gives no rows. The four new columns must not be among those of ``docs``.
+    repeat of itself. An empty table gives no rows. The four new columns must not be among those of ``docs``. With
+    ``as_text`` kept is a string, and a character that a cut would split goes with it.
     """
     gram = length * 58 // 100
     packed = _pack_batches(docs.withColumn("text", F.col("text").cast("string")), batch_bytes)
@@ -379,7 +380,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, batch_bytes: int = 1 << 2
                     spans.append(int(np.count_nonzero(g[1:] & ~g[:-1]) + g[0]) if n else 0)
                 raw = zstandard.ZstdDecompressor().decompress(batch.column("rest")[i].as_py())
                 others = pa.ipc.open_stream(raw).read_next_batch()
-                yield pa.RecordBatch.from_arrays([*others.columns, pa.array(kept, pa.binary()), pa.array(ends - starts), pa.array(removed, pa.int64()), pa.array(spans, pa.int64())], [*others.schema.names, "kept", "n_bytes", "n_removed", "n_spans"])
+                yield pa.RecordBatch.from_arrays([*others.columns, pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()) if as_text else pa.array(kept, pa.binary()), pa.array(ends - starts), pa.array(removed, pa.int64()), pa.array(spans, pa.int64())], [*others.schema.names, "kept", "n_bytes", "n_removed", "n_spans"])
 
-    out = T.StructType([*rest.fields, *schema("kept binary, n_bytes long, n_removed long, n_spans long").fields])
+    out = T.StructType([*rest.fields, *schema(f"kept {'string' if as_text else 'binary'}, n_bytes long, n_removed long, n_spans long").fields])
     return packed.join(cover, "batch", "left").mapInArrow(cut, out)
