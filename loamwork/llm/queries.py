@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality
+from . import licenses, quality
 from .decontaminate import contamination
 from .packing import pack
 from .shared import default_tokenizer
@@ -36,6 +36,11 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), width=10)
 
 
+def op4_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return licenses.licence_scan(docs, licenses.train(docs))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), default_tokenizer(), window=4096, end_id=2)
 
@@ -62,7 +67,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_suffix_dedup, op3_decontamination, op5_packing, op6_top_k, op7_token_files, op8_simhash, op9_sharding, op10_quality)}
+    return {f.__name__: f for f in (op1_token_counts, op2_suffix_dedup, op3_decontamination, op4_licence_scan, op5_packing, op6_top_k, op7_token_files, op8_simhash, op9_sharding, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
