@@ -8,7 +8,6 @@ limited.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -197,4 +196,4 @@ def exception_impact(rule_issues: DataFrame, detected: DataFrame) -> DataFrame:
 
 
 def any_finding(*issues: str) -> Column:
-    return reduce(lambda a, b: a | b, [F.exists(FINDINGS, lambda x, i=i: x["issue"] == i) for i in issues])
+    return F.exists(FINDINGS, lambda x: x["issue"].isin(list(issues)))
