@@ -138,23 +138,38 @@ def wide_simhash(text: bytes, segments: int, segment_bits: int) -> tuple[list[in
     return values.tolist(), np.packbits(padded, bitorder="little").view("<i8").tolist()
 
 
-def _wide(texts: DataFrame, segments: int, segment_bits: int) -> DataFrame:
+def _wide(docs: DataFrame, segments: int, segment_bits: int) -> DataFrame:
+    """(doc_id, node, values, bits) of each row; node is a hash of the text, so equal texts are one node."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, text_sizes, 8 << 20):
             found = [wide_simhash(t, segments, segment_bits) for t in rows_of(batch)]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([f[0] for f in found], pa.list_(pa.int64())), pa.array([f[1] for f in found], pa.list_(pa.int64()))], ["node", "values", "bits"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("node"), pa.array([f[0] for f in found], pa.list_(pa.int64())), pa.array([f[1] for f in found], pa.list_(pa.int64()))], ["doc_id", "node", "values", "bits"])
+
+    return _nodes_of(docs).mapInArrow(run, schema("doc_id long, node long, values array<long>, bits array<long>"))
 
-    return texts.select("node", "text").mapInArrow(run, schema("node long, values array<long>, bits array<long>"))
 
+def _nodes_of(docs: DataFrame) -> DataFrame:
+    text = F.coalesce("text", F.lit(""))
+    return id_and_text(docs).select("doc_id", F.xxhash64(text).alias("node"), text.alias("text"))
 
-def _distance(a: str, b: str, longs: int):
+
+def _distance(a: str, b: str, longs: int) -> Column:
     return sum((F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(longs)), F.lit(0))
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, k: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose texts' sets of k-word shingles have at least this Jaccard similarity.
+def _close(pairs: DataFrame, nodes: DataFrame, longs: int, most: int) -> DataFrame:
+    """Distinct pairs (a < b) whose whole fingerprints differ in at most ``most`` bits."""
+    once = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    left = nodes.select(F.col("node").alias("a"), F.col("bits").alias("bits_a"))
+    right = nodes.select(F.col("node").alias("b"), F.col("bits").alias("bits_b"))
+    return once.join(left, "a").join(right, "b").where(_distance("bits_a", "bits_b", longs) <= most).select("a", "b")
+
 
-    The hashed sets are sent as sorted arrays and intersected on the JVM; a pair moves two sets, never a group.
+def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose texts' sets of k-word shingles have at least this Jaccard similarity, written.
+
+    Only texts in a pair are read again, one row of each; their hashed sets are sent, sorted, to where the pair is.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,68 +188,65 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int, similarity: float) ->
                 keep.append(both >= similarity * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sets = materialize(texts.join(asked, "node", "left_semi").select("node", "text").mapInArrow(run, schema("node long, shingles binary")), "simhash-shingles")
+    pairs = materialize(pairs, "simhash-pairs")
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "least"), "node").select(F.col("node").alias("asked"), "least")
+    rows = _nodes_of(docs)
+    one = rows.join(asked, (rows["node"] == asked["asked"]) & rows["doc_id"].eqNullSafe(asked["least"]), "left_semi")
+    sets = materialize(one.select("node", "text").mapInArrow(run, schema("node long, shingles binary")), "simhash-shingles")
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(judge, schema("a long, b long"))
-
+    return materialize(pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(judge, schema("a long, b long")), "simhash-links")
 
-def _probes(wide: DataFrame, segment_bits: int) -> DataFrame:
-    bits = F.filter(F.sequence(F.lit(0), F.lit(segment_bits - 1)), lambda i: _bit("value", i) == 1)
-    ball = F.concat(F.array("value"), F.transform(bits, lambda i: F.col("value") - _power(i)))
-    return wide.select(F.col("node").alias("a"), F.col("bits").alias("bits_a"), F.posexplode("values").alias("part", "value")).select("a", "bits_a", "part", F.explode(ball).alias("value"))
 
-
-def near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8, segments: int = 6, segment_bits: int = 24, max_distance: int = 40, pivots: int = 8, rounds: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8, segments: int = 6, segment_bits: int = 24, max_distance: int = 32, pivots: int = 8, rounds: int = 3) -> DataFrame:
     """doc_id, group_id (smallest doc_id of the group), n_links (verified links of its text, exact copies aside).
 
     Equal texts (null is empty) are one node whatever their number. Texts without words form one group. Candidates share
     a segment up to one bit and differ in at most ``max_distance`` of all bits; links are verified on the shingles. At
     five edits in 200 words (similarity 0.8) a candidate is missed with a chance of about 0.02; see the README.
 
-    A segment value shared by over ``COMMON`` texts is worked off in rounds: its ``pivots`` texts nearest to the majority
-    of bits are compared with all; what is linked leaves it. After ``rounds`` rounds the rest is compared in full.
+    A segment value shared by over ``COMMON`` texts is worked off in rounds: its ``pivots`` most typical texts are
+    compared with all; what is linked leaves it. After ``rounds`` rounds the rest is compared in full.
     """
-    text = F.coalesce("text", F.lit(""))
-    rows = id_and_text(docs).withColumn("text", text).withColumn("node", F.xxhash64("text"))
-    texts = materialize(rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("text").alias("text")), "simhash-texts")
-    wide = materialize(_wide(texts, segments, segment_bits), "simhash-wide")
     longs = -(-segments * segment_bits // 64)
-    flat = wide.select("node", "bits", F.posexplode("values").alias("part", "value"))
-    common = materialize(flat.groupBy("part", "value").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > COMMON).select("part", "value"), "simhash-common")
-    close = (_distance("bits_a", "bits_b", longs) <= max_distance) & (F.col("a") != F.col("b"))
-    rare = flat.join(common, ["part", "value"], "left_anti").select(F.col("node").alias("b"), F.col("bits").alias("bits_b"), "part", "value")
-    found = _probes(wide, segment_bits).join(rare, ["part", "value"]).where(close).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    links = materialize(_verified(found, texts, k, similarity), "simhash-links")
-    waiting = materialize(_probes(wide, segment_bits).join(common, ["part", "value"], "left_semi"), "simhash-waiting")
+    wide = materialize(_wide(docs, segments, segment_bits), "simhash-wide")
+    nodes = materialize(wide.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("values").alias("values"), F.first("bits").alias("bits")), "simhash-nodes")
+    # a segment's number and value in one long
+    keyed = nodes.select("node", F.posexplode("values").alias("part", "value")).select("node", "value", (F.col("part").cast("long") * (1 << 48)).alias("base"))
+    flat = keyed.select("node", (F.col("base") + F.col("value")).alias("key"))
+    bits = F.filter(F.sequence(F.lit(0), F.lit(segment_bits - 1)), lambda i: _bit("value", i) == 1)
+    ball = F.concat(F.array("value"), F.transform(bits, lambda i: F.col("value") - _power(i)))
+    probes = keyed.select(F.col("node").alias("a"), "base", F.explode(ball).alias("value")).select("a", (F.col("base") + F.col("value")).alias("key"))
+    common = materialize(flat.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > COMMON).select("key"), "simhash-common")
+    rare = flat.join(common, "key", "left_anti").withColumnRenamed("node", "b")
+    links = _verified(_close(probes.join(rare, "key").select("a", "b"), nodes, longs, max_distance), docs, nodes, k, similarity)
+    own = flat.join(common, "key", "left_semi").groupBy(F.col("node").alias("a")).agg(F.count(F.lit(1)).alias("own"))
+    waiting = probes.join(common, "key", "left_semi").join(own, "a", "left").join(nodes.select(F.col("node").alias("a"), F.col("bits").alias("bits_a")), "a")
+    waiting = materialize(waiting.withColumn("own", F.coalesce("own", F.lit(0))), "simhash-waiting")
     for turn in range(rounds + 1):
         if waiting.isEmpty():
             break
-        middle = _pivots(waiting, longs, pivots * 4**turn if turn < rounds else 1 << 30)
-        met = waiting.join(middle, ["part", "value"]).where(close).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        more = materialize(_verified(met, texts, k, similarity), "simhash-links")
+        middle = materialize(_pivots(waiting, pivots * 4**turn if turn < rounds else 1 << 30), "simhash-pivots")
+        met = waiting.join(middle, "key").where(_distance("bits_a", "bits_b", longs) <= max_distance).select("a", "b")
+        more = _verified(_close(met, nodes, longs, max_distance), docs, nodes, k, similarity)
         links = links.union(more)
         done = more.select(F.explode(F.array("a", "b")).alias("a")).union(middle.select(F.col("b").alias("a"))).distinct()
-        left = materialize(waiting.join(done, "a", "left_anti"), "simhash-waiting")
-        enough = left.groupBy("part", "value").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("part", "value")
-        waiting = left.join(enough, ["part", "value"], "left_semi")
+        left = waiting.join(done, "a", "left_anti")
+        enough = left.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("key")
+        waiting = materialize(left.join(enough, "key", "left_semi"), "simhash-waiting")
     links = materialize(links.distinct(), "simhash-links")
-    roots = connected_components(texts.select("node"), links)
+    roots = connected_components(nodes.select("node"), links)
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
-    members = texts.select("node", "least").join(roots, "node").join(degree, "node", "left")
+    members = nodes.select("node", "least").join(roots, "node").join(degree, "node", "left")
     whole = members.groupBy("root").agg(F.min("least").alias("group_id"))
     named = members.join(whole, "root").select("node", "group_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    return rows.select("doc_id", "node").join(named, "node").select("doc_id", "group_id", "n_links")
-
-
-def _pivots(waiting: DataFrame, longs: int, many: int) -> DataFrame:
-    """For each common value the ``many`` texts nearest to its bitwise majority, as (part, value, b, bits_b)."""
-    each = ["part", "value"]
-    ones = [F.sum(F.shiftrightunsigned(F.col("bits_a")[i], j).bitwiseAND(F.lit(1))).alias(f"s{i}_{j}") for i in range(longs) for j in range(64)]
-    sums = waiting.groupBy(*each).agg(F.count(F.lit(1)).alias("n"), *ones)
-    word = [sum((F.when(F.col(f"s{i}_{j}") * 2 > F.col("n"), F.shiftleft(F.lit(1).cast("long"), j)).otherwise(F.lit(0).cast("long")).alias("x") for j in range(1, 64)), F.when(F.col(f"s{i}_0") * 2 > F.col("n"), F.lit(1).cast("long")).otherwise(F.lit(0).cast("long"))) for i in range(longs)]
-    centre = sums.select(*each, F.array(*word).alias("bits_b"))
-    far = waiting.join(centre, each).select(*each, "a", "bits_a", _distance("bits_a", "bits_b", longs).alias("far"))
-    nearest = F.row_number().over(Window.partitionBy(*each).orderBy("far", "a"))
-    return far.withColumn("place", nearest).where(F.col("place") <= many).select(*each, F.col("a").alias("b"), F.col("bits_a").alias("bits_b"))
+    return wide.select("doc_id", "node").join(named, "node").select("doc_id", "group_id", "n_links")
+
+
+def _pivots(waiting: DataFrame, many: int) -> DataFrame:
+    """For each common value the ``many`` texts that have the most common values themselves, as (key, b, bits_b).
+
+    In a group of copies of one text, that text's own values are the common ones; an edited copy has lost some.
+    """
+    place = F.row_number().over(Window.partitionBy("key").orderBy(F.col("own").desc(), "a"))
+    return waiting.withColumn("place", place).where(F.col("place") <= many).select("key", F.col("a").alias("b"), F.col("bits_a").alias("bits_b"))

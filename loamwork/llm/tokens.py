@@ -35,7 +35,7 @@ def piece_file_vocabulary(path: str) -> tuple[list[tuple[str, float]], int]:
 class PieceCounter:
     """Counts of pieces for words, under one vocabulary. ``keep`` bounds the remembered words."""
 
-    def __init__(self, vocabulary: Iterable[tuple[str, float]], unk_id: int, byte_fallback: bool = True, keep: int = 800_000):
+    def __init__(self, vocabulary: Iterable[tuple[str, float]], unk_id: int, byte_fallback: bool = True, keep: int = 600_000):
         import ahocorasick
 
         vocabulary = list(vocabulary)
