@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -143,8 +144,6 @@ def fuzzy_matches(left: DataFrame, right: DataFrame, threshold: float) -> DataFr
 
 
 def _ratio():
-    import pandas as pd
-
     @F.pandas_udf("double")
     def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
         from difflib import SequenceMatcher
