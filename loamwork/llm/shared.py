@@ -82,7 +82,7 @@ class WordTokenizer:
     in the text could compose with them. Plain lower-case Latin words skip the normalizer, which leaves them as they are.
     """
 
-    def __init__(self, path: str, keep: int = 450_000):
+    def __init__(self, path: str, keep: int = 300_000):
         from tokenizers import Tokenizer
 
         self.full = Tokenizer.from_file(path)
