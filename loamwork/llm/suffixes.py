@@ -24,7 +24,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -186,18 +186,34 @@ def _open(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndar
 
 
 def _candidates(packed: DataFrame, length: int, gram: int, common: int) -> DataFrame:
-    """(batch, cands array<struct<pos, hash, hot>>): chosen positions whose gram occurs again."""
+    """(batch, cands array<struct<pos, more, hash, hot>>): chosen positions whose gram occurs again.
+
+    A gram is one row for each batch, with its first position and, packed, the others (a text that repeats one word has
+    thousands), so a batch adds one row at most to a common gram.
+    """
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, name, buf, starts, ends in _open(batch):
                 at, h = chosen_positions(buf, starts, ends, length, gram)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.full(len(at), name, np.int64)), pa.array(at.astype(np.int32))], ["hash", "batch", "pos"])
+                order = np.argsort(h, kind="stable")
+                at, h = at[order].astype("<i4"), h[order]
+                first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.zeros(0, np.int64)
+                size = np.diff(np.r_[first, len(h)])
+                more: list[bytes | None] = [None] * len(first)
+                for i in np.flatnonzero(size > 1).tolist():
+                    more[i] = at[first[i] + 1 : first[i] + size[i]].tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array(h[first].view(np.int64)), pa.array(np.full(len(first), name, np.int64)), pa.array(at[first].astype(np.int32)), pa.array(more, pa.binary())], ["hash", "batch", "pos", "more"])
+
+    spots = materialize(packed.select("batch", "lengths", "blob").mapInArrow(choose, schema("hash long, batch long, pos int, more binary")), "suffix-positions")
+    places = F.lit(1) + F.coalesce(F.octet_length("more") / 4, F.lit(0)).cast("int")
+    again = spots.groupBy("hash").agg(F.sum(places).alias("n")).where("n > 1").select("hash", (F.col("n") > common).alias("hot"))
+    kept = spots.join(again, "hash").select("batch", F.struct("pos", "more", "hash", "hot").alias("c"))
+    return materialize(kept.groupBy("batch").agg(F.collect_list("c").alias("cands"), F.sum(places_of("c")).alias("places")), "suffix-candidates")
+
 
-    spots = materialize(packed.select("batch", "lengths", "blob").mapInArrow(choose, schema("hash long, batch long, pos int")), "suffix-positions")
-    again = spots.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash", (F.col("n") > common).alias("hot"))
-    kept = spots.join(again, "hash").select("batch", F.struct("pos", "hash", "hot").alias("c"))
-    return materialize(kept.groupBy("batch").agg(F.collect_list("c").alias("cands")), "suffix-candidates")
+def places_of(struct: str) -> Column:
+    return F.lit(1) + F.coalesce(F.octet_length(F.col(f"{struct}.more")) / 4, F.lit(0)).cast("int")
 
 
 def _sorted_runs(packed: DataFrame, cands: DataFrame, length: int, gram: int, receivers: int, run_entries: int = 60_000) -> DataFrame:
@@ -212,10 +228,12 @@ def _sorted_runs(packed: DataFrame, cands: DataFrame, length: int, gram: int, re
             for i, name, buf, starts, ends in _open(batch):
                 text = buf.tobytes()
                 found = batch.column("cands")[i].values
-                at = found.field("pos").to_numpy().astype(np.int64)
+                lists = [(np.r_[p, np.frombuffer(m, "<i4")] if m else np.array([p])).astype(np.int64) for p, m in zip(found.field("pos").to_pylist(), found.field("more").to_pylist())]
+                sizes, at = [len(x) for x in lists], np.concatenate(lists)
+                grams, hots = np.repeat(found.field("hash").to_numpy(), sizes), np.repeat(found.field("hot").to_numpy(zero_copy_only=False), sizes)
                 doc = np.searchsorted(ends, at, "right")
                 alone: set[int] = set()  # windows of common grams; one may hold several of those
-                for q, h, hot, lo, hi in zip(at.tolist(), found.field("hash").to_pylist(), found.field("hot").to_pylist(), starts[doc].tolist(), ends[doc].tolist()):
+                for q, h, hot, lo, hi in zip(at.tolist(), grams.tolist(), hots.tolist(), starts[doc].tolist(), ends[doc].tolist()):
                     if hot:
                         alone.update(range(max(lo, q - before), min(q, hi - length) + 1))
                     else:
@@ -355,7 +373,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, batch_bytes: int = 1 << 2
     gram = length * 58 // 100
     packed = _pack_batches(docs.withColumn("text", F.col("text").cast("string")), batch_bytes)
     cands = _candidates(packed, length, gram, common)
-    entries = cands.agg(F.coalesce(F.sum(F.size("cands")), F.lit(0))).first()[0]
+    entries = cands.agg(F.coalesce(F.sum("places"), F.lit(0))).first()[0]
     receivers = max(shuffle_partitions(docs.sparkSession), entries // receiver_entries)
     spans = _repeats(_sorted_runs(packed, cands, length, gram, receivers), length, gram)
     cover = materialize(spans.groupBy("batch").agg(F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("ends")).alias("ends")), "suffix-spans")
