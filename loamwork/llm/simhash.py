@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import id_and_text, materialize, pieces, rows_of, schema, text_sizes
+from .shared import bounded, id_and_text, materialize, pieces, rows_of, schema, text_sizes
 
 SEED = 42
 #: A segment value that more fingerprints share than this is handled by the way for common values.
@@ -190,6 +190,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, simil
 
     pairs = materialize(pairs, "simhash-pairs")
     asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "least"), "node").select(F.col("node").alias("asked"), "least")
+    asked = bounded(materialize(asked, "simhash-asked"))
     rows = _nodes_of(docs)
     one = rows.join(asked, (rows["node"] == asked["asked"]) & rows["doc_id"].eqNullSafe(asked["least"]), "left_semi")
     sets = materialize(one.select("node", "text").mapInArrow(run, schema("node long, shingles binary")), "simhash-shingles")
