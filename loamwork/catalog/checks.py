@@ -276,3 +276,77 @@ def extract_rules(documents):
     sentences = counts.select(text.alias("text"))
     found = rules.extract_rules(sentences, [f"{n}." for n in names])
     return found.withColumn("field", F.expr("substring(field, 1, length(field) - 1)"))
+
+
+@query("orders", sql=f"""
+SELECT o_orderkey, 'ANN-' || substring(sha256(o_orderkey || chr(31) || 'status' || chr(31) || 'status_not_allowed'), 1, 12) AS task_id, 'value' AS category, 'confirm' AS action, 'pending' AS status FROM orders WHERE {_S}""")
+def review_tasks(orders):
+    return audit.review_tasks(ruled(orders), ["o_orderkey"]).where("field = 'status'").select("o_orderkey", "task_id", "category", "action", "status")
+
+
+@query("orders", sql=f"""
+SELECT 'missing' AS category, 'error' AS severity, 'pending' AS status, count(*) AS tasks FROM orders WHERE {_C} UNION ALL SELECT 'value', 'error', 'pending', count(*) FROM orders WHERE {_A}
+UNION ALL SELECT 'value', 'warn', 'pending', count(*) FROM orders WHERE {_S} UNION ALL SELECT 'date', 'warn', 'pending', count(*) FROM orders WHERE {_D}""")
+def task_summary(orders):
+    return audit.task_summary(audit.review_tasks(ruled(orders), ["o_orderkey"]))
+
+
+@query("orders", sql=f"""
+SELECT 'all rows' AS item, count(*) AS rows FROM orders UNION ALL SELECT 'usable', count(*) FROM orders WHERE NOT ({_C} OR {_A}) UNION ALL SELECT 'to review', count(*) FROM orders WHERE {_C} OR {_A}
+UNION ALL SELECT reason, count(*) FROM (SELECT unnest(string_split({_REASONS}, ';')) AS reason FROM orders) WHERE reason <> '' GROUP BY 1""")
+def business_summary(orders):
+    return audit.business_summary(ruled(orders))
+
+
+@query("orders", sql=f"SELECT 'delivered' AS part, count(*) AS rows FROM orders WHERE NOT ({_C} OR {_A}) UNION ALL SELECT 'withheld', count(*) FROM orders WHERE {_C} OR {_A} UNION ALL SELECT 'problems', count(*) FROM orders WHERE {_C} OR {_A} OR {_S} OR {_D}")
+def delivery_views(orders):
+    parts = audit.delivery(ruled(orders))
+    each = [df.agg(F.lit(n).alias("part"), F.count(F.lit(1)).alias("rows")) for n, df in parts.items()]
+    return each[0].union(each[1]).union(each[2])
+
+
+@query("orders", sql=f"SELECT o_orderkey, {_D} AS found FROM orders WHERE {_D}")
+def flagged_in_scope(orders):
+    return rules.flagged(ruled(orders), ["date"]).select("o_orderkey", F.lit(True).alias("found"))
+
+
+@query("lineitem", sql="SELECT l_quantity, l_extendedprice FROM (SELECT * FROM lineitem WHERE l_linenumber % 3 > 0 ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey LIMIT 200)")
+def scatter_points(lineitem):
+    q = F.when(F.col("l_linenumber") % 3 > 0, F.col("l_quantity")).alias("l_quantity")
+    return analysis.scatter_points(lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", q, "l_extendedprice"), "l_quantity", "l_extendedprice", ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"])
+
+
+@query("orders", sql=f"""
+SELECT 'missing' AS topic, 'o_custkey is missing in ' || count(*) || ' rows' AS finding FROM orders WHERE {_C} UNION ALL SELECT 'status', o_orderstatus || ': ' || count(*) || ' rows' FROM orders GROUP BY o_orderstatus
+UNION ALL SELECT 'exceptions', reason || ': ' || count(*) || ' rows' FROM (SELECT unnest(string_split({_REASONS}, ';')) AS reason FROM orders) WHERE reason <> '' GROUP BY reason""")
+def finding_sentences(orders):
+    out = analysis.findings(analysis.status_distribution(orders, "o_orderstatus"), analysis.missing_rates(bad_orders(orders), ["o_custkey"]), analysis.exception_distribution(ruled(orders)))
+    return out.withColumn("finding", F.regexp_replace("finding", r" \([0-9.]+ %\)$", ""))
+
+
+@query("orders", "customer", sql="SELECT 'o.custkey -> c.custkey' AS relationship, count(DISTINCT o_custkey) AS left_keys, count(DISTINCT o_custkey) AS matched_keys, 1.0::DOUBLE AS match_rate FROM orders UNION ALL SELECT 'c.custkey -> o.custkey', count(*), count(n), round(count(n) / count(*), 4) FROM (SELECT c_custkey, n FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) ON c_custkey = o_custkey)")
+def match_rates(orders, customer):
+    return analysis.match_rates(profile.relationships({"o": orders.select(F.col("o_custkey").alias("custkey")), "c": customer.select(F.col("c_custkey").alias("custkey"))}))
+
+
+@query("orders", sql="SELECT o_orderkey FROM orders WHERE o_orderkey % 23 > 2")
+def non_record_rows(orders):
+    from ..functions.predicates import non_record_row
+
+    k = F.col("o_orderkey") % 23
+    t = orders.select("o_orderkey", F.when(k == 0, F.lit(None)).when(k == 1, "Status").when(k == 2, "合计").otherwise(F.col("o_orderstatus")).alias("status"), F.when(k == 1, "amount").when(k == 2, "12").when(k > 3, "5").alias("amount"))
+    return t.where(~non_record_row(["status", "amount"])).select("o_orderkey")
+
+
+@query("orders", sql="SELECT count(DISTINCT o_custkey) AS records FROM orders")
+def record_count(orders):
+    from ..operators.summarize import record_count as count
+
+    return count(orders.select(F.col("o_custkey").alias("_row_id")))
+
+
+@query("orders", sql="SELECT o_orderkey FROM orders WHERE o_totalprice > 300000")
+def removed_rows(orders):
+    from ..operators.reshape import removed_rows as removed
+
+    return removed(orders, orders.where("o_totalprice <= 300000"), ["o_orderkey"]).select("o_orderkey")
