@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import normalize_key, parse_business_number, strip, text, to_number
+from ..functions.text import normalize_key, strip, text, to_number
 from .rows import order_of
 from .summarize import Metric, metric_column
 
