@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialize
+from .shared import discard, materialize
 
 
 def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -22,7 +22,8 @@ def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 6
         if tuple(mark) == seen or not mark[0]:
             break
         seen = tuple(mark)
-        now = materialize(_small_star(_large_star(now)), "components")
+        before, now = now, materialize(_small_star(_large_star(now)), "components")
+        discard(before)
     hung = now.groupBy("a").agg(F.min("b").alias("root"))
     return nodes.join(hung, nodes["node"] == hung["a"], "left").select("node", F.coalesce("root", "node").alias("root"))
 

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import bounded, id_and_text, materialize, pieces, rows_of, schema, text_sizes
+from .shared import bounded, discard, id_and_text, materialize, pieces, rows_of, schema, text_sizes
 
 SEED = 42
 #: A segment value that more fingerprints share than this is handled by the way for common values.
@@ -190,13 +190,15 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, simil
 
     pairs = materialize(pairs, "simhash-pairs")
     asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "least"), "node").select(F.col("node").alias("asked"), "least")
-    asked = bounded(materialize(asked, "simhash-asked"))
+    asked = materialize(asked, "simhash-asked")
     rows = _nodes_of(docs)
-    one = rows.join(asked, (rows["node"] == asked["asked"]) & rows["doc_id"].eqNullSafe(asked["least"]), "left_semi")
+    one = rows.join(bounded(asked), (rows["node"] == asked["asked"]) & rows["doc_id"].eqNullSafe(asked["least"]), "left_semi")
     sets = materialize(one.select("node", "text").mapInArrow(run, schema("node long, shingles binary")), "simhash-shingles")
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
-    return materialize(pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(judge, schema("a long, b long")), "simhash-links")
+    linked = materialize(pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(judge, schema("a long, b long")), "simhash-links")
+    discard(pairs, asked, sets)
+    return linked
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8, segments: int = 6, segment_bits: int = 24, max_distance: int = 32, pivots: int = 8, rounds: int = 3) -> DataFrame:
@@ -234,7 +236,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8, segmen
         done = more.select(F.explode(F.array("a", "b")).alias("a")).union(middle.select(F.col("b").alias("a"))).distinct()
         left = waiting.join(done, "a", "left_anti")
         enough = left.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("key")
-        waiting = materialize(left.join(enough, "key", "left_semi"), "simhash-waiting")
+        before, waiting = waiting, materialize(left.join(enough, "key", "left_semi"), "simhash-waiting")
+        discard(before, middle)
     links = materialize(links.distinct(), "simhash-links")
     roots = connected_components(nodes.select("node"), links)
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))

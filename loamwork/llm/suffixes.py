@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import materialize, pieces, rows_of, schema, shuffle_partitions, text_sizes
+from .shared import discard, materialize, pieces, rows_of, schema, shuffle_partitions, text_sizes
 
 _BASE = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
@@ -209,7 +209,9 @@ def _candidates(packed: DataFrame, length: int, gram: int, common: int) -> DataF
     places = F.lit(1) + F.coalesce(F.octet_length("more") / 4, F.lit(0)).cast("int")
     again = spots.groupBy("hash").agg(F.sum(places).alias("n")).where("n > 1").select("hash", (F.col("n") > common).alias("hot"))
     kept = spots.join(again, "hash").select("batch", F.struct("pos", "more", "hash", "hot").alias("c"))
-    return materialize(kept.groupBy("batch").agg(F.collect_list("c").alias("cands"), F.sum(places_of("c")).alias("places")), "suffix-candidates")
+    found = materialize(kept.groupBy("batch").agg(F.collect_list("c").alias("cands"), F.sum(places_of("c")).alias("places")), "suffix-candidates")
+    discard(spots)
+    return found
 
 
 def places_of(struct: str) -> Column:
@@ -377,6 +379,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, batch_bytes: int = 1 << 2
     receivers = max(shuffle_partitions(docs.sparkSession), entries // receiver_entries)
     spans = _repeats(_sorted_runs(packed, cands, length, gram, receivers), length, gram)
     cover = materialize(spans.groupBy("batch").agg(F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("ends")).alias("ends")), "suffix-spans")
+    discard(cands)
     rest = T.StructType([f for f in docs.schema.fields if f.name != "text"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
