@@ -11,6 +11,7 @@ tasks, so only postings that the block can ask for are stored.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import reduce
 
@@ -21,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import id_and_text, materialize, pieces, rows_of, schema, text_sizes
+from .shared import id_and_text, materialize, pieces, rows_of, schema, text_sizes, tidy
 
 #: Bytes that end a word: all of ASCII but digits and letters. Upper case is folded.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -64,7 +65,7 @@ def proximity_positions(postings: dict[bytes, np.ndarray], terms: Iterable[bytes
     return found
 
 
-def build_index(docs: DataFrame, terms: set[bytes] | None = None, shard_bytes: int = 16 << 20) -> tuple[DataFrame, DataFrame]:
+def build_index(docs: DataFrame, terms: set[bytes] | None = None, shard_bytes: int = 8 << 20) -> tuple[DataFrame, DataFrame]:
     """(postings, documents) of ``docs``, both written.
 
     postings: shard, term, positions (u32 differences). documents: shard, doc_ids, starts (the position of each
@@ -72,27 +73,28 @@ def build_index(docs: DataFrame, terms: set[bytes] | None = None, shard_bytes: i
     With ``terms`` only their postings are kept.
     """
 
+    @tidy
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seq = TaskContext.get().partitionId(), 0
         for batch in pieces(batches, text_sizes, shard_bytes):
-            texts = [words_of(t) for t in rows_of(batch)]
-            counts = np.fromiter(map(len, texts), np.int64, len(texts))
-            starts = np.cumsum(counts + 1) - counts - 1
-            lists: dict[bytes, list[int]] = {} if terms is None else {t: [] for t in terms}
-            for start, words in zip(starts.tolist(), texts):
-                if terms is None:
-                    for i, w in enumerate(words, start):
-                        lists.setdefault(w, []).append(i)
-                else:
-                    for i, w in enumerate(words, start):
-                        if w in lists:
-                            lists[w].append(i)
-            kept = [(t, np.diff(np.array(p, np.int64), prepend=0).astype("<u4").tobytes()) for t, p in lists.items() if p]
+            lists: dict[bytes, array] = {} if terms is None else {t: array("q") for t in terms}
+            starts, counts, start = [], [], 0
+            for t in rows_of(batch):
+                words = words_of(t)
+                for i, w in enumerate(words, start):
+                    if w in lists:
+                        lists[w].append(i)
+                    elif terms is None:
+                        lists[w] = array("q", [i])
+                starts.append(start)
+                counts.append(len(words))
+                start += len(words) + 1
+            kept = [(t, np.diff(np.frombuffer(p, np.int64), prepend=0).astype("<u4").tobytes()) for t, p in lists.items() if p]
             names = batch.column("doc_id").to_pylist()
             shard, seq = (part << 32) + seq, seq + 1
             n = len(kept)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([shard] * (n + 1), pa.int64()), pa.array([None, *(k[0] for k in kept)], pa.binary()), pa.array([None, *(k[1] for k in kept)], pa.binary()), pa.array([names] + [None] * n, pa.list_(pa.int64())), pa.array([starts.tolist()] + [None] * n, pa.list_(pa.int64())), pa.array([counts.tolist()] + [None] * n, pa.list_(pa.int64()))],
+                [pa.array([shard] * (n + 1), pa.int64()), pa.array([None, *(k[0] for k in kept)], pa.binary()), pa.array([None, *(k[1] for k in kept)], pa.binary()), pa.array([names] + [None] * n, pa.list_(pa.int64())), pa.array([starts] + [None] * n, pa.list_(pa.int64())), pa.array([counts] + [None] * n, pa.list_(pa.int64()))],
                 ["shard", "term", "positions", "doc_ids", "starts", "n_words"],
             )
 

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import bounded, discard, id_and_text, materialize, pieces, rows_of, schema, text_sizes
+from .shared import bounded, discard, id_and_text, materialize, pieces, rows_of, schema, text_sizes, tidy
 
 SEED = 42
 #: A segment value that more fingerprints share than this is handled by the way for common values.
@@ -71,6 +71,7 @@ def simhash64(text: bytes, k: int = 3) -> int:
 def fingerprints(docs: DataFrame, k: int = 3) -> DataFrame:
     """doc_id and its fingerprint as a long (two's complement), a row for each row of ``docs``; null texts have no words."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, text_sizes, 8 << 20):
             found = np.array([simhash64(t, k) for t in rows_of(batch)], dtype=np.uint64).view(np.int64)
@@ -141,6 +142,7 @@ def wide_simhash(text: bytes, segments: int, segment_bits: int) -> tuple[list[in
 def _wide(docs: DataFrame, segments: int, segment_bits: int) -> DataFrame:
     """(doc_id, node, values, bits) of each row; node is a hash of the text, so equal texts are one node."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, text_sizes, 8 << 20):
             found = [wide_simhash(t, segments, segment_bits) for t in rows_of(batch)]
@@ -172,6 +174,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, simil
     Only texts in a pair are read again, one row of each; their hashed sets are sent, sorted, to where the pair is.
     """
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
@@ -179,6 +182,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, simil
             sets = [np.unique(np.array([xxhash.xxh3_64_intdigest(s) for s in word_shingles(t, k)], np.uint64)).tobytes() for t in rows_of(batch)]
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.binary())], ["node", "shingles"])
 
+    @tidy
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []

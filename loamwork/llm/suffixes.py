@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import discard, materialize, pieces, rows_of, schema, shuffle_partitions, text_sizes
+from .shared import discard, give_back, materialize, pieces, rows_of, schema, shuffle_partitions, text_sizes, tidy
 
 _BASE = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
@@ -159,6 +159,7 @@ def merge_runs(runs: list[Iterator[tuple[bytes, int, object]]]) -> Iterator[tupl
 def _pack_batches(docs: DataFrame, batch_bytes: int) -> DataFrame:
     """Written rows (batch, rest, lengths, blob): texts of about ``batch_bytes`` together, compressed; rest: all other columns."""
 
+    @tidy
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
@@ -192,6 +193,7 @@ def _candidates(packed: DataFrame, length: int, gram: int, common: int) -> DataF
     thousands), so a batch adds one row at most to a common gram.
     """
 
+    @tidy
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, name, buf, starts, ends in _open(batch):
@@ -218,10 +220,11 @@ def places_of(struct: str) -> Column:
     return F.lit(1) + F.coalesce(F.octet_length(F.col(f"{struct}.more")) / 4, F.lit(0)).cast("int")
 
 
-def _sorted_runs(packed: DataFrame, cands: DataFrame, length: int, gram: int, receivers: int, run_entries: int = 60_000) -> DataFrame:
+def _sorted_runs(packed: DataFrame, cands: DataFrame, length: int, gram: int, receivers: int, run_entries: int = 30_000) -> DataFrame:
     """Front-coded sorted runs of the candidates' suffixes, a row for each run and receiver."""
     before = length - gram
 
+    @tidy
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
@@ -359,12 +362,13 @@ def _repeats(runs: DataFrame, length: int, gram: int) -> DataFrame:
         rows = rows[np.argsort(name[rows], kind="stable")]
         start = np.flatnonzero(np.r_[True, name[rows][1:] != name[rows][:-1]]) if len(rows) else np.zeros(0, np.int64)
         of = lambda x: pd.Series([p.astype(np.int32) for p in np.split(x, start[1:])] if len(rows) else [], dtype=object)
+        give_back()
         return pd.DataFrame({"batch": name[rows][start], "starts": of((spot - high)[rows]), "ends": of((spot + length - low)[rows])})
 
     return runs.groupBy("receiver").applyInPandas(merge, schema("batch long, starts array<int>, ends array<int>"))
 
 
-def remove_repeats(docs: DataFrame, length: int = 200, batch_bytes: int = 1 << 20, common: int = 8192, receiver_entries: int = 60_000, as_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 200, batch_bytes: int = 1 << 19, common: int = 8192, receiver_entries: int = 40_000, as_text: bool = False) -> DataFrame:
     """All columns of ``docs`` but text, and kept (binary: the bytes left), n_bytes, n_removed, n_spans.
 
     A byte goes if a string of ``length`` bytes that covers it also starts anywhere else in the table, in the same
@@ -382,6 +386,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, batch_bytes: int = 1 << 2
     discard(cands)
     rest = T.StructType([f for f in docs.schema.fields if f.name != "text"])
 
+    @tidy
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 

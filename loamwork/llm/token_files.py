@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import id_and_text, materialize, pieces, rows_of, schema, shuffle_partitions, text_sizes, word_tokenizer
+from .shared import id_and_text, materialize, pieces, rows_of, schema, shuffle_partitions, text_sizes, tidy, word_tokenizer
 
 MAGIC = b"LMWSHD01"
 SAMPLE = 64
@@ -114,6 +114,7 @@ def write_token_shards(docs: DataFrame, tokenizer: str, end_id: int = 2, shard_i
     """
     width_limit = shard_ids * 4  # a byte of text gives an id at most, four of a wide one
 
+    @tidy
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok, part = word_tokenizer(tokenizer), TaskContext.get().partitionId()
         width = 2 if tok.code == "H" else 4
@@ -148,6 +149,7 @@ def read_token_shards(shards: DataFrame) -> DataFrame:
     Only the ids of each part are summed on the driver: as many numbers as there are range partitions.
     """
 
+    @tidy
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for base, names, image in zip(batch.column("base").to_pylist(), batch.column("doc_ids").to_pylist(), batch.column("image")):

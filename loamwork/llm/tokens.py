@@ -18,7 +18,7 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .shared import id_and_text, pieces, rows_of, schema, text_sizes
+from .shared import id_and_text, pieces, rows_of, schema, text_sizes, tidy
 
 MARKER = "▁"
 UNKNOWN_PENALTY = 10.0
@@ -105,15 +105,20 @@ def token_counts(docs: DataFrame, piece_file: str) -> DataFrame:
     A null or empty text has no tokens. ``piece_file`` is a sentencepiece file. No row leaves its task.
     """
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if piece_file not in _counters:
             _counters[piece_file] = PieceCounter(*piece_file_vocabulary(piece_file))
         counter = _counters[piece_file]
         for batch in pieces(batches, text_sizes, 8 << 20):
             texts = rows_of(batch)
-            words = [t.decode("utf-8", "replace").split() for t in texts]
+            n_words, n_tokens = [], []
+            for t in texts:
+                words = t.decode("utf-8", "replace").split()
+                n_words.append(len(words))
+                n_tokens.append(counter.of_words(words))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([len(t) for t in texts], pa.int64()), pa.array([len(w) for w in words], pa.int64()), pa.array([counter.of_words(w) for w in words], pa.int64())],
+                [batch.column("doc_id"), pa.array([len(t) for t in texts], pa.int64()), pa.array(n_words, pa.int64()), pa.array(n_tokens, pa.int64())],
                 ["doc_id", "n_bytes", "n_words", "n_tokens"],
             )
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import materialize, schema
+from .shared import materialize, schema, tidy
 
 #: Components are floor(SCALE * x).
 SCALE = 256
@@ -101,6 +101,7 @@ def _kth_scores(rows: DataFrame, ids: np.ndarray, q: np.ndarray, k: int, bins: i
         step = np.maximum(1, -(-(hi - lo + 1) // bins))
         sent = spark.sparkContext.broadcast((ids, q, lo, hi, step))
 
+        @tidy
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids, q, lo, hi, step = sent.value
             total = np.zeros((len(ids), bins), np.int64)
@@ -137,6 +138,7 @@ def _from(rows: DataFrame, ids: np.ndarray, q: np.ndarray, kth: np.ndarray, k: i
     """Scores from the k-th on: of each task, k rows a query at most, ties by id."""
     sent = rows.sparkSession.sparkContext.broadcast((ids, q, kth))
 
+    @tidy
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, q, kth = sent.value
         best = [np.zeros(0, np.int64)] * 3
