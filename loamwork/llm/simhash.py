@@ -5,20 +5,26 @@ Two uses:
 * ``fingerprint_components``: 64-bit fingerprints of k-word shingles, linked at ``radius`` (2) or fewer differing bits, and
   their connected components. Exact.
 * ``near_duplicates``: groups of texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more. Such
-  texts differ in far more than two bits of 64, so the fingerprints here are wider (``segments`` times ``segment_bits``
-  bits, over distinct words), and candidates are verified on the shingles themselves.
+  texts differ in far more than two bits, and no fingerprint of fixed width finds all of them, so candidates come from
+  the shingles themselves. Exact.
 
-Both cut a fingerprint into segments, enumerate the Hamming ball of radius 1 within each, fetch what the table of that
-segment holds there, and verify the complete distance. Two values that differ in one bit are met from one side only:
-the one that has the bit set looks for the other.
+The first cuts a fingerprint into segments, enumerates the Hamming ball of radius 1 within each, fetches what the table
+of that segment holds there, and verifies the complete distance. Two values that differ in one bit are met from one side
+only: the one that has the bit set looks for the other.
 
-Very common segment values (groups of near copies share them) would give all pairs of a group. They are handled apart:
-for the exact use by the fingerprints' own radius-1 balls, whose centres any two fingerprints within 2 bits share, which
-links a group of n with at most 65 n rows; for the wide use by linking members to a few central ones, in rounds.
+The second is a prefix filter: with all shingles in one fixed order, two sets of similarity s share one of the first
+n - ceil(s n) + 1 shingles of each (n its size). Shingles that are frequent in a sample come last in that order, which
+any order may: it only keeps boilerplate out of the prefixes. What meets is thinned by bounds that lose nothing: the
+sizes, and sketches of the parity of shingles in each bucket, which differ in no more bits than the sets in shingles.
+
+Very common values (groups of near copies share them) would give all pairs of a group. They are handled apart: for
+fingerprints by their own radius-1 balls, whose centres any two fingerprints within 2 bits share, which links a group of
+n with at most 65 n rows; for shingles by linking members to a few central ones, in rounds.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +36,7 @@ from .components import connected_components
 from .shared import bounded, discard, id_and_text, materialize, pieces, rows_of, schema, text_sizes, tidy
 
 SEED = 42
-#: A segment value that more fingerprints share than this is handled by the way for common values.
+#: A segment value or shingle that more fingerprints or texts share than this is handled by the way for common values.
 COMMON = 32
 
 
@@ -119,36 +125,89 @@ def fingerprint_components(docs: DataFrame, k: int = 3) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-# The wide use
+# Near duplicates
+
+#: Buckets of a parity sketch, and of the one folded from it that goes with every shared shingle.
+SKETCH, FOLD = 1024, 128
 
 
-def wide_simhash(text: bytes, segments: int, segment_bits: int) -> tuple[list[int], list[int]]:
-    """SimHash over the distinct words: values of the segments, and the same bits as longs."""
+def shingle_hashes(text: bytes, k: int) -> np.ndarray:
+    """The set of k-word shingles (words as in ``word_shingles``) as sorted 64-bit hashes."""
     import xxhash
 
-    words = set(text.lower().split())
-    width = segments * segment_bits
+    words = text.lower().split()
     if not words:
-        return [0] * segments, [0] * -(-width // 64)
-    lanes = -(-width // 128)
-    raw = np.frombuffer(b"".join(xxhash.xxh3_128_digest(w, lane) for w in words for lane in range(lanes)), np.uint8).reshape(len(words), 16 * lanes)
-    bits = np.unpackbits(raw, axis=1, bitorder="little")[:, :width].sum(0, dtype=np.int64) * 2 > len(words)
-    values = bits.reshape(segments, segment_bits) @ (1 << np.arange(segment_bits, dtype=np.int64))
-    padded = np.zeros(-(-width // 64) * 64, np.uint8)
-    padded[:width] = bits
-    return values.tolist(), np.packbits(padded, bitorder="little").view("<i8").tolist()
+        return np.zeros(0, np.uint64)
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    n = max(1, len(words) - k + 1)
+    out = np.zeros(n, np.uint64)
+    for i in range(min(k, len(words))):
+        out = (out ^ hashes[i : i + n]) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    return np.unique(out)
+
+
+def prefix_length(n: int, similarity: float) -> int:
+    """Of two sets with this Jaccard similarity, each shares one of its first so many elements with the other's."""
+    return n - math.ceil(similarity * n - 1e-9) + 1
 
 
-def _wide(docs: DataFrame, segments: int, segment_bits: int) -> DataFrame:
-    """(doc_id, node, values, bits) of each row; node is a hash of the text, so equal texts are one node."""
+def parity_bits(hashes: np.ndarray, buckets: int) -> list[int]:
+    """Whether a bucket holds an odd number of the hashes, as longs."""
+    odd = np.bincount((hashes >> np.uint64(40)).astype(np.int64) % buckets, minlength=buckets) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8").tolist()
+
+
+def _frequent(docs: DataFrame, k: int, sample_texts: int = 20_000, most: int = 50_000) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles most texts of a sample have, sorted, and in how many: ``most`` at the most. Only their order matters."""
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, text_sizes, 8 << 20):
-            found = [wide_simhash(t, segments, segment_bits) for t in rows_of(batch)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("node"), pa.array([f[0] for f in found], pa.list_(pa.int64())), pa.array([f[1] for f in found], pa.list_(pa.int64()))], ["doc_id", "node", "values", "bits"])
+        for batch in pieces(batches, text_sizes, 2 << 20):
+            found = np.concatenate([shingle_hashes(t, k) for t in rows_of(batch)])
+            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64))], ["key"])
+
+    share = -(-1_000_000 * sample_texts // max(1, docs.count()))
+    drawn = _nodes_of(docs).where(F.pmod("node", F.lit(1_000_000)) < share).groupBy("node").agg(F.first("text").alias("text"))
+    counts = drawn.select("text").mapInArrow(run, schema("key long")).groupBy("key").count().where("count > 2")
+    top = counts.orderBy(F.col("count").desc(), "key").limit(most).collect()
+    keys = np.array([r["key"] for r in top], np.int64).view(np.uint64)
+    by = np.argsort(keys)
+    return keys[by], np.array([r["count"] for r in top], np.int64)[by]
+
 
-    return _nodes_of(docs).mapInArrow(run, schema("doc_id long, node long, values array<long>, bits array<long>"))
+def _prefixes(docs: DataFrame, k: int, similarity: float) -> DataFrame:
+    """(doc_id, node, size, keys, sketch, fold) of each row; node is a hash of the text, so equal texts are one node.
+
+    size: of the set of shingles; keys: its prefix, for a text without words one fixed value.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(_frequent(docs, k))
+
+    @tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, counts = sent.value
+        for batch in pieces(batches, text_sizes, 4 << 20):
+            sizes, keys, sketches, folds = [], [], [], []
+            for t in rows_of(batch):
+                h = shingle_hashes(t, k)
+                sizes.append(len(h))
+                sketches.append(parity_bits(h, SKETCH))
+                folds.append(parity_bits(h, FOLD))
+                if not len(h):
+                    keys.append([0])
+                    continue
+                rank = np.zeros(len(h), np.int64)
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+                    rank = np.where(known[at] == h, counts[at], 0)
+                keys.append(h[np.lexsort((h, rank))][: prefix_length(len(h), similarity)].view(np.int64))
+            longs = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("node"), pa.array(sizes, pa.int64()), pa.array(keys, longs), pa.array(sketches, longs), pa.array(folds, longs)],
+                ["doc_id", "node", "size", "keys", "sketch", "fold"],
+            )
+
+    return _nodes_of(docs).mapInArrow(run, schema("doc_id long, node long, size long, keys array<long>, sketch array<long>, fold array<long>"))
 
 
 def _nodes_of(docs: DataFrame) -> DataFrame:
@@ -156,16 +215,23 @@ def _nodes_of(docs: DataFrame) -> DataFrame:
     return id_and_text(docs).select("doc_id", F.xxhash64(text).alias("node"), text.alias("text"))
 
 
-def _distance(a: str, b: str, longs: int) -> Column:
-    return sum((F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(longs)), F.lit(0))
+def _may_be_similar(bits: str, buckets: int, similarity: float) -> Column:
+    """Whether sizes and sketches (columns ending in _a and _b) leave the similarity possible. Never false where it holds."""
+    differ = sum((F.bit_count(F.col(f"{bits}_a")[i].bitwiseXOR(F.col(f"{bits}_b")[i])) for i in range(buckets // 64)), F.lit(0))
+    a, b = F.col("size_a"), F.col("size_b")
+    most = (a + b) * F.lit((1 - similarity) / (1 + similarity)) + F.lit(1e-6)
+    return (F.least(a, b) >= F.greatest(a, b) * F.lit(similarity) - F.lit(1e-6)) & (differ <= most)
+
+
+def _side(nodes: DataFrame, side: str, *columns: str, key: bool = False) -> DataFrame:
+    return nodes.select(*["key"] * key, F.col("node").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in columns))
 
 
-def _close(pairs: DataFrame, nodes: DataFrame, longs: int, most: int) -> DataFrame:
-    """Distinct pairs (a < b) whose whole fingerprints differ in at most ``most`` bits."""
+def _close(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """Distinct pairs (a < b) whose sizes and whole sketches leave the similarity possible."""
     once = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    left = nodes.select(F.col("node").alias("a"), F.col("bits").alias("bits_a"))
-    right = nodes.select(F.col("node").alias("b"), F.col("bits").alias("bits_b"))
-    return once.join(left, "a").join(right, "b").where(_distance("bits_a", "bits_b", longs) <= most).select("a", "b")
+    both = once.join(_side(nodes, "a", "size", "sketch"), "a").join(_side(nodes, "b", "size", "sketch"), "b")
+    return both.where(_may_be_similar("sketch", SKETCH, similarity)).select("a", "b")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, similarity: float) -> DataFrame:
@@ -176,10 +242,8 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, simil
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
         for batch in pieces(batches, text_sizes, 4 << 20):
-            sets = [np.unique(np.array([xxhash.xxh3_64_intdigest(s) for s in word_shingles(t, k)], np.uint64)).tobytes() for t in rows_of(batch)]
+            sets = [shingle_hashes(t, k).tobytes() for t in rows_of(batch)]
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.binary())], ["node", "shingles"])
 
     @tidy
@@ -192,57 +256,53 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, simil
                 keep.append(both >= similarity * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    pairs = materialize(pairs, "simhash-pairs")
+    pairs = materialize(pairs, "near-pairs")
     asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "least"), "node").select(F.col("node").alias("asked"), "least")
-    asked = materialize(asked, "simhash-asked")
+    asked = materialize(asked, "near-asked")
     rows = _nodes_of(docs)
     one = rows.join(bounded(asked), (rows["node"] == asked["asked"]) & rows["doc_id"].eqNullSafe(asked["least"]), "left_semi")
-    sets = materialize(one.select("node", "text").mapInArrow(run, schema("node long, shingles binary")), "simhash-shingles")
+    sets = materialize(one.select("node", "text").mapInArrow(run, schema("node long, shingles binary")), "near-shingles")
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
-    linked = materialize(pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(judge, schema("a long, b long")), "simhash-links")
+    linked = materialize(pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(judge, schema("a long, b long")), "near-links")
     discard(pairs, asked, sets)
     return linked
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8, segments: int = 6, segment_bits: int = 24, max_distance: int = 32, pivots: int = 8, rounds: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8, pivots: int = 8, rounds: int = 3) -> DataFrame:
     """doc_id, group_id (smallest doc_id of the group), n_links (verified links of its text, exact copies aside).
 
-    Equal texts (null is empty) are one node whatever their number. Texts without words form one group. Candidates share
-    a segment up to one bit and differ in at most ``max_distance`` of all bits; links are verified on the shingles. At
-    five edits in 200 words (similarity 0.8) a candidate is missed with a chance of about 0.02; see the README.
+    Equal texts (null is empty) are one node whatever their number. Texts without words form one group. Groups are those
+    of all pairs with the similarity.
 
-    A segment value shared by over ``COMMON`` texts is worked off in rounds: its ``pivots`` most typical texts are
-    compared with all; what is linked leaves it. After ``rounds`` rounds the rest is compared in full.
+    A shingle shared by over ``COMMON`` prefixes is worked off in rounds: its ``pivots`` most typical texts are compared
+    with all; what is linked leaves it. After ``rounds`` rounds the rest is compared in full.
     """
-    longs = -(-segments * segment_bits // 64)
-    wide = materialize(_wide(docs, segments, segment_bits), "simhash-wide")
-    nodes = materialize(wide.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("values").alias("values"), F.first("bits").alias("bits")), "simhash-nodes")
-    # a segment's number and value in one long
-    keyed = nodes.select("node", F.posexplode("values").alias("part", "value")).select("node", "value", (F.col("part").cast("long") * (1 << 48)).alias("base"))
-    flat = keyed.select("node", (F.col("base") + F.col("value")).alias("key"))
-    bits = F.filter(F.sequence(F.lit(0), F.lit(segment_bits - 1)), lambda i: _bit("value", i) == 1)
-    ball = F.concat(F.array("value"), F.transform(bits, lambda i: F.col("value") - _power(i)))
-    probes = keyed.select(F.col("node").alias("a"), "base", F.explode(ball).alias("value")).select("a", (F.col("base") + F.col("value")).alias("key"))
-    common = materialize(flat.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > COMMON).select("key"), "simhash-common")
-    rare = flat.join(common, "key", "left_anti").withColumnRenamed("node", "b")
-    links = _verified(_close(probes.join(rare, "key").select("a", "b"), nodes, longs, max_distance), docs, nodes, k, similarity)
-    own = flat.join(common, "key", "left_semi").groupBy(F.col("node").alias("a")).agg(F.count(F.lit(1)).alias("own"))
-    waiting = probes.join(common, "key", "left_semi").join(own, "a", "left").join(nodes.select(F.col("node").alias("a"), F.col("bits").alias("bits_a")), "a")
-    waiting = materialize(waiting.withColumn("own", F.coalesce("own", F.lit(0))), "simhash-waiting")
+    wide = materialize(_prefixes(docs, k, similarity), "near-prefixes")
+    firsts = [F.first(c).alias(c) for c in ("size", "keys", "sketch", "fold")]
+    nodes = materialize(wide.groupBy("node").agg(F.min("doc_id").alias("least"), *firsts), "near-nodes")
+    flat = nodes.select("node", F.explode("keys").alias("key"))
+    shared = flat.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    met = flat.join(shared, "key").join(nodes.select("node", "size", "fold"), "node")
+    met = materialize(met, "near-shared")
+    rare, common = met.where(F.col("n") <= COMMON), met.where(F.col("n") > COMMON)
+    pairs = _side(rare, "a", "size", "fold", key=True).join(_side(rare, "b", "size", "fold", key=True), "key").where("a < b").where(_may_be_similar("fold", FOLD, similarity)).select("a", "b")
+    links = _verified(_close(pairs, nodes, similarity), docs, nodes, k, similarity)
+    own = common.groupBy(F.col("node").alias("a")).agg(F.count(F.lit(1)).alias("own"))
+    waiting = materialize(_side(common, "a", "size", "fold", key=True).join(own, "a"), "near-waiting")
     for turn in range(rounds + 1):
         if waiting.isEmpty():
             break
-        middle = materialize(_pivots(waiting, pivots * 4**turn if turn < rounds else 1 << 30), "simhash-pivots")
-        met = waiting.join(middle, "key").where(_distance("bits_a", "bits_b", longs) <= max_distance).select("a", "b")
-        more = _verified(_close(met, nodes, longs, max_distance), docs, nodes, k, similarity)
+        middle = materialize(_pivots(waiting, pivots * 4**turn if turn < rounds else 1 << 30), "near-pivots")
+        asked = waiting.join(middle, "key").where(_may_be_similar("fold", FOLD, similarity)).select("a", "b")
+        more = _verified(_close(asked, nodes, similarity), docs, nodes, k, similarity)
         links = links.union(more)
         done = more.select(F.explode(F.array("a", "b")).alias("a")).union(middle.select(F.col("b").alias("a"))).distinct()
         left = waiting.join(done, "a", "left_anti")
         enough = left.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("key")
-        before, waiting = waiting, materialize(left.join(enough, "key", "left_semi"), "simhash-waiting")
+        before, waiting = waiting, materialize(left.join(enough, "key", "left_semi"), "near-waiting")
         discard(before, middle)
-    links = materialize(links.distinct(), "simhash-links")
+    links = materialize(links.distinct(), "near-links")
     roots = connected_components(nodes.select("node"), links)
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
     members = nodes.select("node", "least").join(roots, "node").join(degree, "node", "left")
@@ -252,9 +312,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8, segmen
 
 
 def _pivots(waiting: DataFrame, many: int) -> DataFrame:
-    """For each common value the ``many`` texts that have the most common values themselves, as (key, b, bits_b).
+    """For each common value the ``many`` texts that have the most common values themselves, as (key, b, size_b, fold_b).
 
     In a group of copies of one text, that text's own values are the common ones; an edited copy has lost some.
     """
     place = F.row_number().over(Window.partitionBy("key").orderBy(F.col("own").desc(), "a"))
-    return waiting.withColumn("place", place).where(F.col("place") <= many).select("key", F.col("a").alias("b"), F.col("bits_a").alias("bits_b"))
+    return waiting.withColumn("place", place).where(F.col("place") <= many).select("key", F.col("a").alias("b"), F.col("size_a").alias("size_b"), F.col("fold_a").alias("fold_b"))

@@ -91,3 +91,28 @@ def test_components_of_chains_and_stars(spark):
     assert {roots[i] for i in range(201)} == {0} and {roots[1000 + i] for i in range(300)} == {1000} and roots[500] == 500
     none = spark.createDataFrame([], "a long, b long")
     assert connected_components(nodes, none).where("node <> root").count() == 0
+
+
+def words(rng, n):
+    return ["".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(n)]
+
+
+def groups_and_brute_force(spark, texts):
+    sets = [frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if (w := t.lower().split()) else frozenset() for t in texts]
+    want = components(len(texts), lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
+    found = {r["doc_id"]: r["group_id"] for r in near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    return found, dict(enumerate(want))
+
+
+def test_near_duplicates_find_block_edits_and_short_texts(spark):
+    """Text appended, cut off or replaced at an end, at similarities on both sides of 0.8."""
+    rng = random.Random(21)
+    texts = []
+    for n in [*[200] * 12, *[60] * 12, *[14] * 12, 1, 3, 5, 6, 9]:
+        base = words(rng, n)
+        shingles = max(1, n - 4)
+        for edit in (shingles // 4, shingles // 4 + 1, shingles // 5, shingles // 9):
+            texts += [" ".join(base), " ".join(base + words(rng, edit)), " ".join(base[: n - edit]), " ".join(words(rng, edit) + base), " ".join(base[: n - edit] + words(rng, edit))][:: rng.choice([1, 2, 3])]
+            base = words(rng, n)
+    found, want = groups_and_brute_force(spark, [*texts, "", "  ", "\n"])
+    assert found == want
