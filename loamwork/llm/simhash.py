@@ -269,14 +269,16 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, simil
     return linked
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8, pivots: int = 8, rounds: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8, pivots: int = 8) -> DataFrame:
     """doc_id, group_id (smallest doc_id of the group), n_links (verified links of its text, exact copies aside).
 
     Equal texts (null is empty) are one node whatever their number. Texts without words form one group. Groups are those
     of all pairs with the similarity.
 
-    A shingle shared by over ``COMMON`` prefixes is worked off in rounds: its ``pivots`` most typical texts are compared
-    with all; what is linked leaves it. After ``rounds`` rounds the rest is compared in full.
+    A shingle shared by over ``COMMON`` prefixes is worked off in rounds: of its texts outside its largest group so far,
+    the ``pivots`` most typical (four times as many each round) are compared with all that aren't in their own group,
+    and leave this shingle alone. It is done when its texts are in one group. So no pair that could join two groups is
+    left out, and ``n_links`` is a lower bound there: pairs known to be in one group aren't compared.
     """
     wide = materialize(_prefixes(docs, k, similarity), "near-prefixes")
     firsts = [F.first(c).alias(c) for c in ("size", "keys", "sketch", "fold")]
@@ -290,18 +292,20 @@ def near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8, pivots
     links = _verified(_close(pairs, nodes, similarity), docs, nodes, k, similarity)
     own = common.groupBy(F.col("node").alias("a")).agg(F.count(F.lit(1)).alias("own"))
     waiting = materialize(_side(common, "a", "size", "fold", key=True).join(own, "a"), "near-waiting")
-    for turn in range(rounds + 1):
-        if waiting.isEmpty():
-            break
-        middle = materialize(_pivots(waiting, pivots * 4**turn if turn < rounds else 1 << 30), "near-pivots")
-        asked = waiting.join(middle, "key").where(_may_be_similar("fold", FOLD, similarity)).select("a", "b")
-        more = _verified(_close(asked, nodes, similarity), docs, nodes, k, similarity)
-        links = links.union(more)
-        done = more.select(F.explode(F.array("a", "b")).alias("a")).union(middle.select(F.col("b").alias("a"))).distinct()
-        left = waiting.join(done, "a", "left_anti")
-        enough = left.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("key")
-        before, waiting = waiting, materialize(left.join(enough, "key", "left_semi"), "near-waiting")
-        discard(before, middle)
+    turn = 0
+    while not waiting.isEmpty():
+        roots = connected_components(waiting.select(F.col("a").alias("node")).distinct(), links)
+        placed = waiting.join(roots.withColumnRenamed("node", "a"), "a")
+        groups = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("key")
+        unlike = groups.agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count(F.lit(1)).alias("groups")).where("groups > 1")
+        before, placed = waiting, materialize(placed.join(unlike.select("key", "main"), "key"), "near-placed")
+        middle = materialize(_pivots(placed.where("root <> main"), pivots * 4**turn), "near-pivots")
+        asked = placed.join(middle, "key").where("root <> root_b").where(_may_be_similar("fold", FOLD, similarity)).select("a", "b")
+        links = links.union(_verified(_close(asked, nodes, similarity), docs, nodes, k, similarity))
+        asked_all = middle.select("key", F.col("b").alias("a"))
+        waiting = materialize(placed.join(asked_all, ["key", "a"], "left_anti").drop("root", "main"), "near-waiting")
+        discard(before, placed, middle)
+        turn += 1
     links = materialize(links.distinct(), "near-links")
     roots = connected_components(nodes.select("node"), links)
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
@@ -312,9 +316,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8, pivots
 
 
 def _pivots(waiting: DataFrame, many: int) -> DataFrame:
-    """For each common value the ``many`` texts that have the most common values themselves, as (key, b, size_b, fold_b).
+    """For each common value the ``many`` texts that have the most common values themselves, as (key, b, size_b, fold_b, root_b).
 
     In a group of copies of one text, that text's own values are the common ones; an edited copy has lost some.
     """
     place = F.row_number().over(Window.partitionBy("key").orderBy(F.col("own").desc(), "a"))
-    return waiting.withColumn("place", place).where(F.col("place") <= many).select("key", F.col("a").alias("b"), F.col("size_a").alias("size_b"), F.col("fold_a").alias("fold_b"))
+    return waiting.withColumn("place", place).where(F.col("place") <= many).select("key", F.col("a").alias("b"), F.col("size_a").alias("size_b"), F.col("fold_a").alias("fold_b"), F.col("root").alias("root_b"))

@@ -116,3 +116,20 @@ def test_near_duplicates_find_block_edits_and_short_texts(spark):
             base = words(rng, n)
     found, want = groups_and_brute_force(spark, [*texts, "", "  ", "\n"])
     assert found == want
+
+
+@pytest.mark.parametrize("common", [2, 6])
+def test_near_duplicates_of_drifting_copies(spark, common, monkeypatch):
+    """Chains in which only neighbours are alike, all in crowded shingles."""
+    import loamwork.llm.simhash as s
+
+    monkeypatch.setattr(s, "COMMON", common)
+    rng = random.Random(common)
+    texts = []
+    for _ in range(3):
+        line = words(rng, 260)
+        for i in range(0, 150, 9):
+            texts += [" ".join(line[i : i + 100]), " ".join(line[i : i + 100] + words(rng, 2))]
+    rng.shuffle(texts)
+    found, want = groups_and_brute_force(spark, texts)
+    assert found == want and len(set(want.values())) == 3
