@@ -54,7 +54,7 @@ def features(text: bytes) -> list[float]:
     triples = len(set(zip(words, words[1:], words[2:]))) / max(1, n - 2)
     twice = sum(map(bytes.__eq__, words[1:], words)) / n
     lines = [x for x in text.split(b"\n") if x.strip()]
-    worst = max((sum(x.count(c) for c in (b"|", b"!", b"#", b"$", b"%", b"&", b"*")) + sum(map(bytes.isupper, x.split()[:64])) * 2) / (8 + len(x)) for x in lines) if lines else 0.0
+    worst = max((sum(x.count(c) for c in (b"|", b"!", b"#", b"$", b"%", b"&", b"*")) + sum(map(bytes.isupper, x.split())) * 2) / (8 + len(x)) for x in lines) if lines else 0.0
     return [*share, float(np.log1p(n)), len(seen) / n, triples, twice, len(set(lines)) / max(1, len(lines)), float(lengths.mean()), float((lengths <= 3).mean()), float((lengths > 12).mean()), max(seen.values()) / n, worst]
 
 

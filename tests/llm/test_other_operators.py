@@ -157,6 +157,12 @@ def test_quality_is_learnt_and_scores_everything(spark):
     assert quality.keep_good(odd, model).columns == odd.columns
 
 
+def test_worst_line_counts_all_words_of_a_line():
+    at = quality.FEATURES.index("worst_line")
+    calm, loud = ["word"] * 100, ["LOUD"] * 100
+    assert quality.features(" ".join(calm + loud).encode())[at] == quality.features(" ".join(loud + calm).encode())[at] == 200 / (8 + 999)
+
+
 def test_labels_of_held_out_rows_do_not_matter(spark):
     docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
     from pyspark.sql import functions as F
