@@ -187,6 +187,13 @@ def test_licences(spark, licence_model):
     assert found == {0: ("mit", 1), 1: ("apache,cc-by-nc", 2), 2: ("gpl", 1), 3: ("", 0), 4: ("", 0), 5: ("", 0), 6: ("", 0), 7: ("", 0), 8: ("apache", 1)}
 
 
+def test_short_proprietary_notices(spark, licence_model):
+    texts = ["Some text here.\nAll rights reserved.\nMore text.", "Copyright (c) 2020 the authors. All rights reserved.", "all of the rights were reserved for the others", "rights and duties of all"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["doc_id"]: (r["licences"], r["n_notices"]) for r in licenses.licence_scan(docs, licence_model).collect()}
+    assert found == {0: ("proprietary", 1), 1: ("proprietary", 1), 2: ("", 0), 3: ("", 0)}
+
+
 def test_licences_of_odd_rows(spark, licence_model):
     odd = odd_documents(spark)
     assert licenses.licence_scan(odd, licence_model).count() == odd.count()
