@@ -15,11 +15,13 @@ only: the one that has the bit set looks for the other.
 The second is a prefix filter: with all shingles in one fixed order, two sets of similarity s share one of the first
 n - ceil(s n) + 1 shingles of each (n its size). Shingles that are frequent in a sample come last in that order, which
 any order may: it only keeps boilerplate out of the prefixes. What meets is thinned by bounds that lose nothing: the
-sizes, and sketches of the parity of shingles in each bucket, which differ in no more bits than the sets in shingles.
+sizes, the places of the shingle in both orders (all before it is not shared), and sketches of the parity of shingles in
+each bucket, which differ in no more bits than the sets in shingles.
 
 Very common values (groups of near copies share them) would give all pairs of a group. They are handled apart: for
 fingerprints by their own radius-1 balls, whose centres any two fingerprints within 2 bits share, which links a group of
-n with at most 65 n rows; for shingles by linking members to a few central ones, in rounds.
+n with at most 65 n rows; for shingles by dividing them by the sizes of both sides, and linking members to a few central
+ones, in rounds.
 """
 
 from __future__ import annotations
@@ -223,8 +225,19 @@ def _may_be_similar(bits: str, buckets: int, similarity: float) -> Column:
     return (F.least(a, b) >= F.greatest(a, b) * F.lit(similarity) - F.lit(1e-6)) & (differ <= most)
 
 
-def _side(nodes: DataFrame, side: str, *columns: str, key: bool = False) -> DataFrame:
-    return nodes.select(*["key"] * key, F.col("node").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in columns))
+def _least_overlap(a: Column, b: Column, similarity: float) -> Column:
+    """How many shingles two sets of these sizes share at least, if they have the similarity."""
+    return F.ceil((a + b) * F.lit(similarity / (1 + similarity)) - F.lit(1e-6))
+
+
+def _may_start_here(similarity: float) -> Column:
+    """Whether the shingle a pair meets in can be the first one both have: what lies before it in either set is not shared."""
+    least = _least_overlap(F.col("size_a"), F.col("size_b"), similarity)
+    return (F.col("size_a") - F.col("pos_a") >= least) & (F.col("size_b") - F.col("pos_b") >= least) & _may_be_similar("fold", FOLD, similarity)
+
+
+def _side(nodes: DataFrame, side: str, *columns: str, by: tuple[str, ...] = ()) -> DataFrame:
+    return nodes.select(*by, F.col("node").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in columns))
 
 
 def _close(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
@@ -269,56 +282,107 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, simil
     return linked
 
 
+#: Where texts meet: the shingle, and for crowded ones the bands of the two sizes too (lowest band first).
+_PLACE = ("key", "low", "high")
+
+
+def _meetings(nodes: DataFrame) -> DataFrame:
+    """(key, n, node, pos, size, fold): the prefix shingles that more than one text has, and where in each they stand."""
+    flat = nodes.select("node", F.posexplode("keys").alias("pos", "key"))
+    shared = flat.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return flat.join(shared, "key").join(nodes.select("node", "size", "fold"), "node").select("key", "n", "node", "pos", "size", "fold")
+
+
+def _banded(crowd: DataFrame, similarity: float, ratio: float = 1.03) -> DataFrame:
+    """Each member of a crowded shingle in a place for every band of sizes that a partner may have.
+
+    Against a partner of a given size a shingle counts only up to a certain position, so a text with many shingles of its
+    own before a common one is in few places or none.
+    """
+    size, log = F.col("size"), math.log(ratio)
+    band_of = lambda n: F.floor(F.log(F.greatest(n, F.lit(1.0))) / F.lit(log)).cast("int")
+    own = band_of(size.cast("double"))
+    partners = F.sequence(band_of(size * F.lit(similarity) - F.lit(1e-6)), band_of(size / F.lit(similarity)) + 1)
+    smallest = lambda p: F.greatest(F.pow(F.lit(ratio), p.cast("double")) - F.lit(1e-6), size * F.lit(similarity))
+    able = F.filter(partners, lambda p: (size == 0) | (size - F.col("pos") >= _least_overlap(size, smallest(p), similarity)))
+    spread = crowd.withColumn("band", own).withColumn("partner", F.explode(able))
+    return spread.select("key", F.least("band", "partner").alias("low"), F.greatest("band", "partner").alias("high"), "node", "pos", "size", "fold")
+
+
+def _pivots(waiting: DataFrame, many: int) -> DataFrame:
+    """For each place ``many`` texts with the fewest shingles of their own before the common one, as the b side of pairs.
+
+    In a group of copies of one text, that text has none; an edited copy has some for every edit.
+    """
+    typical = Window.partitionBy(*_PLACE).orderBy(F.col("pos") / F.greatest("size", F.lit(1)), "node")
+    first = waiting.withColumn("turn", F.row_number().over(typical)).where(F.col("turn") <= many)
+    return _side(first, "b", "size", "pos", "fold", *(["root"] if "root" in waiting.columns else []), by=_PLACE)
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8, pivots: int = 8) -> DataFrame:
     """doc_id, group_id (smallest doc_id of the group), n_links (verified links of its text, exact copies aside).
 
     Equal texts (null is empty) are one node whatever their number. Texts without words form one group. Groups are those
     of all pairs with the similarity.
 
-    A shingle shared by over ``COMMON`` prefixes is worked off in rounds: of its texts outside its largest group so far,
-    the ``pivots`` most typical (four times as many each round) are compared with all that aren't in their own group,
-    and leave this shingle alone. It is done when its texts are in one group. So no pair that could join two groups is
-    left out, and ``n_links`` is a lower bound there: pairs known to be in one group aren't compared.
+    A place (a shingle, for shingles of over ``COMMON`` prefixes with the sizes of both sides) with up to ``COMMON`` texts
+    gives all its pairs. A fuller one is worked off in rounds: the ``pivots`` most typical texts are compared with all
+    others; then, of the texts outside the place's largest group so far, eight times as many are compared with all that
+    aren't in their own group, and so on. A text that was asked leaves the place, and a place is done when its texts are
+    in one group. So no pair that could join two groups is left out, and ``n_links`` is a lower bound there: pairs known
+    to be in one group aren't compared.
     """
     wide = materialize(_prefixes(docs, k, similarity), "near-prefixes")
     firsts = [F.first(c).alias(c) for c in ("size", "keys", "sketch", "fold")]
     nodes = materialize(wide.groupBy("node").agg(F.min("doc_id").alias("least"), *firsts), "near-nodes")
-    flat = nodes.select("node", F.explode("keys").alias("key"))
-    shared = flat.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    met = flat.join(shared, "key").join(nodes.select("node", "size", "fold"), "node")
-    met = materialize(met, "near-shared")
-    rare, common = met.where(F.col("n") <= COMMON), met.where(F.col("n") > COMMON)
-    pairs = _side(rare, "a", "size", "fold", key=True).join(_side(rare, "b", "size", "fold", key=True), "key").where("a < b").where(_may_be_similar("fold", FOLD, similarity)).select("a", "b")
-    links = _verified(_close(pairs, nodes, similarity), docs, nodes, k, similarity)
-    own = common.groupBy(F.col("node").alias("a")).agg(F.count(F.lit(1)).alias("own"))
-    waiting = materialize(_side(common, "a", "size", "fold", key=True).join(own, "a"), "near-waiting")
-    turn = 0
-    while not waiting.isEmpty():
-        roots = connected_components(waiting.select(F.col("a").alias("node")).distinct(), links)
-        placed = waiting.join(roots.withColumnRenamed("node", "a"), "a")
-        groups = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("key")
-        unlike = groups.agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count(F.lit(1)).alias("groups")).where("groups > 1")
-        before, placed = waiting, materialize(placed.join(unlike.select("key", "main"), "key"), "near-placed")
-        middle = materialize(_pivots(placed.where("root <> main"), pivots * 4**turn), "near-pivots")
-        asked = placed.join(middle, "key").where("root <> root_b").where(_may_be_similar("fold", FOLD, similarity)).select("a", "b")
-        links = links.union(_verified(_close(asked, nodes, similarity), docs, nodes, k, similarity))
-        asked_all = middle.select("key", F.col("b").alias("a"))
-        waiting = materialize(placed.join(asked_all, ["key", "a"], "left_anti").drop("root", "main"), "near-waiting")
-        discard(before, placed, middle)
-        turn += 1
-    links = materialize(links.distinct(), "near-links")
-    roots = connected_components(nodes.select("node"), links)
-    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
-    members = nodes.select("node", "least").join(roots, "node").join(degree, "node", "left")
+    met = materialize(_meetings(nodes), "near-meetings")
+    banded = materialize(_banded(met.where(F.col("n") > COMMON), similarity), "near-banded")
+    places = materialize(banded.groupBy(*_PLACE).agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "near-places")
+    small, full = (banded.join(bounded(places.where(c).select(*_PLACE)), list(_PLACE)) for c in (F.col("n") <= COMMON, F.col("n") > COMMON))
+    waiting = materialize(full, "near-waiting")
+
+    def pairs(members: DataFrame, others: DataFrame, by: tuple[str, ...]) -> DataFrame:
+        return _side(members, "a", "size", "pos", "fold", by=by).join(others, list(by)).where(_may_start_here(similarity)).select("a", "b")
+
+    asked = materialize(_pivots(waiting, pivots), "near-pivots")
+    rare = met.where(F.col("n") <= COMMON)
+    candidates = pairs(rare, _side(rare, "b", "size", "pos", "fold", by=("key",)), ("key",)).where("a < b")
+    candidates = candidates.union(pairs(small, _side(small, "b", "size", "pos", "fold", by=_PLACE), _PLACE).where("a < b"))
+    links = _verified(_close(candidates.union(pairs(waiting, bounded(asked), _PLACE)), nodes, similarity), docs, nodes, k, similarity)
+    discard(met, banded, places)
+    roots = _roots(links)
+    while True:
+        before, waiting = waiting, materialize(_open_places(waiting, asked, roots), "near-waiting")
+        discard(before, asked)
+        if waiting.isEmpty():
+            break
+        pivots *= 8
+        asked = materialize(_pivots(waiting.where("root <> main"), pivots), "near-pivots")
+        met = _side(waiting, "a", "size", "pos", "fold", "root", by=_PLACE).join(bounded(asked), list(_PLACE))
+        found = met.where("root_a <> root_b").where(_may_start_here(similarity)).select("a", "b")
+        fresh = _verified(_close(found, nodes, similarity), docs, nodes, k, similarity)
+        if not fresh.isEmpty():
+            links = links.union(fresh)
+            roots = _roots(links)
+    degree = links.distinct().select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
+    members = nodes.select("node", "least").join(roots, "node", "left").join(degree, "node", "left").withColumn("root", F.coalesce("root", "node"))
     whole = members.groupBy("root").agg(F.min("least").alias("group_id"))
     named = members.join(whole, "root").select("node", "group_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
     return wide.select("doc_id", "node").join(named, "node").select("doc_id", "group_id", "n_links")
 
 
-def _pivots(waiting: DataFrame, many: int) -> DataFrame:
-    """For each common value the ``many`` texts that have the most common values themselves, as (key, b, size_b, fold_b, root_b).
+def _roots(links: DataFrame) -> DataFrame:
+    """(node, root) of the nodes that have a link."""
+    return materialize(connected_components(links.select(F.explode(F.array("a", "b")).alias("node")).distinct(), links), "near-roots")
+
+
+def _open_places(waiting: DataFrame, asked: DataFrame, roots: DataFrame) -> DataFrame:
+    """``waiting`` without the texts that were ``asked`` and without places whose texts are in one group; adds root and main.
 
-    In a group of copies of one text, that text's own values are the common ones; an edited copy has lost some.
+    main: the group most texts of the place are in.
     """
-    place = F.row_number().over(Window.partitionBy("key").orderBy(F.col("own").desc(), "a"))
-    return waiting.withColumn("place", place).where(F.col("place") <= many).select("key", F.col("a").alias("b"), F.col("size_a").alias("size_b"), F.col("fold_a").alias("fold_b"), F.col("root").alias("root_b"))
+    left = waiting.drop("root", "main").join(asked.select(*_PLACE, F.col("b").alias("node")), [*_PLACE, "node"], "left_anti")
+    placed = left.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    groups = placed.groupBy(*_PLACE, "root").agg(F.count(F.lit(1)).alias("n")).groupBy(*_PLACE)
+    unlike = groups.agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count(F.lit(1)).alias("groups")).where("groups > 1")
+    return placed.join(unlike.drop("groups"), list(_PLACE))
