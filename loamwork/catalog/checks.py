@@ -135,8 +135,7 @@ def rules_apply(orders):
 
 @query("orders", sql=f"SELECT o_orderkey, CASE WHEN {_C} OR {_A} THEN 'review' ELSE 'usable' END AS part FROM orders")
 def split_usable_review(orders):
-    usable, review = rules.split_usable(ruled(orders))
-    return usable.select("o_orderkey", F.lit("usable").alias("part")).union(review.select("o_orderkey", F.lit("review").alias("part")))
+    return rules.mark_usable(ruled(orders)).select("o_orderkey", "part")
 
 
 @query("orders", sql=f"SELECT count(*) AS total, count(*) AS output, 0::BIGINT AS filtered_out, count(CASE WHEN NOT ({_C} OR {_A}) THEN 1 END) AS valid, count(CASE WHEN {_C} OR {_A} THEN 1 END) AS abnormal FROM orders")

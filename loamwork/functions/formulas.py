@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
@@ -34,8 +35,16 @@ class Formula:
 
 
 def _pattern(p: str) -> str:
-    """y/m/d tokens of a spreadsheet date format as a Spark pattern."""
-    return p.replace("YYYY", "yyyy").replace("%Y", "yyyy").replace("%m", "MM").replace("%d", "dd").replace("DD", "dd").replace("yyyy-mm", "yyyy-MM").replace("yyyy/mm", "yyyy/MM")
+    """A spreadsheet date format, or one with %Y %y %m %d, as a Spark pattern. ``mm`` is a month, after hours minutes."""
+    known = {"%Y": "yyyy", "%y": "yy", "%m": "MM", "%d": "dd", "yyyy": "yyyy", "yy": "yy", "mm": "MM", "dd": "dd"}
+
+    def token(m: re.Match) -> str:
+        t = m[0]
+        if t in known or t.lower() in known:
+            return known.get(t) or known[t.lower()]
+        return t if re.match(r"[hH]{1,2}:", t) else "'" + t.replace("'", "''") + "'"
+
+    return re.sub(r"%[Yymd]|[hH]{1,2}:mm(?::ss)?|[yY]{4}|[yY]{2}|[mM]{2}|[dD]{2}|(?:(?!%[Yymd]|[yY]{2}|[mM]{2}|[dD]{2})[A-Za-z'])+", token, p)
 
 
 def _away(x: Column, digits: int, up: bool) -> Column:
@@ -97,7 +106,7 @@ def formula(f: Formula, columns: Sequence[str]) -> Column:
 
     def shown():
         pattern = str(f.value)
-        if any(t in pattern for t in ("y", "Y", "%m", "%d")):
+        if re.search("[yYmMdD]", pattern):
             return F.date_format(parse_date(c), _pattern(pattern))
         places = len(pattern.partition(".")[2].rstrip("%"))
         x = to_number(c) * (100 if pattern.endswith("%") else 1)

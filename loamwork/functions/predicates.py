@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .text import is_blank, norm, number, parse_date, to_number
+from .text import is_blank, norm, number, parse_date, strip, text, to_number
 
 OPS = (
     "is_blank", "not_blank", "is_null", "not_null", "duplicated", "lookup_missing", "numeric_invalid", "date_invalid", "equals", "not_equals",
@@ -30,18 +30,22 @@ class Condition:
 
 
 def condition(c: Condition, columns: Sequence[str], numbers: str = "plain") -> Column:
-    """Compile; unknown fields and operators are errors at analysis time."""
+    """Compile; unknown fields and operators are errors at analysis time.
+
+    ``duplicated`` is a window by value here, which puts a hot value into one task; ``filter_rows``, ``apply_rules`` and
+    ``with_repeats`` count and join instead.
+    """
     if c.field not in columns:
         raise ValueError(f"unknown field {c.field!r}; there are {list(columns)}")
     if c.op not in OPS:
         raise ValueError(f"unknown operator {c.op!r}")
     col, fold = F.col(f"`{c.field}`"), lambda v: str(v).strip() if c.case_sensitive else str(v).strip().lower()
-    text = norm(col, c.case_sensitive)
+    shown = norm(col, c.case_sensitive)
     compare = {"gt": lambda a, b: a > b, "gte": lambda a, b: a >= b, "lt": lambda a, b: a < b, "lte": lambda a, b: a <= b}
     if c.op in compare:
         found = compare[c.op](number(col, numbers), F.lit(float(c.value)))
     elif c.op in ("regex_match", "regex_not_match"):
-        hit = text.rlike(f"^(?:{c.value})")
+        hit = shown.rlike(f"^(?:{c.value})")
         found = hit if c.op == "regex_match" else ~is_blank(col) & ~hit
     else:
         found = {
@@ -53,12 +57,12 @@ def condition(c: Condition, columns: Sequence[str], numbers: str = "plain") -> C
             "lookup_missing": lambda: ~F.coalesce(col.cast("boolean"), F.lit(False)),
             "numeric_invalid": lambda: ~is_blank(col) & to_number(col).isNull(),
             "date_invalid": lambda: ~is_blank(col) & parse_date(col).isNull(),
-            "equals": lambda: text == fold(c.value),
-            "not_equals": lambda: text != fold(c.value),
-            "contains": lambda: text.contains(fold(c.value)),
-            "not_contains": lambda: ~text.contains(fold(c.value)),
-            "in": lambda: text.isin([fold(v) for v in c.values]),
-            "not_in": lambda: ~text.isin([fold(v) for v in c.values]),
+            "equals": lambda: shown == fold(c.value),
+            "not_equals": lambda: shown != fold(c.value),
+            "contains": lambda: shown.contains(fold(c.value)),
+            "not_contains": lambda: ~shown.contains(fold(c.value)),
+            "in": lambda: shown.isin([fold(v) for v in c.values]),
+            "not_in": lambda: ~shown.isin([fold(v) for v in c.values]),
         }[c.op]()
     found = F.coalesce(found, F.lit(False))
     return ~found if c.negate else found
@@ -73,24 +77,45 @@ def any_of(conditions: Sequence[Condition], columns: Sequence[str]) -> Column:
 
 
 def filter_rows(df: DataFrame, *conditions: Condition, exclude: bool = False) -> DataFrame:
-    """Rows that meet all conditions, or with ``exclude`` those that don't.
+    """Rows that meet all conditions, or with ``exclude`` those that don't."""
+    marked, conditions = with_repeats(df, conditions)
+    test = all_of(conditions, marked.columns)
+    return marked.where(~test if exclude else test).select(*[f"`{c}`" for c in df.columns])
+
 
-    A window in a condition (``duplicated``) is computed first, as Spark filters can't hold one.
+def mark_repeats(df: DataFrame, keys: Sequence[Column], output: str) -> DataFrame:
+    """Adds ``output``: whether the key occurs in another row too (nulls are equal).
+
+    Rows are counted by key with partial sums and the keys that repeat joined back, so a hot key fills no task: Spark sends
+    the repeated keys to all tasks if they turn out small, and splits a skewed join otherwise.
     """
-    test = all_of(conditions, df.columns)
-    test = ~test if exclude else test
-    if any(c.op == "duplicated" for c in conditions):
-        return df.withColumn("_keep", test).where("_keep").drop("_keep")
-    return df.where(test)
+    names = [f"_key{i}" for i in range(len(keys))]
+    counted = df.groupBy(*[k.alias(n) for k, n in zip(keys, names)]).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(*names, F.lit(True).alias("_again"))
+    same = reduce(lambda a, b: a & b, [k.eqNullSafe(counted[n]) for k, n in zip(keys, names)])
+    return df.join(counted, same, "left").withColumn(output, F.coalesce("_again", F.lit(False))).drop("_again", *names)
+
+
+def with_repeats(df: DataFrame, conditions: Sequence[Condition]) -> tuple[DataFrame, list[Condition]]:
+    """``duplicated`` conditions as tests of a column that ``mark_repeats`` has added; all others stay."""
+    out = []
+    for c in conditions:
+        if c.op == "duplicated":
+            if c.field not in df.columns:
+                raise ValueError(f"unknown field {c.field!r}; there are {df.columns}")
+            if f"_repeats_{c.field}" not in df.columns:
+                df = mark_repeats(df, [F.col(f"`{c.field}`")], f"_repeats_{c.field}")
+            c = Condition(f"_repeats_{c.field}", "equals", "true", negate=c.negate)
+        out.append(c)
+    return df, out
 
 
-#: Words that mark a total row and a remark row.
-TOTAL_WORDS = r"(?i)^(total|subtotal|summary|sum|合计|总计|小计|汇总)\b?"
-REMARK_WORDS = r"(?i)^(note|remark|备注|说明|注释)"
+#: What the first cell of a total row says, in full, and the words that begin a remark row.
+TOTAL_WORDS = r"(?i)^(total|subtotal|summary|sum|合计|总计|小计|汇总)$"
+REMARK_WORDS = r"(?i)^(note|notes|remark|remarks|备注|说明|注释)(?![a-z])"
 
 
 def _cells(columns: Sequence[str]) -> Column:
-    return F.array(*[F.trim(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))) for c in columns])
+    return F.array(*[strip(text(F.col(f"`{c}`"))) for c in columns])
 
 
 def first_cell(columns: Sequence[str]) -> Column:

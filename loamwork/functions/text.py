@@ -12,11 +12,23 @@ FULL_WIDTH = "".join(chr(c) for c in range(0xFF01, 0xFF5F)) + "　"
 HALF_WIDTH = "".join(chr(c) for c in range(0x21, 0x7F)) + " "
 ZERO_WIDTH = "[\\x{200B}\\x{200C}\\x{200D}\\x{FEFF}]"
 _NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
-#: Date layouts that are understood, tried in this order.
-DATE_LAYOUTS = [
-    "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm", "yyyy-M-d", "yyyy/M/d HH:mm:ss", "yyyy/M/d", "yyyy.M.d",
-    "yyyyMMdd", "yyyy年M月d日", "M/d/yyyy", "d-MMM-yyyy",
-]
+#: Date layouts that are understood, each with the shape of the texts it reads. No text has two shapes.
+DATE_LAYOUTS = {
+    "yyyy-M-d": r"^\d{4}-\d{1,2}-\d{1,2}$",
+    "yyyy-MM-dd HH:mm:ss": r"^\d{4}-\d\d-\d\d \d\d:\d\d:\d\d$",
+    "yyyy-MM-dd'T'HH:mm:ss": r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d$",
+    "yyyy-MM-dd HH:mm": r"^\d{4}-\d\d-\d\d \d\d:\d\d$",
+    "yyyy/M/d": r"^\d{4}/\d{1,2}/\d{1,2}$",
+    "yyyy/M/d HH:mm:ss": r"^\d{4}/\d{1,2}/\d{1,2} \d\d:\d\d:\d\d$",
+    "yyyy.M.d": r"^\d{4}\.\d{1,2}\.\d{1,2}$",
+    "yyyyMMdd": r"^\d{8}$",
+    "yyyy年M月d日": r"^\d{4}年\d{1,2}月\d{1,2}日$",
+    "M/d/yyyy": r"^\d{1,2}/\d{1,2}/\d{4}$",
+    "d-MMM-yyyy": r"^\d{1,2}-[A-Za-z]{3}-\d{4}$",
+}
+#: All characters with Unicode's White_Space property.
+WHITE_SPACE = "".join(map(chr, [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+NUMERIC_TYPES = ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal")
 
 
 def text(c: Column) -> Column:
@@ -26,7 +38,7 @@ def text(c: Column) -> Column:
 
 def strip(c: Column) -> Column:
     """Without Unicode white space at both ends (``trim`` only removes U+0020)."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.btrim(c, F.lit(WHITE_SPACE))
 
 
 def is_blank(c: Column) -> Column:
@@ -61,12 +73,12 @@ def to_number(c: Column) -> Column:
 
 
 def parse_business_number(c: Column) -> Column:
-    """Numbers as people write them: 1,234 · (567) · ¥(567.00) · 1.2万 · 85% · full-width digits. Else null.
+    """Numbers as people write them: 1,234 · (567) · ¥(567.00) · 1.2万 · 85% · 100块 · full-width digits. Else null.
 
     A percent sign is dropped, not divided by. 万, 亿, 千, 百万 and k multiply. Accounting brackets negate.
     """
     s = strip(half_width(c.cast("string")))
-    s = F.regexp_replace(s, r"[,\s¥￥$€£]|(?i:rmb|cny|usd|元|圆)", "")
+    s = F.regexp_replace(s, r"[,\s¥￥$€£元圆块]|人民币|美元|(?i:rmb|cny|usd)", "")
     negative = s.rlike(r"^\(.+\)$")
     s = F.regexp_replace(F.regexp_replace(s, r"^\((.+)\)$", "$1"), r"%$", "")
     scale = (
@@ -77,6 +89,14 @@ def parse_business_number(c: Column) -> Column:
     return F.when(negative, -value * scale).otherwise(value * scale)
 
 
+def typed_number(c: Column, kind: str) -> Column:
+    """``to_number`` for a column of Spark type ``kind``: numeric types are only cast, dates and booleans hold no numbers."""
+    if kind.startswith(NUMERIC_TYPES):
+        x = c.cast("double")
+        return F.when(~F.isnan(x) & (F.abs(x) != float("inf")), x) if kind in ("float", "double") else x
+    return to_number(c) if kind.startswith(("string", "char", "varchar")) else F.lit(None).cast("double")
+
+
 def number(c: Column, numbers: str = "plain") -> Column:
     """``plain`` or ``business`` reading; numeric columns pass through either unchanged in value."""
     if numbers not in ("plain", "business"):
@@ -85,9 +105,12 @@ def number(c: Column, numbers: str = "plain") -> Column:
 
 
 def parse_date(c: Column) -> Column:
-    """A date or time in any of ``DATE_LAYOUTS``, as timestamp; else null."""
-    s = strip(c.cast("string"))
-    return F.coalesce(*[F.try_to_timestamp(s, F.lit(p)) for p in DATE_LAYOUTS])
+    """A date or time in any of ``DATE_LAYOUTS``, as timestamp; else null. The shape picks the layout, so a value is parsed once."""
+    s, out = strip(c.cast("string")), None
+    for layout, shape in DATE_LAYOUTS.items():
+        read = F.try_to_timestamp(s, F.lit(layout))
+        out = F.when(s.rlike(shape), read) if out is None else out.when(s.rlike(shape), read)
+    return out
 
 
 def time_bucket(c: Column, unit: str, missing: str = "(no date)") -> Column:
@@ -106,9 +129,12 @@ def time_bucket(c: Column, unit: str, missing: str = "(no date)") -> Column:
 # Names of columns: driver code on the schema.
 
 #: Parts of column names that mark a role.
-KEY_SUFFIXES = ("id", "code", "key", "no", "number", "编号", "编码", "单号", "代码", "号")
-DATE_TOKENS = ("date", "time", "day", "日期", "时间")
-AMOUNT_TOKENS = ("amount", "price", "qty", "quantity", "total", "cost", "balance", "stock", "金额", "数量", "价格", "单价", "库存")
+KEY_SUFFIXES = ("id", "code", "key", "no", "number", "license", "编号", "编码", "单号", "代码", "号")
+KEY_TOKENS = ("sitecode", "guid", "uuid", "编号", "编码", "单号", "工号", "卡号", "主键", "代码", "序号")
+DATE_TOKENS = ("date", "time", "day", "month", "year", "日期", "时间", "月份", "年度", "日", "月", "年")
+CELL_DATE_TOKENS = ("date", "time", "day", "日期", "时间")
+AMOUNT_TOKENS = ("amount", "price", "total", "cost", "fee", "balance", "金额", "费用", "价格", "单价")
+COUNT_TOKENS = ("qty", "quantity", "count", "stock", "inventory", "age", "duration", "days", "hours", "数量", "库存", "年龄", "时长", "天数", "小时", "人数", "件数")
 SENSITIVE_TOKENS = ("name", "email", "phone", "mobile", "address", "passport", "姓名", "邮箱", "电话", "手机", "地址", "身份证")
 
 
@@ -120,16 +146,28 @@ def normalize_name(name: str) -> str:
 def is_key_name(name: str) -> bool:
     parts = re.split(r"[^0-9a-z一-鿿]+", name.lower())
     flat = normalize_name(name)
-    return any(p in KEY_SUFFIXES for p in parts) or flat.endswith(("id", "key", "code", *[k for k in KEY_SUFFIXES if not k.isascii()]))
+    return any(p in KEY_SUFFIXES for p in parts) or any(t in flat for t in KEY_TOKENS) or flat.endswith(("id", "key", "code", *[k for k in KEY_SUFFIXES if not k.isascii()]))
 
 
 def is_date_name(name: str) -> bool:
+    """A column about time, months and years included."""
     return any(t in name.lower() for t in DATE_TOKENS)
 
 
+def holds_dates(name: str) -> bool:
+    """A column whose cells should be whole dates (a year or month of its own need not be)."""
+    return any(t in name.lower() for t in CELL_DATE_TOKENS)
+
+
 def is_amount_name(name: str) -> bool:
     return any(t in name.lower() for t in AMOUNT_TOKENS)
 
 
+def is_count_name(name: str) -> bool:
+    """Counts, ages and durations: numbers that can't be below zero."""
+    parts = re.split(r"[^0-9a-z一-鿿]+", name.lower())
+    return any(t in parts if t.isascii() else t in name for t in COUNT_TOKENS)
+
+
 def is_sensitive_name(name: str) -> bool:
     return any(t in name.lower() for t in SENSITIVE_TOKENS) or is_key_name(name)

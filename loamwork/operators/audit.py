@@ -25,9 +25,11 @@ def record_audit(df: DataFrame, keys: Sequence[str], covered: Mapping[str, Seque
 def label_summary(df: DataFrame, keys: Sequence[str], samples: int = 3) -> DataFrame:
     """(reason, rows, samples): how many rows have each reason; samples are the smallest keys."""
     each = df.select(F.concat_ws("|", *[F.col(k).cast("string") for k in keys]).alias("key"), F.explode(F.array_distinct(F.transform(ISSUES, lambda x: x["reason"]))).alias("reason"))
-    place = F.row_number().over(Window.partitionBy("reason").orderBy("key"))
-    shown = each.groupBy("reason", "key").agg(F.count(F.lit(1)).alias("n")).withColumn("place", place)
-    return shown.groupBy("reason").agg(F.sum("n").alias("rows"), F.array_join(F.array_sort(F.collect_list(F.when(F.col("place") <= samples, F.col("key")))), ",").alias("samples"))
+    counts = each.groupBy("reason").agg(F.count(F.lit(1)).alias("rows"))
+    # dense_rank is cut off in every task before the shuffle, so a reason that most rows have sends a few keys of each
+    place = F.dense_rank().over(Window.partitionBy("reason").orderBy("key"))
+    shown = each.withColumn("place", place).where(F.col("place") <= samples).groupBy("reason").agg(F.array_join(F.array_sort(F.collect_set("key")), ",").alias("samples"))
+    return counts.join(F.broadcast(shown), "reason")
 
 
 def review_tasks(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -91,9 +93,11 @@ def review_catalogue(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 def apply_decisions(df: DataFrame, decisions: DataFrame, keys: Sequence[str], **policy) -> tuple[DataFrame, DataFrame]:
     """(result, withheld) after review: accepted rows enter, excluded rows leave, the rest stay where the policy put them.
 
-    ``decisions`` has the keys and ``decision`` (accept, exclude or pending).
+    ``decisions`` has the keys and ``decision`` (accept, exclude or pending). Where several are given for one record, exclude
+    wins over accept, and both over pending.
     """
-    one = decisions.groupBy(*keys).agg(F.max("decision").alias("decision"))
+    weight = F.when(F.col("decision") == "exclude", 2).when(F.col("decision") == "accept", 1).otherwise(0)
+    one = decisions.groupBy(*keys).agg(F.max_by("decision", weight).alias("decision"))
     decided = df.join(one, list(keys), "left")
     enters = F.when(F.col("decision") == "accept", True).when(F.col("decision") == "exclude", False).otherwise(~needs_review(**policy))
     return decided.where(enters).drop("decision"), decided.where(~enters)

@@ -9,14 +9,15 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.predicates import all_blank, remark_row, repeated_header, sparse_note_row, total_row
-from ..functions.text import ZERO_WIDTH, is_amount_name, is_blank, is_date_name, is_key_name, normalize_width, parse_date, strip, to_number
+from ..functions.predicates import all_blank, mark_repeats, remark_row, repeated_header, sparse_note_row, total_row
+from ..functions.text import NUMERIC_TYPES, ZERO_WIDTH, holds_dates, is_amount_name, is_blank, is_count_name, is_key_name, normalize_width, parse_date, strip, typed_number
+from ..sources.scratch import written
+from .reshape import numbered_names, repeated_names
 from .rows import ROW_ID
-from .reshape import repeated_names
 
 FINDINGS = "findings"
 FINDING = "array<struct<field:string,issue:string,severity:string,affects_final:boolean,fixable:boolean>>"
@@ -41,6 +42,7 @@ VOCABULARY = {
     "mixed_case_duplicates": ("warn", False, False, "format", "unify"),
     "number_as_text": ("warn", False, False, "format", "convert"),
     "negative_amount": ("error", True, False, "negative", "review"),
+    "negative_numeric_value": ("error", True, False, "negative", "review"),
     "outlier": ("warn", False, False, "outlier", "review"),
     "duplicate_key": ("warn", True, False, "duplicate", "review"),
 }
@@ -60,30 +62,49 @@ def _facts(df: DataFrame, names: Sequence[str], approx: bool) -> Mapping:
     """One aggregate over all columns: what the value detectors need to know of the whole table."""
     kinds, aggs = dict(df.dtypes), []
     for i, n in enumerate(names):
-        c = F.col(f"`{n}`")
-        x = to_number(c)
-        filled = ~is_blank(c)
-        aggs += [F.count(F.when(filled, 1)).alias(f"filled{i}"), F.count(x).alias(f"numbers{i}"), F.max(x).alias(f"max{i}")]
-        if kinds[n] != "string" or is_amount_name(n):
-            aggs.append((F.percentile_approx(x, [0.25, 0.75], 10_000) if approx else F.percentile(x, F.array(F.lit(0.25), F.lit(0.75)))).alias(f"quartiles{i}"))
-        if is_date_name(n) and kinds[n] == "string":
-            aggs.append(F.count_distinct(F.regexp_replace(strip(c), r"\d+", "0")).alias(f"shapes{i}"))
-        if kinds[n] == "string" and not is_date_name(n):
-            s = strip(c)
-            aggs.append((F.count_distinct(s) - F.count_distinct(F.lower(s))).alias(f"folded{i}"))
+        c, is_text = F.col(f"`{n}`"), kinds[n] == "string"
+        x = typed_number(c, kinds[n])
+        if is_text and not holds_dates(n):
+            aggs.append(F.count(F.when(~is_blank(c), 1)).alias(f"filled{i}"))
+        if is_text and holds_dates(n):
+            shape = F.regexp_replace(strip(c), r"\d+", "0")
+            aggs.append((F.min(shape) != F.max(shape)).alias(f"shapes{i}"))
+        if is_text or kinds[n].startswith(NUMERIC_TYPES):
+            aggs += [F.count(x).alias(f"numbers{i}"), F.max(x).alias(f"max{i}")]
+            if not is_key_name(n) and (not is_text or is_amount_name(n) or is_count_name(n)):
+                aggs.append((F.percentile_approx(x, [0.25, 0.75], 10_000) if approx else F.percentile(x, F.array(F.lit(0.25), F.lit(0.75)))).alias(f"quartiles{i}"))
     return df.agg(*aggs).first().asDict() if aggs else {}
 
 
+def _mixed_cases(df: DataFrame, names: Sequence[str]) -> tuple[DataFrame, list[int]]:
+    """(place, low): lower-cased values that occur in several spellings, written, and the columns that have any.
+
+    All columns share one shuffle; a value counts once for each task, whatever its number of rows.
+    """
+    cells = F.array(*[F.struct(F.lit(i).alias("place"), strip(F.col(f"`{n}`")).alias("v")) for i, n in enumerate(names)])
+    spelled = df.select(F.inline(cells)).where("v <> ''").groupBy("place", F.lower("v").alias("low")).agg(F.min("v").alias("a"), F.max("v").alias("b"))
+    mixed = written(spelled.where("a <> b").select("place", "low"), "mixed-cases")
+    return mixed, [r[0] for r in mixed.select("place").distinct().collect()]
+
+
 def detect(df: DataFrame, row_issues: bool = True, approx: bool = False, keys: Sequence[str] | None = None) -> DataFrame:
-    """``df`` with ``findings``: all issues of the row and of its cells.
+    """``df`` with ``findings``: all issues of the row and of its cells. Repeated column names are numbered first.
 
-    ``keys``: columns checked for repeated values (key-like ones by default). ``approx`` uses sketched quartiles.
+    ``keys``: columns checked for repeated values (key-like ones by default). ``approx`` uses sketched quartiles. Whether
+    something repeats is found by counting and joining back, never by a window over all rows of a value; whole rows are
+    compared by two 64-bit hashes.
     """
+    df = df.toDF(*numbered_names(df.columns)) if len(set(df.columns)) < len(df.columns) else df
     names = [c for c in df.columns if c not in (ROW_ID, FINDINGS)]
-    kinds, facts, found = dict(df.dtypes), _facts(df, [c for c in df.columns if c not in (ROW_ID, FINDINGS)], approx), []
+    columns, kinds, facts, found = df.columns, dict(df.dtypes), _facts(df, names, approx), []
+    plain_texts = [n for n in names if kinds[n] == "string" and not holds_dates(n)]
+    mixed, mixed_at = _mixed_cases(df, plain_texts) if plain_texts else (None, [])
+    for i in mixed_at:
+        low = mixed.where(F.col("place") == i).select(F.col("low").alias(f"_low{i}"))
+        df = df.join(low, F.lower(strip(F.col(f"`{plain_texts[i]}`"))) == low[f"_low{i}"], "left")
     for i, n in enumerate(names):
         c = F.col(f"`{n}`")
-        x, is_text = to_number(c), kinds[n] == "string"
+        x, is_text = typed_number(c, kinds[n]), kinds[n] == "string"
 
         def when(test: Column, issue: str, field: str = n) -> None:
             found.append(F.when(F.coalesce(test, F.lit(False)), finding(field, issue)))
@@ -94,38 +115,49 @@ def detect(df: DataFrame, row_issues: bool = True, approx: bool = False, keys: S
             when((c != strip(c)) & (strip(c) != ""), "outer_spaces")
             when(c.rlike(ZERO_WIDTH), "invisible_characters")
             when(c.rlike(r"[\x{3000}\x{FF01}-\x{FF5E}]"), "full_width_characters")
-        if is_text and is_date_name(n):
+        if is_text and holds_dates(n):
             when(~is_blank(c) & parse_date(c).isNull(), "date_parse_failed")
-            if facts[f"shapes{i}"] > 1:
+            if facts[f"shapes{i}"]:
                 when(~is_blank(c), "mixed_date_formats")
         elif is_text:
             if facts[f"filled{i}"] and facts[f"numbers{i}"] >= 0.8 * facts[f"filled{i}"]:
                 when(~is_blank(c), "number_as_text")
-            if facts[f"folded{i}"] > 0:
-                found.append(None)  # set below, by values that occur in several cases
-                mixed = F.size(F.collect_set(strip(c)).over(Window.partitionBy(F.lower(strip(c))))) > 1
-                found[-1] = F.when(F.coalesce(mixed & ~is_blank(c), F.lit(False)), finding(n, "mixed_case_duplicates"))
-        if is_amount_name(n) and (facts[f"max{i}"] or 0) > 0:
-            when(x < 0, "negative_amount")
+            if (at := plain_texts.index(n)) in mixed_at:
+                when(F.col(f"_low{at}").isNotNull(), "mixed_case_duplicates")
+        if (is_amount_name(n) or is_count_name(n)) and (facts.get(f"max{i}") or 0) > 0:
+            when(x < 0, "negative_amount" if is_amount_name(n) else "negative_numeric_value")
         quartiles = facts.get(f"quartiles{i}")
-        if quartiles and not is_key_name(n) and facts[f"numbers{i}"] >= 4 and quartiles[1] > quartiles[0]:
+        if quartiles and facts[f"numbers{i}"] >= 4 and quartiles[1] > quartiles[0]:
             reach = 1.5 * (quartiles[1] - quartiles[0])
             when((x < quartiles[0] - reach) | (x > quartiles[1] + reach), "outlier")
     if row_issues:
         for test, issue in ((all_blank, "all_empty_row"), (repeated_header, "repeated_header_row"), (total_row, "summary_row"), (remark_row, "comment_row"), (sparse_note_row, "possible_note_row")):
             found.append(F.when(test(names), finding("", issue)))
-        twice = F.count(F.lit(1)).over(Window.partitionBy(*[F.col(f"`{n}`") for n in names])) > 1
-        found.append(F.when(twice, finding("", "duplicate_row")))
-    for n in [n for n in names if is_key_name(n)] if keys is None else keys:
+        cells = [x for n in names for x in (F.col(f"`{n}`"), F.col(f"`{n}`").isNull())]
+        df = mark_repeats(df, [F.xxhash64(*cells), F.xxhash64(F.lit(1), *reversed(cells))], "_row_again")
+        found.append(F.when(F.col("_row_again"), finding("", "duplicate_row")))
+    for i, n in enumerate([n for n in names if is_key_name(n)] if keys is None else keys):
         c = strip(F.col(f"`{n}`").cast("string"))
-        found.append(F.when((c != "") & (F.count(F.lit(1)).over(Window.partitionBy(c)) > 1), finding(n, "duplicate_key")))
-    return df.withColumn(FINDINGS, F.array_compact(F.array(*found)).cast(FINDING) if found else F.array().cast(FINDING))
+        df = mark_repeats(df, [c], f"_key_again{i}")
+        found.append(F.when((c != "") & F.col(f"_key_again{i}"), finding(n, "duplicate_key")))
+    shown = [F.col(f"`{c}`") for c in columns if c != FINDINGS]
+    return df.select(*shown, (F.array_compact(F.array(*found)) if found else F.array()).cast(FINDING).alias(FINDINGS))
+
 
+def issue_summary(detected: DataFrame, table: str = "table", columns: Sequence[str] | None = None) -> DataFrame:
+    """(table, field, issue, severity, affected_rows, ...), most severe and frequent first.
 
-def issue_summary(detected: DataFrame, table: str = "table", samples: int = 5) -> DataFrame:
-    """(table, field, issue, severity, affected_rows, ...), most severe and frequent first."""
+    An empty table is an issue of its own (with no rows affected), and so are repeated and unnamed names among ``columns``
+    (by default those of ``detected``), each with the number of columns it concerns.
+    """
     order = F.when(F.col("severity") == "error", 0).when(F.col("severity") == "warn", 1).otherwise(2)
     each = detected.select(F.inline(FINDINGS)).groupBy("field", "issue", "severity", "affects_final", "fixable").agg(F.count(F.lit(1)).alias("affected_rows"))
+    empty = detected.limit(1).agg(F.count(F.lit(1)).alias("n")).where("n = 0").select(finding("", "empty_table").alias("f")).select("f.*", F.lit(0).cast("long").alias("affected_rows"))
+    shown = [c for c in (columns if columns is not None else detected.columns) if c not in (ROW_ID, FINDINGS)]
+    if names := column_name_findings(shown):
+        counted = F.array(*[F.struct(finding(*x).alias("f"), F.lit(shown.count(x[0])).cast("long").alias("affected_rows")) for x in dict.fromkeys(names)])
+        empty = empty.union(detected.sparkSession.range(1, numPartitions=1).select(F.inline(counted)).select("f.*", "affected_rows"))
+    each = each.union(empty)
     return each.select(F.lit(table).alias("table"), "*").orderBy(order, F.col("affected_rows").desc(), "field", "issue")
 
 

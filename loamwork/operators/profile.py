@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.predicates import condition
+from ..functions.predicates import condition, with_repeats
 from ..functions.text import is_blank, is_key_name, normalize_name, strip, to_number
 from .rules import Rule
 
@@ -17,31 +17,40 @@ RELATION = "left_table string, left_field string, right_table string, right_fiel
 
 
 def profile(df: DataFrame, table: str = "table", approx: bool = False, repeats: Sequence[str] | None = None, samples: int = 3) -> DataFrame:
-    """One row for each column: counts, rates and samples (the smallest values). All columns in one aggregate.
+    """One row for each column: counts, rates, ``repeated_rows`` (rows whose value occurs again; two nulls count) and samples.
 
-    ``repeated_rows`` (rows whose value occurs again; two nulls count) takes a shuffle for each column, so by default
-    only key-like columns have it.
+    One scan and one shuffle: all cells are counted by (column, value) with partial sums, and everything follows from those
+    counts. Samples are the smallest values. ``repeats`` limits the columns that show repeated_rows. With ``approx`` there
+    is one aggregate of sketches and no shuffle of values; repeated_rows is null, and samples are the least and greatest.
     """
-    names = df.columns
-    aggs = [F.count(F.lit(1)).alias("rows")]
-    for i, n in enumerate(names):
-        c = F.col(f"`{n}`")
-        s = c.cast("string")
-        aggs += [
-            F.count(F.when(c.isNull(), 1)).alias(f"nulls{i}"),
-            F.count(F.when(c.isNotNull() & (strip(s) == ""), 1)).alias(f"empty{i}"),
-            (F.approx_count_distinct(c) if approx else F.count_distinct(c)).alias(f"distinct{i}"),
-        ]
-    counted = df.agg(*aggs)
-    wanted = [n for n in names if is_key_name(n)] if repeats is None else list(repeats)
-    twice = [df.groupBy(F.col(f"`{n}`").alias("v")).count().where("count > 1").agg(F.lit(n).alias("column"), F.coalesce(F.sum("count"), F.lit(0)).alias("repeated_rows")) for n in wanted]
-    shown = [df.select(F.col(f"`{n}`").cast("string").alias("v")).where("v is not null").distinct().orderBy("v").limit(samples).agg(F.lit(n).alias("column"), F.array_sort(F.collect_list("v")).alias("samples")) for n in names]
-    per = F.array(*[F.struct(F.lit(n).alias("column"), F.lit(t).alias("dtype"), F.lit(i).alias("place"), F.col(f"nulls{i}").alias("nulls"), F.col(f"empty{i}").alias("empty_strings"), F.col(f"distinct{i}").alias("distinct_values")) for i, (n, t) in enumerate(df.dtypes)])
-    out = counted.select("rows", F.inline(per))
-    none = df.sparkSession.createDataFrame([], "column string, repeated_rows long")
-    out = out.join(F.broadcast(reduce(DataFrame.union, twice, none)), "column", "left").join(F.broadcast(reduce(DataFrame.union, shown)), "column", "left")
+    columns = F.array(*[F.struct(F.lit(i).alias("place"), F.lit(n).alias("column"), F.lit(t).alias("dtype")) for i, (n, t) in enumerate(df.dtypes)])
+    listed = df.sparkSession.range(1, numPartitions=1).select(F.inline(columns))
+    if approx:
+        sums = []
+        for i, n in enumerate(df.columns):
+            c = F.col(f"`{n}`")
+            s = c.cast("string")
+            ends = F.array_distinct(F.array_compact(F.array(F.min(s), F.max(s))))
+            sums.append(F.struct(F.lit(i).alias("place"), F.count(F.lit(1)).alias("rows"), F.count(F.when(c.isNull(), 1)).alias("nulls"), F.count(F.when(strip(s) == "", 1)).alias("empty_strings"), F.approx_count_distinct(c).alias("distinct_values"), F.lit(None).cast("long").alias("repeated_rows"), ends.alias("samples")))
+        counted = df.agg(F.array(*sums).alias("a")).select(F.inline("a"))
+    else:
+        cells = F.array(*[F.struct(F.lit(i).alias("place"), F.col(f"`{n}`").cast("string").alias("v")) for i, n in enumerate(df.columns)])
+        values = df.select(F.inline(cells)).groupBy("place", "v").agg(F.count(F.lit(1)).alias("n"))
+        sum_of = lambda test: F.coalesce(F.sum(F.when(test, F.col("n"))), F.lit(0))
+        counted = values.groupBy("place").agg(
+            F.sum("n").alias("rows"), sum_of(F.col("v").isNull()).alias("nulls"), sum_of(strip(F.col("v")) == "").alias("empty_strings"),
+            F.count("v").alias("distinct_values"), sum_of(F.col("n") > 1).alias("repeated_rows"),
+        )
+        least = F.row_number().over(Window.partitionBy("place").orderBy("v"))
+        shown = values.where("v is not null").select("place", "v").withColumn("k", least).where(F.col("k") <= samples)
+        counted = counted.join(F.broadcast(shown.groupBy("place").agg(F.array_sort(F.collect_list("v")).alias("samples"))), "place", "left")
+        if repeats is not None:
+            wanted = [i for i, n in enumerate(df.columns) if n in repeats]
+            counted = counted.withColumn("repeated_rows", F.when(F.col("place").isin(wanted), F.col("repeated_rows")))
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
     rate = F.when(F.col("rows") > 0, F.round(F.col("nulls") / F.col("rows"), 6)).otherwise(F.lit(0.0))
-    return out.select(F.lit(table).alias("table"), "column", "dtype", "rows", "nulls", rate.alias("null_rate"), "empty_strings", "distinct_values", "repeated_rows", "samples")
+    out = F.broadcast(listed).join(counted, "place", "left")
+    return out.select(F.lit(table).alias("table"), "column", "dtype", zero("rows"), zero("nulls"), rate.alias("null_rate"), zero("empty_strings"), zero("distinct_values"), "repeated_rows", "samples")
 
 
 def profile_tables(tables: Mapping[str, DataFrame], approx: bool = False) -> DataFrame:
@@ -149,8 +158,8 @@ def matching_diagnostics(df_or_spark, relations: Sequence[Mapping], chosen: Sequ
 CRITICAL_TOKENS = ("id", "code", "key", "amount", "date", "status", "编号", "编码", "金额", "日期", "状态", "邮箱", "地址")
 
 
-def critical_fields(columns: Sequence[str], most: int = 12) -> list[str]:
-    return [c for c in columns if any(t in c.lower() for t in CRITICAL_TOKENS)][:most]
+def critical_fields(columns: Sequence[str]) -> list[str]:
+    return [c for c in columns if any(t in c.lower() for t in CRITICAL_TOKENS)]
 
 
 def recommend_rules(profiles: Sequence[Mapping], lookups: Sequence[Mapping] = (), keys: Sequence[str] = ()) -> list[Rule]:
@@ -173,12 +182,15 @@ def cleaning_plan(spark, profiles: Sequence[Mapping], rules: Sequence[Rule], loo
     return spark.createDataFrame(rows, "table string, field string, issues array<string>, rules array<string>, lookups array<string>")
 
 
-def rule_impact(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
-    """(rule, reason, severity, hits, rate): one pass for all rules."""
-    flagged = df.select(*[condition(r.condition(), df.columns).alias(f"r{i}") for i, r in enumerate(rules)])
-    sums = flagged.agg(F.count(F.lit(1)).alias("rows"), *[F.count(F.when(F.col(f"r{i}"), 1)).alias(f"n{i}") for i in range(len(rules))])
-    each = F.array(*[F.struct(F.lit(r.name).alias("rule"), F.lit(r.reason).alias("reason"), F.lit(r.severity).alias("severity"), F.col(f"n{i}").alias("hits")) for i, r in enumerate(rules)])
-    return sums.select("rows", F.inline(each)).select("rule", "reason", "severity", "hits", F.when(F.col("rows") > 0, F.round(F.col("hits") / F.col("rows"), 6)).otherwise(0.0).alias("rate"))
+def rule_impact(df: DataFrame, rules: Sequence[Rule], keys: Sequence[str] = ()) -> DataFrame:
+    """(rule, reason, severity, hits, rate): one pass for all rules. With ``keys`` also sample_keys, the least record hit."""
+    marked, tests = with_repeats(df, [r.condition() for r in rules])
+    key = F.concat_ws("|", *[F.col(f"`{k}`").cast("string") for k in keys])
+    flagged = marked.select(key.alias("key"), *[condition(t, marked.columns).alias(f"r{i}") for i, t in enumerate(tests)])
+    sums = flagged.agg(F.count(F.lit(1)).alias("rows"), *[x for i in range(len(rules)) for x in (F.count(F.when(F.col(f"r{i}"), 1)).alias(f"n{i}"), F.min(F.when(F.col(f"r{i}"), F.col("key"))).alias(f"k{i}"))])
+    each = F.array(*[F.struct(F.lit(r.name).alias("rule"), F.lit(r.reason).alias("reason"), F.lit(r.severity).alias("severity"), F.col(f"n{i}").alias("hits"), F.col(f"k{i}").alias("sample_key")) for i, r in enumerate(rules)])
+    rate = F.when(F.col("rows") > 0, F.round(F.col("hits") / F.col("rows"), 6)).otherwise(0.0)
+    return sums.select("rows", F.inline(each)).select("rule", "reason", "severity", "hits", rate.alias("rate"), *(["sample_key"] if keys else []))
 
 
 class RemovalNotConfirmed(RuntimeError):

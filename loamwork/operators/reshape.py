@@ -22,13 +22,14 @@ def rename(df: DataFrame, names: Mapping[str, str]) -> DataFrame:
 
 
 def map_values(df: DataFrame, column: str, values: Mapping[str, str]) -> DataFrame:
-    """``<column>_mapped``; what isn't mapped keeps its value. Large maps are joined instead of put into the plan."""
-    c = F.col(f"`{column}`").cast("string")
+    """``<column>_mapped``; what isn't mapped keeps its value. Keys are compared as text; of equal ones the last counts. Large
+    maps are joined instead of put into the plan."""
+    c, values = F.col(f"`{column}`").cast("string"), {str(k): str(v) for k, v in values.items()}
     if not values:
         return df.withColumn(f"{column}_mapped", c)
     if len(values) <= MANY_VALUES:
-        return df.withColumn(f"{column}_mapped", F.coalesce(F.try_element_at(F.create_map(*[F.lit(str(x)) for kv in values.items() for x in kv]), c), c))
-    table = df.sparkSession.createDataFrame([(str(k), str(v)) for k, v in values.items()], "_from string, _to string")
+        return df.withColumn(f"{column}_mapped", F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in values.items() for x in kv]), c), c))
+    table = df.sparkSession.createDataFrame(list(values.items()), "_from string, _to string")
     return df.join(table, c == F.col("_from"), "left").withColumn(f"{column}_mapped", F.coalesce("_to", c)).drop("_from", "_to")
 
 
@@ -205,5 +206,16 @@ def repeated_names(names: Sequence[str]) -> list[str]:
     return [n for n, k in Counter(names).items() if k > 1]
 
 
+def numbered_names(names: Sequence[str]) -> list[str]:
+    """Without repeats: a name that was there before gets _2, _3 and so on."""
+    out: list[str] = []
+    for n in names:
+        k, name = 2, n
+        while name in out:
+            name, k = f"{n}_{k}", k + 1
+        out.append(name)
+    return out
+
+
 def same_field(a: str, b: str) -> bool:
     return normalize_name(a) == normalize_name(b) != ""

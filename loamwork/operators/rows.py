@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.formulas import Formula, formula
-from ..functions.predicates import Condition, all_of, filter_rows
-from ..functions.text import parse_date, strip, text, to_number
+from ..functions.predicates import Condition, all_of, filter_rows, mark_repeats
+from ..functions.text import NUMERIC_TYPES, parse_date, strip, text, to_number, typed_number
+from ..sources.scratch import written
 
 ROW_ID = "_row_id"
 
@@ -30,10 +31,16 @@ def order_of(df: DataFrame, order_by: Sequence[Column | str] | None) -> list:
 
 
 def sortable(df: DataFrame, name: str, as_type: str | None = None) -> Column:
-    """A column's sort value: numbers if any value is one, else dates, else text. One aggregate decides, unless ``as_type``."""
-    c = F.col(f"`{name}`")
+    """A column's sort value: numbers if any value is one, else dates, else text.
+
+    The column's type decides; only for text, and without ``as_type``, does one aggregate look at the values.
+    """
+    c, kind = F.col(f"`{name}`"), dict(df.dtypes)[name]
+    if kind.startswith((*NUMERIC_TYPES, "date", "timestamp")) and as_type in (None, "number" if kind.startswith(NUMERIC_TYPES) else "date"):
+        return typed_number(c, kind) if kind.startswith(NUMERIC_TYPES) else c.cast("timestamp")
     if as_type is None:
-        numbers, dates = df.agg(F.count(to_number(c)), F.count(parse_date(c))).first()
+        x = to_number(c)
+        numbers, dates = df.agg(F.max(x.isNotNull()), F.max(F.when(x.isNull(), parse_date(c).isNotNull()))).first()
         as_type = "number" if numbers else "date" if dates else "text"
     return {"number": to_number(c), "date": parse_date(c), "text": strip(c.cast("string"))}[as_type]
 
@@ -57,11 +64,9 @@ def dense_rank(df: DataFrame, output: str, source: str, partition: Sequence[str]
 def _number_rows(df: DataFrame, order: list[Column], output: str) -> DataFrame:
     """1, 2, ... over the whole table: range partitions, sorted, with the counts of the partitions before as offsets.
 
-    The sorted rows are kept (spilling to disk), as their partition numbers must be the same when counted and when used.
+    The sorted rows are written, as their partition numbers must be the same when counted and when used.
     """
-    from pyspark import StorageLevel
-
-    placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()).persist(StorageLevel.DISK_ONLY)
+    placed = written(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()), "numbered")
     part = F.shiftright("_at", 33)
     counts, before, offsets = placed.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("n")).orderBy("_part").collect(), 0, {}
     for r in counts:
@@ -85,7 +90,7 @@ def dedupe(df: DataFrame, keys: Sequence[str] = (), keep: str = "first", order_b
     """
     names = list(keys) or [c for c in df.columns if c != ROW_ID]
     if keep == "all_duplicates":
-        return df.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*names))).where("_n > 1").drop("_n")
+        return mark_repeats(df, [F.col(f"`{n}`") for n in names], "_again_").where("_again_").drop("_again_")
     if not keys:
         return df.dropDuplicates(names)
     if keep in ("latest", "earliest"):
@@ -110,9 +115,7 @@ def fill_down(df: DataFrame, output: str, source: str, order_by: Sequence[str] |
     if partition:
         w = Window.partitionBy(*partition).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
         return df.withColumn(output, F.last(F.col(f"`{source}`"), ignorenulls=True).over(w))
-    from pyspark import StorageLevel
-
-    placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()).persist(StorageLevel.DISK_ONLY)
+    placed = written(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()), "filled")
     part = F.shiftright("_at", 33)
     ends = placed.groupBy(part.alias("_part")).agg(F.max_by(F.struct(F.col(f"`{source}`").alias("v")), F.when(F.col(f"`{source}`").isNotNull(), F.col("_at"))).alias("s")).orderBy("_part").collect()
     carried, rows = None, []

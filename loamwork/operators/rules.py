@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.predicates import Condition, condition
+from ..functions.predicates import Condition, condition, with_repeats
 
 ISSUES = "issues"
 SEVERITY = {"info": 0, "warn": 1, "error": 2}
@@ -39,8 +39,10 @@ def _issue(r: Rule) -> Column:
 
 def apply_rules(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """Adds to ``issues`` (array of reason, field, severity, kind). No row goes; one expression for all rules."""
-    made = F.array_compact(F.array(*[F.when(condition(r.condition(), df.columns), _issue(r)) for r in rules])) if rules else F.array().cast("array<struct<reason:string,field:string,severity:string,kind:string>>")
-    return df.withColumn(ISSUES, F.concat(F.col(ISSUES), made) if ISSUES in df.columns else made)
+    marked, tests = with_repeats(df, [r.condition() for r in rules])
+    made = F.array_compact(F.array(*[F.when(condition(t, marked.columns), _issue(r)) for r, t in zip(rules, tests)])) if rules else F.array().cast("array<struct<reason:string,field:string,severity:string,kind:string>>")
+    done = marked.withColumn(ISSUES, F.concat(F.col(ISSUES), made) if ISSUES in df.columns else made)
+    return done.select(*[f"`{c}`" for c in df.columns if c != ISSUES], ISSUES) if ISSUES not in df.columns else done.select(*[f"`{c}`" for c in df.columns])
 
 
 def in_scope(kinds: Sequence[str] | None) -> Column:
@@ -56,6 +58,11 @@ def needs_review(exclude_critical: bool = True, include_minor: bool = True, unma
     return critical | minor | unmatched
 
 
+def mark_usable(df: DataFrame, output: str = "part", **policy) -> DataFrame:
+    """Adds ``usable`` or ``review``: one scan decides both parts, which a sink can then write by that column."""
+    return df.withColumn(output, F.when(needs_review(**policy), "review").otherwise("usable"))
+
+
 def split_usable(df: DataFrame, **policy) -> tuple[DataFrame, DataFrame]:
     """(usable, review): each row is in one of the two."""
     test = needs_review(**policy)
@@ -157,6 +164,23 @@ def rules_from_rows(rows: Sequence[Mapping]) -> list[Rule]:
     return merge_rules(out)
 
 
+#: What the name of an import template holds.
+TEMPLATE_TOKENS = ("template", "import", "导入", "模板")
+
+
+def looks_like_template(name: str) -> bool:
+    return any(t in name.lower() for t in TEMPLATE_TOKENS)
+
+
+def template_requirements(tables: Mapping[str, Sequence[str]], inventory: Sequence[Mapping]) -> list[dict]:
+    """(source_file, field) for every column of a table that is an import template, as its own or its file's name says."""
+    out = []
+    for r in inventory:
+        if r["table"] in tables and looks_like_template(f"{r['file_name']} {r['table']}"):
+            out += [{"source_file": r["file"], "field": c, "requirement": "import_template_field"} for c in tables[r["table"]]]
+    return out
+
+
 def presence_report(spark, required: Sequence[str], available: Sequence[str]) -> DataFrame:
     """(field, status): which required fields a table has, whatever the case of their names."""
     have = {a.lower() for a in available}

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.reshape import neutralize_formulas
+from ..operators.reshape import neutralize_formulas, numbered_names
 
 FORMATS = {"csv": "csv", "tsv": "csv", "txt": "csv", "json": "json", "jsonl": "json", "parquet": "parquet", "orc": "orc"}
 INVENTORY = "table string, file string, file_name string, format string"
@@ -51,20 +51,43 @@ def discover(spark: SparkSession, paths: Sequence[str], recursive: bool = True,
     return sorted(best.values())
 
 
-def read_table(spark: SparkSession, path: str, schema: str | T.StructType | None = None, encoding: str = "UTF-8") -> DataFrame:
+def csv_traits(spark: SparkSession, paths: Sequence[str]) -> tuple[str, bool]:
+    """(encoding, whether cells hold line breaks) of CSV files, from one parallel pass over their lines.
+
+    Text that isn't valid UTF-8 is taken as GB18030. A line with an odd number of quotes has a cell that goes on in the next.
+    """
+    line = F.col("value")
+    odd = F.length(line) - F.length(F.replace(line, F.lit('"'), F.lit("")))
+    seen = spark.read.text(list(paths)).agg(F.max(~F.is_valid_utf8(line)).alias("other"), F.max(odd % 2 == 1).alias("broken")).first()
+    return "GB18030" if seen["other"] else "UTF-8", bool(seen["broken"])
+
+
+def _csv_reader(spark: SparkSession, sep: str, encoding: str, line_breaks: bool):
+    """Files with line breaks in cells can't be split, so they are read whole, one task each; all others are split."""
+    if encoding.upper() == "GB18030":
+        spark.conf.set("spark.sql.legacy.javaCharsets", "true")  # Spark 4 knows it only so
+    return spark.read.option("encoding", encoding).option("sep", sep).option("multiLine", line_breaks).option("escape", '"')
+
+
+def read_table(spark: SparkSession, path: str, schema: str | T.StructType | None = None, encoding: str | None = None, line_breaks: bool | None = None) -> DataFrame:
     """One table. CSV without a schema is read as text, since detectors need the original cells; type what you need later.
 
-    GB18030 needs ``spark.sql.legacy.javaCharsets=true`` on the session.
+    ``encoding`` and ``line_breaks`` of CSV are found by ``csv_traits`` unless both are given. A byte order mark is no
+    part of the first name.
     """
     kind = FORMATS.get(_suffix(path), "parquet")
-    reader = spark.read.schema(schema) if schema is not None else spark.read
-    if kind == "csv":
-        return reader.option("header", True).option("encoding", encoding).option("sep", "\t" if _suffix(path) == "tsv" else ",").option("multiLine", False).option("escape", '"').csv(path)
-    return reader.format(kind).load(path)
+    if kind != "csv":
+        return (spark.read.schema(schema) if schema is not None else spark.read).format(kind).load(path)
+    if encoding is None or line_breaks is None:
+        found = csv_traits(spark, [path])
+        encoding, line_breaks = encoding or found[0], found[1] if line_breaks is None else line_breaks
+    reader = _csv_reader(spark, "\t" if _suffix(path) == "tsv" else ",", encoding, line_breaks).option("header", True)
+    df = (reader.schema(schema) if schema is not None else reader).csv(path)
+    return df.withColumnRenamed(df.columns[0], df.columns[0].lstrip("\ufeff")) if df.columns and df.columns[0].startswith("\ufeff") else df
 
 
 def read_tables(spark: SparkSession, paths: Sequence[str], recursive: bool = True) -> tuple[dict[str, DataFrame], DataFrame]:
-    """(tables by file stem, inventory). Stems that repeat get ``__2``, ``__3``. Only plans are made; nothing is read yet."""
+    """(tables by file stem, inventory). Stems that repeat get ``__2``, ``__3``. Of CSV only the traits are looked at here."""
     tables, rows = {}, []
     for f in discover(spark, paths, recursive):
         name, n = _stem(f), 2
@@ -129,26 +152,25 @@ def header_names(rows: Sequence[Sequence[str | None]], row: int, levels: int) ->
             last = str(c).strip() if c is not None and str(c).strip() else last
             upper.append(last)
         lower = [(f"{u}_{n}" if u and u != n and (lower.count(n) > 1) else n) or u for u, n in zip(upper, lower)]
-    out: list[str] = []
-    for i, n in enumerate(lower):
-        n = n or f"column_{i + 1}"
-        k, name = 2, n
-        while name in out:
-            name, k = f"{n}_{k}", k + 1
-        out.append(name)
-    return out
+    return numbered_names([n or f"column_{i + 1}" for i, n in enumerate(lower)])
 
 
 def read_with_header_repair(spark: SparkSession, paths: Sequence[str], look_at: int = 6, sep: str = ",") -> DataFrame:
     """CSV files whose header may stand below a title or spread over two rows, as one table with ``_file``.
 
     The first lines of each file (a few cells, whatever the file's size) are looked at on the driver; the header rows are
-    then filtered out of the scan. Files with the same names are read together, and all are united by name.
+    then filtered out of the scan. Files with the same names are read together, and all are united by name. Cells to the
+    right of the header are kept as column_1, column_2, ... by their place. Two passes before the result find the widest
+    row, so that no first line decides how many cells are read.
     """
     from pyspark.sql import Window
 
-    raw = spark.read.option("header", False).option("sep", sep).option("mode", "PERMISSIVE").option("escape", '"').csv(list(paths))
-    cells = raw.columns
+    encoding, line_breaks = csv_traits(spark, paths)
+    line = F.col("value")
+    most = spark.read.text(list(paths)).agg(F.max(F.length(line) - F.length(F.replace(line, F.lit(sep), F.lit("")))).alias("n")).first()["n"]
+    cells = [f"_c{i}" for i in range((most or 0) + 1)]
+    raw = _csv_reader(spark, sep, encoding, line_breaks).option("header", False).option("mode", "PERMISSIVE").schema(", ".join(f"{c} string" for c in cells)).csv(list(paths))
+    raw = raw.withColumn("_c0", F.regexp_replace("_c0", "^\ufeff", ""))
     placed = raw.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at")).withColumn("_cells", F.array(*cells))
     first = placed.where("_block = 0").groupBy("_file").agg(F.min("_at").alias("_first"))
     near = placed.where("_block = 0").join(F.broadcast(first), "_file").where(F.col("_at") < F.col("_first") + 2 * look_at)
@@ -163,11 +185,14 @@ def read_with_header_repair(spark: SparkSession, paths: Sequence[str], look_at:
         width = max((i + 1 for c in grid[row : row + levels] for i, x in enumerate(c) if x is not None and x.strip()), default=len(cells))
         groups.setdefault(tuple(header_names([c[:width] for c in grid], row, levels)), []).append((f, rows[row + levels - 1][0]))
     parts = []
+    last = F.greatest(F.lit(0), *[F.when(F.trim(c) != "", i + 1) for i, c in enumerate(cells)])
     for names, files in groups.items():
         ends = F.broadcast(spark.createDataFrame(files, "_file string, _end long"))
         body = placed.join(ends, "_file").where((F.col("_block") > 0) | (F.col("_at") > F.col("_end")))
         body = body.where(F.exists(F.array(*cells), lambda x: F.trim(x) != ""))
-        parts.append(body.select(*[F.col(c).alias(n) for c, n in zip(cells, names)], "_file"))
+        width = body.agg(F.max(last)).first()[0] or 0
+        full = numbered_names([*names, *[f"column_{i + 1}" for i in range(len(names), width)]])
+        parts.append(body.select(*[F.col(c).alias(n) for c, n in zip(cells, full)], "_file"))
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 

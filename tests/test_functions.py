@@ -95,3 +95,31 @@ def test_unknown_formulas_and_columns(spark):
     for f in (Formula("o", "nothing", "a"), Formula("o", "trim", "zz"), Formula("o", "split", "a"), Formula("o", "add", columns=["a"])):
         with pytest.raises(ValueError):
             formula(f, list(BASE))
+
+
+@pytest.mark.parametrize(("pattern", "want"), [("dd/mm/yyyy", "05/03/2024"), ("mm-dd-yyyy", "03-05-2024"), ("yy-mm-dd", "24-03-05"), ("%Y.%m.%d", "2024.03.05"), ("yyyy年mm月dd日", "2024年03月05日"), ("yyyy-mm-dd HH:mm", "2024-03-05 00:00"), ("mm/dd", "03/05")])
+def test_date_formats(spark, pattern, want):
+    df = spark.createDataFrame([("2024-03-05",)], "d string")
+    assert df.select(formula(Formula("o", "text", "d", value=pattern), ["d"])).first()[0] == want
+
+
+@pytest.mark.parametrize(("text", "want"), [("100块", 100), ("100人民币", 100), ("5美元", 5), ("1.2万元", 12000), ("RMB 3千", 3000)])
+def test_currency_words(spark, text, want):
+    assert one(spark, text, parse_business_number) == want
+
+
+def test_names_of_columns():
+    from loamwork.functions.text import holds_dates, is_amount_name, is_count_name, is_date_name
+
+    assert all(map(is_key_name, ("主键", "序号", "工号", "卡号", "license_no", "license", "site_code", "uuid"))) and not any(map(is_key_name, ("备注", "amount", "notes")))
+    assert all(map(is_date_name, ("month", "year", "年度", "order_date"))) and holds_dates("order_date") and not holds_dates("year")
+    assert is_count_name("stock_qty") and is_count_name("年龄") and not is_count_name("account") and is_amount_name("unit_price")
+
+
+def test_names_that_begin_like_totals_are_records(spark):
+    names = ["Summit Ltd", "Total Energies", "Sumitomo", "Notebook", "Noteworthy", "total", " SUM ", "合计", "Note: x", "remarks", "备注如下"]
+    df = spark.createDataFrame([(n, "1") for n in names], "name string, n string")
+    from loamwork.functions.predicates import remark_row, total_row
+
+    got = {r["name"]: (r["t"], r["r"]) for r in df.select("name", total_row(df.columns).alias("t"), remark_row(df.columns).alias("r")).collect()}
+    assert [n for n in names if got[n][0]] == ["total", " SUM ", "合计"] and [n for n in names if got[n][1]] == ["Note: x", "remarks", "备注如下"]

@@ -179,3 +179,72 @@ def test_job_end_to_end(spark, orders, customers):
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "order_id string, amount string, order_date string")
     assert profile.profile(none).count() == 3 and detect.detect(none).count() == 0 and summarize.aggregate(none, ["order_id"], [summarize.Metric("sum", "amount")]).count() == 0
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_structure_findings(spark):
+    df = spark.createDataFrame([(1, "a", "x"), (2, "b", "y")], "id long, a string, b string").toDF("id", "v", "v")
+    found = detect.issue_summary(detect.detect(df, keys=[]), columns=[*df.columns, "Unnamed: 3"])
+    assert values(found, "field", "issue", "affected_rows") == [("Unnamed: 3", "unnamed_column", 1), ("v", "duplicate_columns", 2)]
+    empty = spark.createDataFrame([], "id long, v string")
+    assert values(detect.issue_summary(detect.detect(empty, keys=[])), "field", "issue", "affected_rows") == [("", "empty_table", 0)]
+
+
+def test_cell_findings(spark):
+    rows_ = [(1, "Ann", "5", "2024-01-01"), (2, "ANN", "-2", "2024/01/02"), (3, "b​ob", None, "soon"), (4, "Eve", "7", None), (5, "eve ", "9", "2024-01-03")]
+    df = spark.createDataFrame(rows_, "id long, name string, qty string, day string")
+    got = detect.detect(df, keys=["name"]).select("id", F.explode("findings").alias("f")).select("id", "f.field", "f.issue")
+    assert values(got, "id", "field", "issue") == sorted([
+        (1, "name", "mixed_case_duplicates"), (2, "name", "mixed_case_duplicates"), (4, "name", "mixed_case_duplicates"), (5, "name", "mixed_case_duplicates"), (5, "name", "outer_spaces"),
+        (3, "name", "invisible_characters"), (3, "qty", "null_value"), (4, "day", "null_value"), (3, "day", "date_parse_failed"), (2, "qty", "negative_numeric_value"),
+        *[(i, "qty", "number_as_text") for i in (1, 2, 4, 5)], *[(i, "day", "mixed_date_formats") for i in (1, 2, 3, 5)],
+    ], key=repr)
+
+
+def test_repeats_need_no_window(spark):
+    df = spark.createDataFrame([(1, "a", None), (2, "a", None), (3, None, "x"), (4, None, "x"), (1, "a", None), (5, "", "y")], "id long, k string, v string")
+    out = detect.detect(df, keys=["k"])
+    assert values(out.where(detect.any_finding("duplicate_key")), "id") == [(1,), (1,), (2,)] and values(out.where(detect.any_finding("duplicate_row")), "id") == [(1,), (1,)]
+    twice = rows.dedupe(df, ["k"], "all_duplicates")
+    assert values(twice, "id") == [(1,), (1,), (2,), (3,), (4,)]
+    ruled = rules.apply_rules(df, [rules.Rule("k twice", "k", "duplicated", reason="twice")])
+    assert values(ruled.where(F.size("issues") > 0), "id") == values(twice, "id") and ruled.columns == ["id", "k", "v", "issues"]
+    for d in (out, twice, ruled):
+        assert "Window" not in plan_of(d)
+
+
+def test_profile_equals_brute_force(spark):
+    data = [(1, "a"), (1, None), (2, " "), (None, "a"), (3, "b"), (None, "c")]
+    df = spark.createDataFrame(data, "n long, s string")
+    got = {r["column"]: r for r in profile.profile(df, "t").collect()}
+    assert tuple(got["n"])[:9] == ("t", "n", "bigint", 6, 2, round(2 / 6, 6), 0, 3, 4) and got["n"]["samples"] == ["1", "2", "3"]
+    assert tuple(got["s"])[:9] == ("t", "s", "string", 6, 1, round(1 / 6, 6), 1, 4, 2) and got["s"]["samples"] == [" ", "a", "b"]
+    empty = {r["column"]: (r["rows"], r["nulls"], r["distinct_values"]) for r in profile.profile(df.limit(0)).collect()}
+    assert empty == {"n": (0, 0, 0), "s": (0, 0, 0)}
+    rough = {r["column"]: r for r in profile.profile(df, approx=True).collect()}
+    assert rough["n"]["distinct_values"] == 3 and rough["s"]["samples"] == [" ", "c"]
+
+
+def test_decisions_and_labels(spark):
+    df = rules.apply_rules(spark.createDataFrame([(i, None if i % 3 else "x") for i in range(9)], "id long, v string"), [rules.Rule("v", "v", "is_blank", reason="blank")])
+    decided = spark.createDataFrame([(1, "accept"), (1, "pending"), (2, "accept"), (2, "exclude"), (4, "pending")], "id long, decision string")
+    kept, held = audit.apply_decisions(df, decided, ["id"])
+    assert values(kept, "id") == [(0,), (1,), (3,), (6,)] and held.count() == 5
+    assert values(audit.label_summary(df, ["id"], 2), "reason", "rows", "samples") == [("blank", 6, "1,2")]
+    hits = profile.rule_impact(df.drop("issues"), [rules.Rule("v", "v", "is_blank", reason="blank")], ["id"])
+    assert values(hits, "reason", "hits", "sample_key") == [("blank", 6, "1")]
+
+
+def test_template_requirements():
+    inventory = [{"table": "import_orders", "file": "/in/a.csv", "file_name": "a.csv"}, {"table": "orders", "file": "/in/b.csv", "file_name": "b.csv"}, {"table": "t", "file": "/in/客户模板.csv", "file_name": "客户模板.csv"}]
+    found = rules.template_requirements({"import_orders": ["id", "city"], "orders": ["x"], "t": ["姓名"]}, inventory)
+    assert [(r["source_file"], r["field"]) for r in found] == [("/in/a.csv", "id"), ("/in/a.csv", "city"), ("/in/客户模板.csv", "姓名")]
+
+
+def test_large_value_maps_keep_rows(spark):
+    df = spark.createDataFrame([("1",), ("7",), (None,)], "v string")
+    many = {i: f"n{i}" for i in range(2, 700)} | {1: "one", "1": "uno"}
+    assert values(reshape.map_values(df, "v", many), "v_mapped") == sorted([("uno",), ("n7",), (None,)], key=repr)

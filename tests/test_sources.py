@@ -65,3 +65,30 @@ def test_streams(spark, tmp_path):
     assert sorted(r["rows"] for r in counts) == [1, 3]
     issues = result(events.windowed_issues(stream, [Rule("kind", "kind", "is_blank", reason="kind_blank")], "ts"), "complete", "s3")
     assert [(r["reason"], r["rows"]) for r in issues] == [("kind_blank", 1)]
+
+
+def cells(df):
+    return sorted((tuple(r) for r in df.collect()), key=repr)
+
+
+def test_csv_with_line_breaks_marks_and_encodings(spark, tmp_path):
+    (tmp_path / "broken.csv").write_text('id,note\n1,"one\ntwo"\n2,"say ""hi"", then go"\n')
+    (tmp_path / "marked.csv").write_bytes("﻿id,note\n1,é\n".encode())
+    (tmp_path / "chinese.csv").write_bytes("编号,城市\n1,北京\n".encode("gb18030"))
+    found, _ = tables.read_tables(spark, [str(tmp_path)])
+    assert cells(found["broken"]) == [("1", "one\ntwo"), ("2", 'say "hi", then go')]
+    assert found["marked"].columns == ["id", "note"] and cells(found["marked"]) == [("1", "é")]
+    assert found["chinese"].columns == ["编号", "城市"] and cells(found["chinese"]) == [("1", "北京")]
+
+
+def test_header_repair_of_narrow_titles_and_ragged_rows(spark, tmp_path):
+    (tmp_path / "title.csv").write_text("Report\norder,city,amount\nO1,Rome,5,late,x\nO2,Oslo\nO3,Bonn,7\n")
+    out = tables.read_with_header_repair(spark, [str(tmp_path)])
+    assert out.columns == ["order", "city", "amount", "column_4", "column_5", "_file"]
+    assert cells(out.drop("_file")) == [("O1", "Rome", "5", "late", "x"), ("O2", "Oslo", None, None, None), ("O3", "Bonn", "7", None, None)]
+
+
+def test_header_repair_reads_quoted_separators(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('Sales\nid,city\n1,"Rome, Italy"\n2,"two\nlines"\n')
+    out = tables.read_with_header_repair(spark, [str(tmp_path)])
+    assert cells(out.drop("_file")) == [("1", "Rome, Italy"), ("2", "two\nlines")]
