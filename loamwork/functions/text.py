@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -41,6 +42,11 @@ def strip(c: Column) -> Column:
     return F.btrim(c, F.lit(WHITE_SPACE))
 
 
+def once(c: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(c)`` with ``c`` computed once a row, however often ``f`` uses it (Spark shares nothing between CASE branches)."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
 def is_blank(c: Column) -> Column:
     """Null, or nothing but white space. Never null itself."""
     return c.isNull() | (strip(c.cast("string")) == "")
@@ -77,16 +83,22 @@ def parse_business_number(c: Column) -> Column:
 
     A percent sign is dropped, not divided by. 万, 亿, 千, 百万 and k multiply. Accounting brackets negate.
     """
-    s = strip(half_width(c.cast("string")))
-    s = F.regexp_replace(s, r"[,\s¥￥$€£元圆块]|人民币|美元|(?i:rmb|cny|usd)", "")
-    negative = s.rlike(r"^\(.+\)$")
-    s = F.regexp_replace(F.regexp_replace(s, r"^\((.+)\)$", "$1"), r"%$", "")
-    scale = (
-        F.when(s.endswith("百万"), 1e6).when(s.endswith("万"), 1e4).when(s.endswith("亿"), 1e8)
-        .when(s.endswith("千"), 1e3).when(F.lower(s).endswith("k"), 1e3).otherwise(1.0)
-    )
-    value = to_number(F.regexp_replace(s, r"(百万|万|亿|千|[kK])$", ""))
-    return F.when(negative, -value * scale).otherwise(value * scale)
+    def bare(s: Column) -> Column:
+        return F.regexp_replace(half_width(s), r"[,\s¥￥$€£元圆块]|人民币|美元|(?i:rmb|cny|usd)", "")
+
+    def scaled(s: Column) -> Column:
+        scale = (
+            F.when(s.endswith("百万"), 1e6).when(s.endswith("万"), 1e4).when(s.endswith("亿"), 1e8)
+            .when(s.endswith("千"), 1e3).when(F.lower(s).endswith("k"), 1e3).otherwise(1.0)
+        )
+        return to_number(F.regexp_replace(s, r"(百万|万|亿|千|[kK])$", "")) * scale
+
+    def signed(s: Column) -> Column:
+        inside = F.regexp_replace(F.regexp_replace(s, r"^\((.+)\)$", "$1"), r"%$", "")
+        return F.when(s.startswith("("), -1.0).otherwise(1.0) * once(inside, scaled)
+
+    # most cells are plain numbers or blank: those take one pattern and nothing else
+    return once(strip(c.cast("string")), lambda s: F.when(s.rlike(_NUMBER), s.try_cast("double")).when(s.rlike(r"\p{Nd}"), once(bare(s), signed)))
 
 
 def typed_number(c: Column, kind: str) -> Column:
@@ -106,11 +118,13 @@ def number(c: Column, numbers: str = "plain") -> Column:
 
 def parse_date(c: Column) -> Column:
     """A date or time in any of ``DATE_LAYOUTS``, as timestamp; else null. The shape picks the layout, so a value is parsed once."""
-    s, out = strip(c.cast("string")), None
-    for layout, shape in DATE_LAYOUTS.items():
-        read = F.try_to_timestamp(s, F.lit(layout))
-        out = F.when(s.rlike(shape), read) if out is None else out.when(s.rlike(shape), read)
-    return out
+    def read(s: Column) -> Column:
+        out = F.when(~s.rlike(r"^\d"), F.lit(None).cast("timestamp"))
+        for layout, shape in DATE_LAYOUTS.items():
+            out = out.when(s.rlike(shape), F.try_to_timestamp(s, F.lit(layout)))
+        return out
+
+    return once(strip(c.cast("string")), read)
 
 
 def time_bucket(c: Column, unit: str, missing: str = "(no date)") -> Column:
