@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import json
+import re
 import tempfile
 import uuid
 from array import array
@@ -112,55 +113,66 @@ def text_sizes(batch: pa.RecordBatch) -> list[int]:
     return pc.fill_null(pc.binary_length(batch.column("text")), 0).to_pylist()
 
 
-class WordTokenizer:
+#: A word of Latin letters that lower-case one by one (İ doesn't), and ASCII marks after it.
+_PLAIN_WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-įı-ɏ]+)([!-/:-@\[-`{-~]*)")
+
+
+class WordTokenizer(dict):
     """A ``tokenizers`` file whose tokens never span white space: ids of a text are those of its words, and words repeat.
 
-    Every word is encoded by the library once and remembered (``keep`` words at most, then the memory starts anew).
-    ASCII letters are lower-cased before the look-up where the file's own normalizer lower-cases anyway and nothing
-    in the text could compose with them. Plain lower-case Latin words skip the normalizer, which leaves them as they are.
+    A dict from words to their ids; a word that is missing is encoded by the library and remembered, if it is no longer
+    than ``longest`` bytes. ``keep`` words bound the memory: at half of that, what is known becomes the old half, from
+    which words that are met again move back, and the old half before it goes. ASCII letters are lower-cased before
+    the look-up where the file's own normalizer lower-cases anyway and nothing in the text could compose with them. Latin
+    words, which the file's normalizer only lower-cases and its pre-tokenizer parts from the marks that follow, go straight
+    to the model.
     """
 
-    def __init__(self, path: str, keep: int = 300_000):
+    def __init__(self, path: str, keep: int = 400_000, longest: int = 64):
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.full = Tokenizer.from_file(path)
-        self.model, self.keep, self.ids = self.full.model, keep, {}
+        self.model, self.keep, self.longest = self.full.model, keep, longest
         spec = json.loads(self.full.to_str())
         kinds = json.dumps([spec.get("normalizer"), spec.get("pre_tokenizer")])
         if '"Lowercase"' not in kinds or r'[^\\s\\p{L}\\p{N}]+' not in kinds or '"NFC"' not in kinds:
             raise ValueError(f"{path}: its tokens may span white space, so words can't be encoded one by one")
         self.special = [t["content"].encode() for t in spec["added_tokens"]]
         self.code = "H" if self.full.get_vocab_size() <= 1 << 16 else "I"
+        self.old: dict[bytes, bytes] = {}
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in set(plain)]
         self.as_char = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
-    def _learn(self, words: Iterable[bytes]) -> None:
-        ids, code, hard, ends = self.ids, self.code, [], []
-        for w in words:
-            core = w[:-1] if w[-1:] in (b".", b",") else w
-            s = core.decode("utf-8", "replace")
-            if s.isalpha() and s == s.lower() and max(s) < "ɐ":
-                if core not in ids:
-                    ids[core] = array(code, [t.id for t in self.model.tokenize(core.decode("latin-1").translate(self.as_char))]).tobytes()
-                if core is not w:
-                    ends.append(w)
-            else:
-                hard.append(w)
-        if hard or ends:
-            hard += [w for w in (b".", b",") if w not in ids]
-            for w, e in zip(hard, self.full.encode_batch_fast([w.decode("utf-8", "replace") for w in hard], add_special_tokens=False)):
-                ids[w] = array(code, e.ids).tobytes()
-            for w in ends:
-                ids[w] = ids[w[:-1]] + ids[w[-1:]]
+    def __missing__(self, word: bytes) -> bytes:
+        if word in self.old:
+            self[word] = ids = self.old[word]
+            return ids
+        shown = word.decode("utf-8", "replace")
+        plain = _PLAIN_WORD.fullmatch(shown)
+        if plain is None:
+            ids = array(self.code, self.full.encode(shown, add_special_tokens=False).ids).tobytes()
+        elif plain[2]:
+            ids = self[plain[1].lower().encode()] + self._marks(plain[2])
+        else:
+            core = shown.lower()
+            core = core if core.isascii() else core.encode().decode("latin-1").translate(self.as_char)
+            ids = array(self.code, [t.id for t in self.model.tokenize(core)]).tobytes()
+        if len(word) <= self.longest:
+            self[word] = ids
+        return ids
+
+    def _marks(self, marks: str) -> bytes:
+        key = marks.encode()
+        return self[key] if key in self else self.__missing__(key)
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """For each text its ids, little-endian, in ``code``."""
-        if len(self.ids) > self.keep:
-            self.ids.clear()
-        words = [self._lower(t).split() for t in texts]
-        self._learn(set().union(*words).difference(self.ids))
-        return [b"".join(map(self.ids.__getitem__, w)) for w in words]
+        if len(self) > self.keep // 2:
+            self.old = dict(self)
+            self.clear()
+        return [b"".join(map(self.__getitem__, self._lower(t).split())) for t in texts]
 
     def _lower(self, text: bytes) -> bytes:
         if b"\xcc" in text or b"\xcd" in text or any(s[:2] in text for s in self.special):

@@ -212,3 +212,37 @@ def test_strong_ngrams_lose_nothing(spark, licence_model):
     bias = licence_model.weights[""]
     most = sum(max(0.0, max(w[i] - w[-1] for i in range(n - 1))) for w in weak)
     assert max(b - bias[-1] for b in bias[:-1]) + most < 0
+
+
+def test_neighbours_are_in_full_bm25_order():
+    """Against the formula itself, with terms that most items share and with counts of a larger corpus."""
+    from loamwork.llm.packing import B, K1, ShardIndex
+
+    rng = np.random.default_rng(11)
+    items = [rng.zipf(1.3, rng.integers(1, 60)).clip(1, 400).astype("<u2") for _ in range(700)] + [np.array([1, 2, 3], "<u2")] * 600
+    mean = sum(map(len, items)) / len(items)
+    for extra in (0, 5000):
+        df = np.bincount(np.concatenate([np.unique(i) for i in items]), minlength=402) + extra
+        n = len(items) + extra
+        index = ShardIndex(items, df, n, mean)
+        unused = rng.random(len(items)) < 0.7
+        for seed in (0, 5, 300, 900):
+            want = []
+            for j, other in enumerate(items):
+                tf = dict(zip(*np.unique(other, return_counts=True)))
+                score = sum(np.log1p((n - df[t] + 0.5) / (df[t] + 0.5)) * tf[t] * (K1 + 1) / (tf[t] + K1 * (1 - B + B * len(other) / mean)) for t in np.unique(items[seed]) if t in tf)
+                if j != seed and unused[j] and score > 0:
+                    want.append((-round(float(score), 9), j))
+            got = index.neighbours(seed, unused)
+            score = index.scores(seed)
+            assert [(-round(float(score[j]), 9), j) for j in got] == sorted(want)
+
+
+def test_packing_counts_the_whole_corpus(spark):
+    from loamwork.llm.packing import corpus_counts, tokenized
+
+    docs = odd_documents(spark)
+    df, n, mean, total = corpus_counts(*tokenized(docs, default_tokenizer(), 2), 256)
+    ids = [ids_of(r["text"]) for r in docs.collect()]
+    assert n == len(ids) and total == sum(map(len, ids)) and abs(mean - np.mean([len(i) % 256 for i in ids])) < 1e-9
+    assert df.tolist() == np.bincount(np.concatenate([np.unique(i) for i in ids])).tolist()
