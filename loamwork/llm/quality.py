@@ -80,8 +80,9 @@ def _spread(x: np.ndarray, edges: list[np.ndarray]) -> np.ndarray:
     return np.concatenate([x[:, i : i + 1] > e[None, :] for i, e in enumerate(edges)], axis=1).astype(np.float64)
 
 
-def fit_pairs(x: np.ndarray, y: np.ndarray, pairs: int = 60_000, bins: int = 12, steps: int = 400, decay: float = 1e-3, seed: int = 7) -> PairwiseModel:
-    """Fit on rows ``x`` of features with labels ``y`` (0 or 1). Without both labels every score is one half."""
+def fit_pairs(x: np.ndarray, y: np.ndarray, pairs: int = 2048, bins: int = 12, steps: int = 400, decay: float = 1e-3, seed: int = 7) -> PairwiseModel:
+    """Fit on rows ``x`` of features with labels ``y`` (0 or 1), ``pairs`` drawn for each step. Without both labels every
+    score is one half."""
     good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
     edges = [np.unique(np.quantile(x[:, i], np.linspace(0, 1, bins + 1)[:-1])) if len(x) else np.zeros(0) for i in range(x.shape[1])]
     if len(bad):
@@ -94,8 +95,7 @@ def fit_pairs(x: np.ndarray, y: np.ndarray, pairs: int = 60_000, bins: int = 12,
     w = np.zeros(spread.shape[1])
     first, second = np.zeros_like(w), np.zeros_like(w)
     for step in range(1, steps + 1):
-        batch = min(pairs, 2048)
-        d = spread[rng.choice(good, batch)] - spread[rng.choice(bad, batch)]
+        d = spread[rng.choice(good, pairs)] - spread[rng.choice(bad, pairs)]
         grad = -(d * (1 / (1 + np.exp(np.clip(d @ w, -30, 30))))[:, None]).mean(0) + decay * w
         first, second = 0.9 * first + 0.1 * grad, 0.999 * second + 0.001 * grad**2
         w -= 0.05 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
@@ -135,9 +135,10 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 8_000) -> Pairw
     share = min(1.0, sample_rows / max(1, n))
     drawn = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
     # the sample is bounded by sample_rows, so it may be sent to all executors and its features to the driver
-    rows = _with_features(id_and_text(docs).join(F.broadcast(drawn), "doc_id"), ["quality"]).orderBy(F.xxhash64("doc_id"), "x").toPandas()
-    x = np.array(rows["x"].tolist(), dtype=np.float64).reshape(len(rows), len(FEATURES))
-    return fit_pairs(x, rows["quality"].to_numpy())
+    rows = _with_features(id_and_text(docs).join(F.broadcast(drawn), "doc_id"), ["quality"]).collect()
+    rows = sorted((r["doc_id"], r["x"], r["quality"]) for r in rows)  # so that the order of partitions makes no difference
+    x = np.array([r[1] for r in rows], dtype=np.float64).reshape(len(rows), len(FEATURES))
+    return fit_pairs(x, np.array([r[2] for r in rows], np.int64))
 
 
 def score(docs: DataFrame, model: PairwiseModel) -> DataFrame:

@@ -10,6 +10,8 @@ are spread over neighbouring shards, whatever share of the rows they hold.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -20,11 +22,13 @@ from .shared import id_and_text, materialize, shuffle_partitions
 OVERHEAD = 16
 
 
-def shard_by_bytes(docs: DataFrame, shards: int = 40, sample_keys: int = 20_000, whole: float = 0.02, max_range_rows: int = 1_000_000) -> DataFrame:
+def shard_by_bytes(docs: DataFrame, shards: int = 40, sample_keys: int = 20_000, whole: float = 0.02, max_range_rows: int = 1_000_000, overfull: float = 2.0) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard for every row of ``docs``.
 
     Null texts have no bytes (size ``OVERHEAD``, crc32 0). Repeated rows count each. An empty table gives no rows.
     ``sample_keys`` bounds the sampled keys in expectation; they and two numbers a range are all that the driver sees.
+    A range with over ``overfull`` times its planned bytes, or over ``max_range_rows`` rows, is divided by a sample of its
+    own, as often as it takes. A row's key ends with a hash of its place in the scan, so even equal rows can be divided.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     keyed = id_and_text(docs).select(
@@ -33,7 +37,8 @@ def shard_by_bytes(docs: DataFrame, shards: int = 40, sample_keys: int = 20_000,
         F.crc32(text.cast("binary")).alias("text_crc32"),
         F.xxhash64(text).alias("h"),
     )
-    keyed = materialize(keyed.withColumn("tie", F.shiftleft(F.col("text_crc32"), 31) + F.pmod(F.xxhash64("h", "text_crc32", "doc_id"), F.lit(1 << 31))), "shard-keys")
+    tie = F.shiftleft(F.col("text_crc32"), 31) + F.pmod(F.xxhash64("h", "text_crc32", "doc_id", F.monotonically_increasing_id()), F.lit(1 << 31))
+    keyed = materialize(keyed.withColumn("tie", tie), "shard-keys")
     total, rows = keyed.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count(F.lit(1))).first()
     if not rows:
         return keyed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
@@ -43,11 +48,35 @@ def shard_by_bytes(docs: DataFrame, shards: int = 40, sample_keys: int = 20_000,
     drawn = keyed.where((F.pmod(F.xxhash64("tie", "doc_id"), F.lit(1 << 30)) / float(1 << 30)) * total <= F.col("size") * float(max(sample_keys, 8 * ranges)))
     sample = sorted((r["h"], r["tie"]) for r in drawn.select("h", "tie").collect())
     cuts = sorted({sample[len(sample) * i // ranges] for i in range(1, ranges)}) if sample else []
+    cuts = _divided(keyed, cuts, overfull * total / ranges, max_range_rows)
     at = keyed.withColumn("range", _range_of(cuts)("h", "tie"))
     placed = _on_the_line(at, total, shards, whole)
     return _slots(placed).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def _divided(keyed: DataFrame, cuts: list[tuple[int, int]], most_bytes: float, most_rows: int, keys: int = 64, rounds: int = 20) -> list[tuple[int, int]]:
+    """``cuts`` and, inside every range that is over a limit and holds more than one row, the quantiles of some ``keys`` drawn there.
+
+    A round needs sums by range (a row each) and some ``keys`` for every overfull range; a range of one row stays.
+    """
+    for _ in range(rounds):
+        at = keyed.withColumn("range", _range_of(cuts)("h", "tie"))
+        sums = at.groupBy("range").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows")).collect()
+        over = {r["range"]: (r["rows"], max(2, math.ceil(max(r["bytes"] / most_bytes, r["rows"] / most_rows)))) for r in sums if r["rows"] > 1 and (r["bytes"] > most_bytes or r["rows"] > most_rows)}
+        if not over:
+            break
+        parts = keyed.sparkSession.createDataFrame([(k, min(1.0, keys * max(1, w / 8) / n)) for k, (n, w) in over.items()], "range int, chance double")
+        luck = F.pmod(F.xxhash64("tie", "h"), F.lit(1 << 30)) / float(1 << 30)
+        found: dict[int, list] = {}
+        for r in at.join(F.broadcast(parts), "range").where(luck <= F.col("chance")).select("range", "h", "tie").collect():
+            found.setdefault(r["range"], []).append((r["h"], r["tie"]))
+        new = {sorted(x)[len(x) * i // over[k][1]] for k, x in found.items() for i in range(1, over[k][1])} - set(cuts)
+        if not new:
+            break
+        cuts = sorted({*cuts, *new})
+    return cuts
+
+
 def _range_of(cuts: list[tuple[int, int]]):
     """How many of the sorted cuts are at or below (h, tie), by binary search."""
     h_cuts, tie_cuts = np.array([c[0] for c in cuts], np.int64), np.array([c[1] for c in cuts], np.int64)

@@ -144,7 +144,7 @@ def write_token_shards(docs: DataFrame, tokenizer: str, end_id: int = 2, shard_i
 
 
 def read_token_shards(shards: DataFrame) -> DataFrame:
-    """One row for each document of written shards: doc_id, start, n_tokens, ids_crc32.
+    """One row for each document of written shards: doc_id, start, n_tokens, ids_crc32. Its place comes from ``select``.
 
     Only the ids of each part are summed on the driver: as many numbers as there are range partitions.
     """
@@ -154,7 +154,7 @@ def read_token_shards(shards: DataFrame) -> DataFrame:
         for batch in batches:
             for base, names, image in zip(batch.column("base").to_pylist(), batch.column("doc_ids").to_pylist(), batch.column("image")):
                 shard = Shard(image.as_buffer().to_pybytes())
-                at = shard.boundaries.values()
+                at = np.array([shard.boundaries.select(i) for i in range(shard.n_docs + 1)], np.int64)
                 wide = shard.flat.astype("<u4")
                 crc = [zlib.crc32(wide[a:b].data) for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
                 yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(at[:-1] + base), pa.array(np.diff(at)), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])

@@ -12,7 +12,9 @@ word are remembered and texts with the same words cost a look-up.
 
 from __future__ import annotations
 
+import json
 import math
+import re
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -21,6 +23,9 @@ from pyspark.sql import DataFrame
 from .shared import id_and_text, pieces, rows_of, schema, text_sizes, tidy
 
 MARKER = "▁"
+#: White space as the ``tokenizers`` library has it: Unicode's property, which the separators U+001C to U+001F lack.
+_SPACE = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+_SEPARATORS = re.compile("[\x1c-\x1f]")
 UNKNOWN_PENALTY = 10.0
 
 
@@ -32,10 +37,23 @@ def piece_file_vocabulary(path: str) -> tuple[list[tuple[str, float]], int]:
     return [(model.id_to_piece(i), model.get_score(i)) for i in range(model.vocab_size())], model.unk_id()
 
 
+def unigram_file_vocabulary(path: str) -> tuple[list[tuple[str, float]], int, bool]:
+    """(pieces with scores, id of the unknown piece, byte fallback) of a ``tokenizers`` file with a Unigram model."""
+    with open(path, encoding="utf-8") as f:
+        model = json.load(f)["model"]
+    if model.get("type") != "Unigram":
+        raise ValueError(f"{path} holds a {model.get('type')} model, not a Unigram model")
+    return [(p, s) for p, s in model["vocab"]], model.get("unk_id") or 0, bool(model.get("byte_fallback"))
+
+
+def words_of(text: str) -> list[str]:
+    return [w for w in _SPACE.split(text) if w] if _SEPARATORS.search(text) else text.split()
+
+
 class PieceCounter:
-    """Counts of pieces for words, under one vocabulary. ``keep`` bounds the remembered words."""
+    """Counts of pieces for words, under one vocabulary. ``keep`` words of ``longest`` characters bound what is remembered."""
 
-    def __init__(self, vocabulary: Iterable[tuple[str, float]], unk_id: int, byte_fallback: bool = True, keep: int = 600_000):
+    def __init__(self, vocabulary: Iterable[tuple[str, float]], unk_id: int, byte_fallback: bool = True, keep: int = 600_000, longest: int = 64):
         import ahocorasick
 
         vocabulary = list(vocabulary)
@@ -49,7 +67,7 @@ class PieceCounter:
             if p:
                 self.find.add_word(p, (len(p), s))
         self.find.make_automaton()
-        self.keep, self.counts = keep, {}
+        self.keep, self.longest, self.counts = keep, longest, {}
 
     def count(self, word: str) -> int:
         """Pieces of one pre-tokenized word."""
@@ -85,15 +103,21 @@ class PieceCounter:
             score[end], pieces_to[end], back[end] = at, pieces_to[end - 1] + more, (end - 1, True)
 
     def of_text(self, text: str) -> int:
-        return self.of_words(text.split())
+        return self.of_words(words_of(text))
 
     def of_words(self, words: list[str]) -> int:
         known = self.counts
         if len(known) > self.keep:
             known.clear()
+        long = 0
         for w in set(words).difference(known):
-            known[w] = self.count(MARKER + w)
-        return sum(map(known.__getitem__, words))
+            # a marker in the text itself begins a piece of its own, as the library's pre-tokenizer splits there
+            n = sum(self.count(MARKER + part) for part in w.removeprefix(MARKER).split(MARKER))
+            if len(w) <= self.longest:
+                known[w] = n
+            else:
+                long += words.count(w) * n
+        return long + sum([known[w] for w in words if w in known]) if long else sum(map(known.__getitem__, words))
 
 
 _counters: dict[str, PieceCounter] = {}
@@ -102,19 +126,20 @@ _counters: dict[str, PieceCounter] = {}
 def token_counts(docs: DataFrame, piece_file: str) -> DataFrame:
     """doc_id, n_bytes, n_words, n_tokens for each row of ``docs``.
 
-    A null or empty text has no tokens. ``piece_file`` is a sentencepiece file. No row leaves its task.
+    A null or empty text has no tokens. ``piece_file`` is a ``tokenizers`` file with a Unigram model (.json) or a
+    sentencepiece file. No row leaves its task.
     """
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if piece_file not in _counters:
-            _counters[piece_file] = PieceCounter(*piece_file_vocabulary(piece_file))
+            _counters[piece_file] = PieceCounter(*(unigram_file_vocabulary if piece_file.endswith(".json") else piece_file_vocabulary)(piece_file))
         counter = _counters[piece_file]
         for batch in pieces(batches, text_sizes, 8 << 20):
             texts = rows_of(batch)
             n_words, n_tokens = [], []
             for t in texts:
-                words = t.decode("utf-8", "replace").split()
+                words = words_of(t.decode("utf-8", "replace"))
                 n_words.append(len(words))
                 n_tokens.append(counter.of_words(words))
             yield pa.RecordBatch.from_arrays(

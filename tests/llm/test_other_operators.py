@@ -246,3 +246,24 @@ def test_packing_counts_the_whole_corpus(spark):
     ids = [ids_of(r["text"]) for r in docs.collect()]
     assert n == len(ids) and total == sum(map(len, ids)) and abs(mean - np.mean([len(i) % 256 for i in ids])) < 1e-9
     assert df.tolist() == np.bincount(np.concatenate([np.unique(i) for i in ids])).tolist()
+
+
+def test_overfull_ranges_are_divided(spark):
+    """One long text, one hot text of equal rows, and few planned ranges: no range of several rows stays over its limits."""
+    from loamwork.llm import sharding
+    from pyspark.sql import functions as F
+
+    rows = [(7, "same row " * 3)] * 900 + [(i, "x" * (i % 50)) for i in range(600)] + [(9999, "y" * 40_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    seen = []
+    keep = sharding._on_the_line
+    try:
+        sharding._on_the_line = lambda at, *rest: seen.append(at) or keep(at, *rest)
+        out = shard_by_bytes(docs, shards=4, sample_keys=4, max_range_rows=100)
+    finally:
+        sharding._on_the_line = keep
+    sizes = seen[0].groupBy("range").agg(F.count(F.lit(1)).alias("n")).collect()
+    assert max(r["n"] for r in sizes) <= 100 and len(sizes) >= 16
+    assert out.count() == len(rows)
+    per = {r["shard"]: r["b"] for r in out.groupBy("shard").agg(F.sum("size").alias("b")).collect()}
+    assert sum(per.values()) == sum(len(t) + 16 for _, t in rows)

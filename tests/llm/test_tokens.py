@@ -48,3 +48,23 @@ def test_word_tokenizer_equals_whole_texts():
     kind = np.uint16 if words.code == "H" else np.uint32
     found = [np.frombuffer(x, kind).tolist() for x in words.encode([t.encode() for t in texts])]
     assert found == [full.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_counts_equal_the_library_with_no_row_left_out(spark, tmp_path):
+    """Separators, very long words and a ``tokenizers`` Unigram file."""
+    from loamwork.llm.tokens import MARKER
+
+    rng = random.Random(5)
+    letters = "abcdé漢" + MARKER
+    vocabulary = [("<unk>", 0.0)] + sorted((p, -rng.random() * 5) for p in {"".join(rng.choice(letters) for _ in range(rng.randint(1, 4))) for _ in range(80)})
+    t = library(vocabulary, 0, False)
+    path = str(tmp_path / "unigram.json")
+    t.save(path)
+    texts = ["a\x1cb", "ab\x1d\x1e cd\x1f", "a\x0bb\x0cc\x85d\xa0e f　g", "abcd" * 200 + " ab " + "abcd" * 200, "", None, " \x1c ", "".join(rng.choice(letters + " xyz\x1c") for _ in range(3000))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["doc_id"]: r["n_tokens"] for r in token_counts(docs, path).collect()}
+    assert found == {i: len(t.encode(x or "", add_special_tokens=False).ids) for i, x in enumerate(texts)}
+    with pytest.raises(ValueError):
+        from loamwork.llm.tokens import unigram_file_vocabulary
+
+        unigram_file_vocabulary(default_tokenizer())
