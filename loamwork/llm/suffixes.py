@@ -11,8 +11,10 @@
    winner, and compares only what lies beyond. The merged order comes with the common prefixes of neighbours.
 6. From those, and the same for the bytes before, the equal windows around each position follow without comparing pairs.
 
-A gram with more than ``common`` positions would fill one receiver; for such, each window is sent as a string of its own
-(equal ones of a task once, with a count), so no key holds more than its truly equal windows.
+A gram with more than ``common`` positions would fill one receiver. Its suffixes stay where they are: each batch sends one
+row for a window around such a position, with a 128-bit hash and the number of times it has it; sums by hash tell which
+windows occur again, and those rows go back to their batch. So a passage that a third of all rows share adds one row a
+batch, and no task gets all its places.
 """
 
 from __future__ import annotations
@@ -221,34 +223,20 @@ def places_of(struct: str) -> Column:
 
 
 def _sorted_runs(packed: DataFrame, cands: DataFrame, length: int, gram: int, receivers: int, run_entries: int = 30_000) -> DataFrame:
-    """Front-coded sorted runs of the candidates' suffixes, a row for each run and receiver."""
+    """Front-coded sorted runs of the suffixes of candidates that aren't hot, a row for each run and receiver."""
     before = length - gram
 
     @tidy
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
         held: list[tuple[int, bytes, bytes, int, int]] = []
         for batch in batches:
             for i, name, buf, starts, ends in _open(batch):
                 text = buf.tobytes()
-                found = batch.column("cands")[i].values
-                lists = [(np.r_[p, np.frombuffer(m, "<i4")] if m else np.array([p])).astype(np.int64) for p, m in zip(found.field("pos").to_pylist(), found.field("more").to_pylist())]
-                sizes, at = [len(x) for x in lists], np.concatenate(lists)
-                grams, hots = np.repeat(found.field("hash").to_numpy(), sizes), np.repeat(found.field("hot").to_numpy(zero_copy_only=False), sizes)
+                at, grams, hots = _places(batch.column("cands")[i].values)
+                at, grams = at[~hots], grams[~hots]
                 doc = np.searchsorted(ends, at, "right")
-                alone: set[int] = set()  # windows of common grams; one may hold several of those
-                for q, h, hot, lo, hi in zip(at.tolist(), grams.tolist(), hots.tolist(), starts[doc].tolist(), ends[doc].tolist()):
-                    if hot:
-                        alone.update(range(max(lo, q - before), min(q, hi - length) + 1))
-                    else:
-                        held.append((h % receivers, text[q : min(q + length, hi)], text[max(lo, q - before) : q][::-1], name, q))
-                    if len(held) >= run_entries:
-                        yield _front_coded(held)
-                        held = []
-                for s in alone:
-                    w = text[s : s + length]
-                    held.append((receivers + xxhash.xxh3_64_intdigest(w) % receivers, w, b"", name, s))  # apart from entries of positions
+                for q, h, lo, hi in zip(at.tolist(), grams.tolist(), starts[doc].tolist(), ends[doc].tolist()):
+                    held.append((h % receivers, text[q : min(q + length, hi)], text[max(lo, q - before) : q][::-1], name, q))
                     if len(held) >= run_entries:
                         yield _front_coded(held)
                         held = []
@@ -259,6 +247,47 @@ def _sorted_runs(packed: DataFrame, cands: DataFrame, length: int, gram: int, re
     return packed.select("batch", "lengths", "blob").join(cands, "batch").select("batch", "lengths", "blob", "cands").mapInArrow(sort, schema(columns))
 
 
+def _places(found: pa.StructArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(positions, gram hashes, hot) of one batch's candidates."""
+    lists = [(np.r_[p, np.frombuffer(m, "<i4")] if m else np.array([p])).astype(np.int64) for p, m in zip(found.field("pos").to_pylist(), found.field("more").to_pylist())]
+    sizes = [len(x) for x in lists]
+    return np.concatenate(lists), np.repeat(found.field("hash").to_numpy(), sizes), np.repeat(found.field("hot").to_numpy(zero_copy_only=False), sizes)
+
+
+def _hot_repeats(packed: DataFrame, cands: DataFrame, length: int, gram: int) -> DataFrame:
+    """(batch, starts, ends): windows around hot positions that occur again, each batch's own places."""
+    before = length - gram
+
+    @tidy
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for batch in batches:
+            for i, name, buf, starts, ends in _open(batch):
+                text = buf.tobytes()
+                at, _, hots = _places(batch.column("cands")[i].values)
+                at = at[hots]
+                doc = np.searchsorted(ends, at, "right")
+                alone: set[int] = set()  # one window may hold several hot positions
+                for q, lo, hi in zip(at.tolist(), starts[doc].tolist(), ends[doc].tolist()):
+                    alone.update(range(max(lo, q - before), min(q, hi - length) + 1))
+                by_hash: dict[bytes, list[int]] = {}
+                for s in sorted(alone):
+                    by_hash.setdefault(xxhash.xxh3_128_digest(text[s : s + length]), []).append(s)
+                yield pa.RecordBatch.from_arrays([pa.array(list(by_hash), pa.binary()), pa.array([name] * len(by_hash), pa.int64()), pa.array([len(x) for x in by_hash.values()], pa.int64()), pa.array([np.array(x, "<i4").tobytes() for x in by_hash.values()], pa.binary())], ["hash", "batch", "n", "spots"])
+
+    @tidy
+    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            spots = [np.frombuffer(x, "<i4") for x in batch.column("spots").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("batch"), pa.array(spots, pa.list_(pa.int32())), pa.array([x + length for x in spots], pa.list_(pa.int32()))], ["batch", "starts", "ends"])
+
+    hot = cands.where(F.exists("cands", lambda c: c["hot"]))
+    found = materialize(packed.select("batch", "lengths", "blob").join(hot.select("batch", "cands"), "batch").mapInArrow(windows, schema("hash binary, batch long, n long, spots binary")), "suffix-hot")
+    again = found.groupBy("hash").agg(F.sum("n").alias("times")).where("times > 1").select("hash")
+    return found.join(again, "hash").select("batch", "spots").mapInArrow(opened, schema("batch long, starts array<int>, ends array<int>"))
+
+
 def _front_coded(held: list[tuple[int, bytes, bytes, int, int]]) -> pa.RecordBatch:
     import zstandard
 
@@ -374,14 +403,20 @@ def remove_repeats(docs: DataFrame, length: int = 200, batch_bytes: int = 1 << 1
     A byte goes if a string of ``length`` bytes that covers it also starts anywhere else in the table, in the same
     document too; strings are judged on the input and never cross documents. Null texts are empty. A repeated row is a
     repeat of itself. An empty table gives no rows. The four new columns must not be among those of ``docs``. With
-    ``as_text`` kept is a string, and a character that a cut would split goes with it.
+    ``as_text`` kept is a string, and a character that a cut would split goes with it. ``length`` is 255 at most.
     """
+    if not 2 <= length <= 255:
+        raise ValueError("length must be from 2 to 255")
+    if clash := {"kept", "n_bytes", "n_removed", "n_spans"} & set(docs.columns):
+        raise ValueError(f"docs has columns named as those of the result: {sorted(clash)}")
     gram = length * 58 // 100
     packed = _pack_batches(docs.withColumn("text", F.col("text").cast("string")), batch_bytes)
     cands = _candidates(packed, length, gram, common)
-    entries = cands.agg(F.coalesce(F.sum("places"), F.lit(0))).first()[0]
+    entries, hot = cands.agg(F.coalesce(F.sum("places"), F.lit(0)), F.coalesce(F.max(F.exists("cands", lambda c: c["hot"])), F.lit(False))).first()
     receivers = max(shuffle_partitions(docs.sparkSession), entries // receiver_entries)
     spans = _repeats(_sorted_runs(packed, cands, length, gram, receivers), length, gram)
+    if hot:
+        spans = spans.union(_hot_repeats(packed, cands, length, gram))
     cover = materialize(spans.groupBy("batch").agg(F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("ends")).alias("ends")), "suffix-spans")
     discard(cands)
     rest = T.StructType([f for f in docs.schema.fields if f.name != "text"])

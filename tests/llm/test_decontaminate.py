@@ -55,3 +55,44 @@ def test_phrases_and_proximity():
 def test_index_holds_all_terms(spark):
     postings, documents = build_index(odd_documents(spark))
     assert postings.where("term = 'moon'").count() >= 1 and documents.count() >= 1
+
+
+def near_by_brute_force(texts, items, width, slop):
+    """Ids of items with a window whose terms all stand within ``slop`` words of its longest term."""
+    out = []
+    for w in [WORDS.findall(ascii_lower(t or "")) for t in texts]:
+        own = set()
+        for name, text in items:
+            it = WORDS.findall(ascii_lower(text or ""))
+            for p in [it[i : i + width] for i in range(len(it) - width + 1)] if len(it) >= width else [it] if it else []:
+                key = sorted(p, key=lambda x: (-len(x.encode()), x.encode()))[0]
+                if any(w[i] == key and all(x in w[max(0, i - slop) : i + slop + 1] for x in p) for i in range(len(w))):
+                    own.add(str(name))
+        out.append(sorted(own))
+    return out
+
+
+def test_proximity_matches(spark):
+    """Words inserted, swapped and turned round: no exact window is left, and the passage is still found."""
+    passage = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
+    w = passage.split()
+    texts = [
+        passage, " ".join(w[:5] + ["added"] + w[5:]), " ".join([w[1], w[0], *w[2:]]), " ".join(w[::-1]), " filler ".join(w[:4]) + " far " * 30 + " ".join(w[4:]), " ".join(w[:9]), "alpha kappa", None, "",
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    bench = spark.createDataFrame([(1, passage), (2, "alpha kappa"), (3, "nothing of it")], "item_id long, text string")
+    for options in ({}, {"block_bytes": 70}):
+        got = {r["doc_id"]: (r["contaminated"], r["near_items"]) for r in contamination(docs, bench, 10, **options).collect()}
+        assert {d: n for d, (_, n) in got.items()} == {i: ",".join(x) for i, x in enumerate(near_by_brute_force(texts, [(r[0], r[1]) for r in bench.collect()], 10, 15))}
+        assert got[0] == (True, "1,2") and got[1] == (False, "1,2") and got[2][0] is False and "1" in got[3][1] and got[4] == (False, "") and got[5][1] == ""
+
+
+def test_a_stored_index_answers_later_benchmarks(spark):
+    from loamwork.llm.decontaminate import match_items
+
+    docs = odd_documents(spark)
+    index = build_index(docs)
+    for items in ([("a", b"cat sat on the mat")], [("b", b"again again"), ("c", b"word")], []):
+        stored = sorted((r["doc_id"] or -1, r["n_words"], r["items"], r["near"]) for r in match_items(docs, items, 4, index=index).collect())
+        fresh = sorted((r["doc_id"] or -1, r["n_words"], r["items"], r["near"]) for r in match_items(docs, items, 4).collect())
+        assert stored == fresh and len(stored) == docs.count()
