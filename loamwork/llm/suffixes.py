@@ -255,7 +255,10 @@ def _places(found: pa.StructArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _hot_repeats(packed: DataFrame, cands: DataFrame, length: int, gram: int) -> DataFrame:
-    """(batch, starts, ends): windows around hot positions that occur again, each batch's own places."""
+    """(batch, starts, ends): windows around hot positions that occur again, each batch's own places.
+
+    Not written in between: in one query with ``_sorted_runs`` Spark moves the packed texts once for both.
+    """
     before = length - gram
 
     @tidy
@@ -283,7 +286,7 @@ def _hot_repeats(packed: DataFrame, cands: DataFrame, length: int, gram: int) ->
             yield pa.RecordBatch.from_arrays([batch.column("batch"), pa.array(spots, pa.list_(pa.int32())), pa.array([x + length for x in spots], pa.list_(pa.int32()))], ["batch", "starts", "ends"])
 
     hot = cands.where(F.exists("cands", lambda c: c["hot"]))
-    found = materialize(packed.select("batch", "lengths", "blob").join(hot.select("batch", "cands"), "batch").mapInArrow(windows, schema("hash binary, batch long, n long, spots binary")), "suffix-hot")
+    found = packed.select("batch", "lengths", "blob").join(hot, "batch").select("batch", "lengths", "blob", "cands").mapInArrow(windows, schema("hash binary, batch long, n long, spots binary"))
     again = found.groupBy("hash").agg(F.sum("n").alias("times")).where("times > 1").select("hash")
     return found.join(again, "hash").select("batch", "spots").mapInArrow(opened, schema("batch long, starts array<int>, ends array<int>"))
 
