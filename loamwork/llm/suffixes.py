@@ -11,7 +11,7 @@
    winner, and compares only what lies beyond. The merged order comes with the common prefixes of neighbours.
 6. From those, and the same for the bytes before, the equal windows around each position follow without comparing pairs.
 
-A gram with more than ``common`` positions would fill one receiver. Its suffixes stay where they are: each batch sends one
+A gram with more than ``common`` positions (as many as a receiver is planned for) would fill one receiver. Its suffixes stay where they are: each batch sends one
 row for a window around such a position, with a 128-bit hash and the number of times it has it; sums by hash tell which
 windows occur again, and those rows go back to their batch. So a passage that a third of all rows share adds one row a
 batch, and no task gets all its places.
@@ -400,7 +400,7 @@ def _repeats(runs: DataFrame, length: int, gram: int) -> DataFrame:
     return runs.groupBy("receiver").applyInPandas(merge, schema("batch long, starts array<int>, ends array<int>"))
 
 
-def remove_repeats(docs: DataFrame, length: int = 200, batch_bytes: int = 1 << 19, common: int = 8192, receiver_entries: int = 40_000, as_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 200, batch_bytes: int = 1 << 19, common: int = 40_000, receiver_entries: int = 40_000, as_text: bool = False) -> DataFrame:
     """All columns of ``docs`` but text, and kept (binary: the bytes left), n_bytes, n_removed, n_spans.
 
     A byte goes if a string of ``length`` bytes that covers it also starts anywhere else in the table, in the same
