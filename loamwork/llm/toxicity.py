@@ -249,24 +249,31 @@ def held_out(doc_id):
 
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 6_000, sample_bytes: int = 32 << 20, longest: int = 1 << 20, **how) -> ConvolutionModel:
     """Learn from labelled documents that aren't held out, ``sample_rows`` and ``sample_bytes`` of text at most, about half of
-    each label, drawn by a hash of the text; longer texts than ``longest`` bytes are not drawn.
+    each label, drawn by hashes of doc_id and text; longer texts than ``longest`` bytes are not drawn.
 
     A doc_id labelled more than once is toxic if any label says so; null ids and labels are left out.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("toxic in (0, 1) and doc_id is not null")
     known = known.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    texts = id_and_text(docs).join(known, "doc_id").where(F.coalesce(F.octet_length("text"), F.lit(0)) <= longest)
-    sizes = {r["toxic"]: (r["n"], r["bytes"]) for r in texts.groupBy("toxic").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).collect()}
-    share = {v: min(1.0, sample_rows / 2 / max(1, n), sample_bytes / 2 / max(1, size)) for v, (n, size) in sizes.items()}
-    drawn = F.lit(False)
-    for v, s in share.items():
-        drawn = drawn | ((F.col("toxic") == v) & (F.pmod(F.xxhash64("text", "doc_id"), F.lit(1_000_000)) < int(s * 1_000_000)))
-    rows = sorted((r["doc_id"], (r["text"] or "").encode(), r["toxic"]) for r in texts.where(drawn).collect())  # bounded by the sample
-    toxic = sizes.get(1, (0, 0))[0]
-    known_share = toxic / max(1, sum(n for n, _ in sizes.values()))
+    counts = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
+    # at most about sample_rows narrow rows, which may be sent to all executors
+    drawn = F.broadcast(known.where(_below("doc_id", {v: sample_rows / 2 / n for v, n in counts.items()})))
+    texts = id_and_text(docs).join(drawn, "doc_id").where(F.coalesce(F.octet_length("text"), F.lit(0)) <= longest)
+    sizes = {r["toxic"]: r["bytes"] for r in texts.groupBy("toxic").agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).collect()}
+    kept = texts.where(_below("text", {v: sample_bytes / 2 / max(1, size) for v, size in sizes.items()}))
+    rows = sorted((r["doc_id"], (r["text"] or "").encode(), r["toxic"]) for r in kept.collect())  # bounded by the sample
+    known_share = counts.get(1, 0) / max(1, sum(counts.values()))
     return fit([r[1] for r in rows], [r[2] for r in rows], known_share if 0 < known_share < 1 else None, **how)
 
 
+def _below(name: str, shares: dict[int, float]):
+    """Whether a hash of the column lies in the share of the row's label."""
+    test = F.lit(False)
+    for label, share in shares.items():
+        test = test | ((F.col("toxic") == label) & (F.pmod(F.xxhash64(F.lit("toxicity sample"), F.col(name)), F.lit(1_000_000)) < int(min(1.0, share) * 1_000_000)))
+    return test
+
+
 def score(docs: DataFrame, model: ConvolutionModel) -> DataFrame:
     """doc_id, held_out, score, predicted for every row, over whole texts; null texts are scored as the empty text.
 
