@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.predicates import Condition, condition, with_repeats
 from ..operators import analysis, audit, detect, profile, rules
 from ..operators.rules import Rule
 from .base import registry
@@ -103,6 +104,27 @@ def detect_dup_key(events):
     return detect.detect(events.select("event_id", "user_id"), row_issues=False, keys=["user_id"]).select("event_id", detect.any_finding("duplicate_key").alias("repeated"))
 
 
+@query("lineitem", sql="""
+SELECT field, issue, count(*) AS affected_rows FROM (
+    SELECT 'l_orderkey' AS field, 'duplicate_key' AS issue, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem
+    UNION ALL SELECT 'l_partkey', 'duplicate_key', count(*) OVER (PARTITION BY l_partkey) FROM lineitem
+    UNION ALL SELECT 'l_suppkey', 'duplicate_key', count(*) OVER (PARTITION BY l_suppkey) FROM lineitem) WHERE n > 1 GROUP BY 1, 2""")
+def detect_default_keys(lineitem):
+    """All key-like columns, found by their names, and whole rows, in one narrow shuffle."""
+    return detect.issue_summary(detect.detect(lineitem)).where("issue in ('duplicate_key', 'duplicate_row')").select("field", "issue", "affected_rows")
+
+
+@query("lineitem", sql="""
+SELECT l_orderkey, l_linenumber, concat_ws(';', CASE WHEN count(*) OVER (PARTITION BY l_partkey, l_suppkey) > 1 THEN 'pair' END, CASE WHEN count(*) OVER (PARTITION BY l_shipdate) > 1 THEN 'day' END,
+ CASE WHEN count(*) OVER (PARTITION BY l_extendedprice) = 1 THEN 'price' END) AS problem FROM lineitem""")
+def rules_duplicated_keys(lineitem):
+    """Three ``duplicated`` rules over different columns, one of them negated and one over a derived pair."""
+    df = lineitem.withColumn("pair", F.concat_ws("-", "l_partkey", "l_suppkey"))
+    marked, tests = with_repeats(df, [Condition("pair", "duplicated"), Condition("l_shipdate", "duplicated"), Condition("l_extendedprice", "duplicated", negate=True)])
+    said = [F.when(condition(t, marked.columns), n) for t, n in zip(tests, ("pair", "day", "price"))]
+    return marked.select("l_orderkey", "l_linenumber", F.concat_ws(";", *said).alias("problem"))
+
+
 @query("orders", sql="SELECT o_orderkey, CASE o_orderkey % 13 WHEN 0 THEN '' WHEN 2 THEN 'OP' ELSE o_orderstatus END AS status FROM orders")
 def auto_fix(orders):
     return detect.auto_fix(bad_orders(orders)).select("o_orderkey", "status")

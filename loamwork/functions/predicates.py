@@ -9,6 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .repeats import mark_many, mark_repeats, row_cells
 from .text import is_blank, norm, number, parse_date, strip, text, to_number
 
 OPS = (
@@ -83,30 +84,18 @@ def filter_rows(df: DataFrame, *conditions: Condition, exclude: bool = False) ->
     return marked.where(~test if exclude else test).select(*[f"`{c}`" for c in df.columns])
 
 
-def mark_repeats(df: DataFrame, keys: Sequence[Column], output: str) -> DataFrame:
-    """Adds ``output``: whether the key occurs in another row too (nulls are equal).
-
-    Rows are counted by key with partial sums and the keys that repeat joined back, so a hot key fills no task: Spark sends
-    the repeated keys to all tasks if they turn out small, and splits a skewed join otherwise.
-    """
-    names = [f"_key{i}" for i in range(len(keys))]
-    counted = df.groupBy(*[k.alias(n) for k, n in zip(keys, names)]).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(*names, F.lit(True).alias("_again"))
-    same = reduce(lambda a, b: a & b, [k.eqNullSafe(counted[n]) for k, n in zip(keys, names)])
-    return df.join(counted, same, "left").withColumn(output, F.coalesce("_again", F.lit(False))).drop("_again", *names)
-
-
 def with_repeats(df: DataFrame, conditions: Sequence[Condition]) -> tuple[DataFrame, list[Condition]]:
-    """``duplicated`` conditions as tests of a column that ``mark_repeats`` has added; all others stay."""
-    out = []
-    for c in conditions:
-        if c.op == "duplicated":
-            if c.field not in df.columns:
-                raise ValueError(f"unknown field {c.field!r}; there are {df.columns}")
-            if f"_repeats_{c.field}" not in df.columns:
-                df = mark_repeats(df, [F.col(f"`{c.field}`")], f"_repeats_{c.field}")
-            c = Condition(f"_repeats_{c.field}", "equals", "true", negate=c.negate)
-        out.append(c)
-    return df, out
+    """``duplicated`` conditions as tests of columns that ``mark_repeats`` or ``mark_many`` has added; all others stay."""
+    fields = list(dict.fromkeys(c.field for c in conditions if c.op == "duplicated"))
+    if unknown := [f for f in fields if f not in df.columns]:
+        raise ValueError(f"unknown field {unknown[0]!r}; there are {df.columns}")
+    keys = {f"_repeats_{f}": row_cells(df, [f]) for f in fields}
+    if len(keys) == 1:
+        (output, cells), = keys.items()
+        df = mark_repeats(df, cells, output)
+    elif keys:
+        df = mark_many(df, keys)
+    return df, [Condition(f"_repeats_{c.field}", "equals", "true", negate=c.negate) if c.op == "duplicated" else c for c in conditions]
 
 
 #: What the first cell of a total row says, in full, and the words that begin a remark row.

@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.predicates import all_blank, mark_repeats, remark_row, repeated_header, sparse_note_row, total_row
+from ..functions.predicates import all_blank, remark_row, repeated_header, sparse_note_row, total_row
+from ..functions.repeats import mark_many, row_cells
 from ..functions.text import NUMERIC_TYPES, ZERO_WIDTH, holds_dates, is_amount_name, is_blank, is_count_name, is_key_name, normalize_width, parse_date, strip, typed_number
 from ..sources.scratch import written
 from .reshape import numbered_names, repeated_names
@@ -90,18 +91,20 @@ def _mixed_cases(df: DataFrame, names: Sequence[str]) -> tuple[DataFrame, list[i
 def detect(df: DataFrame, row_issues: bool = True, approx: bool = False, keys: Sequence[str] | None = None) -> DataFrame:
     """``df`` with ``findings``: all issues of the row and of its cells. Repeated column names are numbered first.
 
-    ``keys``: columns checked for repeated values (key-like ones by default). ``approx`` uses sketched quartiles. Whether
-    something repeats is found by counting and joining back, never by a window over all rows of a value; whole rows are
-    compared by two 64-bit hashes.
+    ``keys``: columns checked for repeated values (key-like ones by default). ``approx`` uses sketched quartiles. Repeated
+    keys, repeated rows and mixed spellings are found together in one narrow shuffle (``mark_many``), never by a window over
+    all rows of a value, and compared by two 64-bit hashes.
     """
     df = df.toDF(*numbered_names(df.columns)) if len(set(df.columns)) < len(df.columns) else df
     names = [c for c in df.columns if c not in (ROW_ID, FINDINGS)]
     columns, kinds, facts, found = df.columns, dict(df.dtypes), _facts(df, names, approx), []
     plain_texts = [n for n in names if kinds[n] == "string" and not holds_dates(n)]
     mixed, mixed_at = _mixed_cases(df, plain_texts) if plain_texts else (None, [])
-    for i in mixed_at:
-        low = mixed.where(F.col("place") == i).select(F.col("low").alias(f"_low{i}"))
-        df = df.join(low, F.lower(strip(F.col(f"`{plain_texts[i]}`"))) == low[f"_low{i}"], "left")
+    key_names = [n for n in names if is_key_name(n)] if keys is None else list(keys)
+    repeats = {f"_key_again{i}": [strip(F.col(f"`{n}`").cast("string"))] for i, n in enumerate(key_names)}
+    if row_issues:
+        repeats["_row_again"] = row_cells(df, names)
+    df = mark_many(df, repeats, {f"_mixed{i}": (F.lower(strip(F.col(f"`{plain_texts[i]}`"))), mixed.where(F.col("place") == i).select("low")) for i in mixed_at})
     for i, n in enumerate(names):
         c = F.col(f"`{n}`")
         x, is_text = typed_number(c, kinds[n]), kinds[n] == "string"
@@ -123,7 +126,7 @@ def detect(df: DataFrame, row_issues: bool = True, approx: bool = False, keys: S
             if facts[f"filled{i}"] and facts[f"numbers{i}"] >= 0.8 * facts[f"filled{i}"]:
                 when(~is_blank(c), "number_as_text")
             if (at := plain_texts.index(n)) in mixed_at:
-                when(F.col(f"_low{at}").isNotNull(), "mixed_case_duplicates")
+                when(F.col(f"_mixed{at}"), "mixed_case_duplicates")
         if (is_amount_name(n) or is_count_name(n)) and (facts.get(f"max{i}") or 0) > 0:
             when(x < 0, "negative_amount" if is_amount_name(n) else "negative_numeric_value")
         quartiles = facts.get(f"quartiles{i}")
@@ -133,13 +136,9 @@ def detect(df: DataFrame, row_issues: bool = True, approx: bool = False, keys: S
     if row_issues:
         for test, issue in ((all_blank, "all_empty_row"), (repeated_header, "repeated_header_row"), (total_row, "summary_row"), (remark_row, "comment_row"), (sparse_note_row, "possible_note_row")):
             found.append(F.when(test(names), finding("", issue)))
-        cells = [x for n in names for x in (F.col(f"`{n}`"), F.col(f"`{n}`").isNull())]
-        df = mark_repeats(df, [F.xxhash64(*cells), F.xxhash64(F.lit(1), *reversed(cells))], "_row_again")
         found.append(F.when(F.col("_row_again"), finding("", "duplicate_row")))
-    for i, n in enumerate([n for n in names if is_key_name(n)] if keys is None else keys):
-        c = strip(F.col(f"`{n}`").cast("string"))
-        df = mark_repeats(df, [c], f"_key_again{i}")
-        found.append(F.when((c != "") & F.col(f"_key_again{i}"), finding(n, "duplicate_key")))
+    for i, n in enumerate(key_names):
+        found.append(F.when((strip(F.col(f"`{n}`").cast("string")) != "") & F.col(f"_key_again{i}"), finding(n, "duplicate_key")))
     shown = [F.col(f"`{c}`") for c in columns if c != FINDINGS]
     return df.select(*shown, (F.array_compact(F.array(*found)) if found else F.array()).cast(FINDING).alias(FINDINGS))
 

@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.formulas import Formula, formula
-from ..functions.predicates import Condition, all_of, filter_rows, mark_repeats
+from ..functions.predicates import Condition, all_of, filter_rows
+from ..functions.repeats import mark_repeats, row_cells
 from ..functions.text import NUMERIC_TYPES, parse_date, strip, text, to_number, typed_number
 from ..sources.scratch import written
 
@@ -90,7 +91,7 @@ def dedupe(df: DataFrame, keys: Sequence[str] = (), keep: str = "first", order_b
     """
     names = list(keys) or [c for c in df.columns if c != ROW_ID]
     if keep == "all_duplicates":
-        return mark_repeats(df, [F.col(f"`{n}`") for n in names], "_again_").where("_again_").drop("_again_")
+        return mark_repeats(df, row_cells(df, names), "_again_").where("_again_").drop("_again_")
     if not keys:
         return df.dropDuplicates(names)
     if keep in ("latest", "earliest"):
