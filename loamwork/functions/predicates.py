@@ -103,17 +103,18 @@ TOTAL_WORDS = r"(?i)^(total|subtotal|summary|sum|合计|总计|小计|汇总)$"
 REMARK_WORDS = r"(?i)^(note|notes|remark|remarks|备注|说明|注释)(?![a-z])"
 
 
-def _cells(columns: Sequence[str]) -> Column:
-    return F.array(*[strip(text(F.col(f"`{c}`"))) for c in columns])
+def _cells(columns: Sequence[str]) -> list[Column]:
+    """The stripped cells of a row, null where blank."""
+    return [F.nullif(strip(F.col(f"`{c}`").cast("string")), F.lit("")) for c in columns]
 
 
 def first_cell(columns: Sequence[str]) -> Column:
-    """The first cell that isn't blank, or null."""
-    return F.get(F.filter(_cells(columns), lambda x: x != ""), F.lit(0))
+    """The first cell that isn't blank, or null. Cells after it are not looked at."""
+    return F.coalesce(*_cells(columns)) if columns else F.lit(None).cast("string")
 
 
 def all_blank(columns: Sequence[str]) -> Column:
-    return F.forall(_cells(columns), lambda x: x == "")
+    return first_cell(columns).isNull()
 
 
 def repeated_header(columns: Sequence[str], share: float = 0.6) -> Column:
@@ -132,10 +133,14 @@ def remark_row(columns: Sequence[str]) -> Column:
 
 def sparse_note_row(columns: Sequence[str]) -> Column:
     """One cell of eight characters or more in a table of three columns or more, and no total or remark."""
-    full = F.filter(_cells(columns), lambda x: x != "")
     if len(columns) < 3:
         return F.lit(False)
-    return (F.size(full) == 1) & (F.length(F.get(full, F.lit(0))) >= 8) & ~total_row(columns) & ~remark_row(columns)
+    first = first_cell(columns)
+    # the last cell that isn't blank is only looked for where the first one is long enough
+    places = lambda order: F.coalesce(*[F.when(x.isNotNull(), i) for i, x in order])
+    cells = list(enumerate(_cells(columns)))
+    only = places(cells) == places(cells[::-1])
+    return F.when(F.length(first) >= 8, only & ~total_row(columns) & ~remark_row(columns)).otherwise(F.lit(False))
 
 
 def non_record_row(columns: Sequence[str]) -> Column:

@@ -83,8 +83,8 @@ def _mixed_cases(df: DataFrame, names: Sequence[str]) -> tuple[DataFrame, list[i
     All columns share one shuffle; a value counts once for each task, whatever its number of rows.
     """
     cells = F.array(*[F.struct(F.lit(i).alias("place"), strip(F.col(f"`{n}`")).alias("v")) for i, n in enumerate(names)])
-    spelled = df.select(F.inline(cells)).where("v <> ''").groupBy("place", F.lower("v").alias("low")).agg(F.min("v").alias("a"), F.max("v").alias("b"))
-    mixed = written(spelled.where("a <> b").select("place", "low"), "mixed-cases")
+    spellings = df.select(F.inline(cells)).where("v <> ''").select("place", F.lower("v").alias("low"), "v").distinct()
+    mixed = written(spellings.groupBy("place", "low").count().where("count > 1").select("place", "low"), "mixed-cases")
     return mixed, [r[0] for r in mixed.select("place").distinct().collect()]
 
 
@@ -150,8 +150,11 @@ def issue_summary(detected: DataFrame, table: str = "table", columns: Sequence[s
     (by default those of ``detected``), each with the number of columns it concerns.
     """
     order = F.when(F.col("severity") == "error", 0).when(F.col("severity") == "warn", 1).otherwise(2)
-    each = detected.select(F.inline(FINDINGS)).groupBy("field", "issue", "severity", "affects_final", "fixable").agg(F.count(F.lit(1)).alias("affected_rows"))
-    empty = detected.limit(1).agg(F.count(F.lit(1)).alias("n")).where("n = 0").select(finding("", "empty_table").alias("f")).select("f.*", F.lit(0).cast("long").alias("affected_rows"))
+    keys = ("field", "issue", "severity", "affects_final", "fixable")
+    row = F.struct(*[F.lit(x).alias(k) for k, x in zip(keys, ("", "", "", False, False))])  # one for each row, so that rows are counted with the findings
+    counts = detected.select(F.inline(F.concat(FINDINGS, F.array(row)))).groupBy(*keys).agg(F.count(F.lit(1)).alias("affected_rows"))
+    each = counts.where("issue <> ''")
+    empty = counts.agg(F.count(F.lit(1)).alias("n")).where("n = 0").select(finding("", "empty_table").alias("f")).select("f.*", F.lit(0).cast("long").alias("affected_rows"))
     shown = [c for c in (columns if columns is not None else detected.columns) if c not in (ROW_ID, FINDINGS)]
     if names := column_name_findings(shown):
         counted = F.array(*[F.struct(finding(*x).alias("f"), F.lit(shown.count(x[0])).cast("long").alias("affected_rows")) for x in dict.fromkeys(names)])
