@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize_key, strip, text, to_number
+from ..sources.scratch import written
 from .rows import order_of
 from .summarize import Metric, metric_column
 
@@ -109,46 +112,105 @@ def lookup(
     return joined.select(*out)
 
 
-def _letters(c: Column) -> Column:
-    """How often each character occurs, as a map."""
-    chars = F.filter(F.split(c, ""), lambda x: x != "")
-    return F.map_from_entries(F.transform(F.array_distinct(chars), lambda x: F.struct(x.alias("k"), F.size(F.filter(chars, lambda y: y == x)).alias("v"))))
+#: Longest keys whose neighbours within two characters are looked up by what is left of a key when characters are deleted.
+NEAR = 24
+#: Groups of characters that are counted for each key.
+COUNTS = 16
 
 
 def fuzzy_matches(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
     """(left_key, right_key, score): for each distinct left key the best right key by matching-blocks ratio.
 
-    Equal keys match at 1. The rest meet through a shared pair of neighbouring characters: without one all matching blocks
-    are single characters, of which m need m - 1 gaps, so the ratio is at most 2m / (3m - 1), 0.8 from two on. Up to that
-    threshold a shared character is asked for instead. Pairs are pruned by two upper bounds of the ratio, and only then
-    scored, in Arrow batches. Ties go to the smaller right key.
+    Equal keys match at 1; ties go to the smaller right key. Matching blocks of m characters in all are a common
+    subsequence, so two keys of together s characters score (s - u) / s at most, if u of them are in no such subsequence.
+    First, short keys meet through what is left when up to two characters are deleted from both together: all pairs with u
+    up to 2, whatever the keys have in common. Left keys whose best score no pair with u = 3 can reach are done. The
+    others ask an inverted index (``index_pairs``). Candidates are scored in Arrow batches.
     """
-    l, r = left.where("_key is not null").distinct(), right.where("_key is not null").distinct()
+    l, r = left.where("_key is not null").distinct(), written(right.where("_key is not null").distinct(), "fuzzy-right")
     same = l.join(r, "_key").select(F.col("_key").alias("left_key"), F.col("_key").alias("right_key"), F.lit(1.0).alias("score"))
-    rest = l.join(r, "_key", "left_anti")
-    size = 2 if threshold > 0.8 else 1
-
-    def grams(df: DataFrame, name: str) -> DataFrame:
-        cut = F.when(F.length("_key") >= size, F.transform(F.sequence(F.lit(1), F.length("_key") - size + 1), lambda i: F.substr("_key", i, F.lit(size)))).otherwise(F.array("_key"))
-        return df.select(F.col("_key").alias(name), F.length("_key").alias(f"{name}_n"), F.explode(F.array_distinct(cut)).alias("gram"))
-
-    a, b = grams(rest, "left_key"), grams(r, "right_key")
-    fits = 2.0 * F.least("left_key_n", "right_key_n") >= threshold * (F.col("left_key_n") + F.col("right_key_n"))
-    pairs = a.join(b, "gram").where(fits).select("left_key", "right_key").distinct()
-    la, lb = _letters(F.col("left_key")), _letters(F.col("right_key"))
-    common = F.aggregate(F.map_keys(la), F.lit(0), lambda s, k: s + F.least(la[k], F.coalesce(F.try_element_at(lb, k), F.lit(0))))
-    pairs = pairs.where(2.0 * common >= threshold * (F.length("left_key") + F.length("right_key")))
-    scored = pairs.select("left_key", "right_key", _ratio()(F.col("left_key"), F.col("right_key")).alias("score")).where(F.col("score") >= threshold)
+    rest = written(l.join(r, "_key", "left_anti"), "fuzzy-left")
+    near = written(_best(near_pairs(rest, r), threshold), "fuzzy-near")
+    n = F.length("left_key")
+    done = near.where((n + 2 <= NEAR) & (F.col("score") > 2 * n / (2 * n + 3) + 1e-9)).select(F.col("left_key").alias("_key"))
+    far = _best(index_pairs(rest.join(done, "_key", "left_anti"), r, threshold), threshold)
+    return same.union(_best_of(near.union(far)))
+
+
+def _best_of(scored: DataFrame) -> DataFrame:
     best = scored.groupBy("left_key").agg(F.min_by(F.struct("right_key", "score"), F.struct(-F.col("score"), "right_key")).alias("b"))
-    return same.union(best.select("left_key", "b.right_key", "b.score"))
+    return best.select("left_key", "b.right_key", "b.score")
+
+
+def _best(pairs: DataFrame, threshold: float) -> DataFrame:
+    scored = pairs.select("left_key", "right_key", _ratio(threshold)(F.col("left_key"), F.col("right_key")).alias("score"))
+    return _best_of(scored.where(F.col("score") >= threshold))
+
+
+def near_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(left_key, right_key): pairs of keys of up to ``NEAR`` characters that share a subsequence with two characters left over."""
+    key, n = F.col("_key"), F.length("_key")
+    cut = lambda i: F.concat(F.substr(key, F.lit(1), i - 1), F.substr(key, i + 1))
+    cut_two = lambda i, j: F.concat(F.substr(key, F.lit(1), i - 1), F.substr(key, i + 1, j - i - 1), F.substr(key, j + 1))
+    ones = F.when(n >= 1, F.transform(F.sequence(F.lit(1), n), cut)).otherwise(F.array())
+    pairs = F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.transform(F.sequence(i + 1, n), lambda j: cut_two(i, j)))
+    twos = F.when(n >= 2, F.flatten(pairs)).otherwise(F.array())
 
+    def left_over(df: DataFrame, name: str, uses: Sequence[tuple[int, Sequence[int]]]) -> DataFrame:
+        """Rows (name, h, i): a hash of what is left, for each number i of characters that the left key may lose."""
+        made = {0: F.array(key), 1: ones, 2: twos}
+        every = F.concat(*[F.transform(F.array_distinct(made[lost]), lambda x: F.struct(F.xxhash64(x).alias("h"), F.lit(i).alias("i"))) for lost, numbers in uses for i in numbers])
+        return df.where(n <= NEAR).select(key.alias(name), F.inline(every))
 
-def _ratio():
+    a = left_over(left, "left_key", [(0, [0]), (1, [1]), (2, [2])])
+    b = left_over(right, "right_key", [(0, [0, 1, 2]), (1, [0, 1]), (2, [0])])
+    return a.join(b, ["h", "i"]).select("left_key", "right_key").distinct()
+
+
+def index_pairs(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+    """(left_key, right_key) that may score ``threshold``, by an inverted index of characters, with their repeats, in order of frequency.
+
+    Keys of n characters need a partner with at least t * n / (2 - t) of them in common, so they meet through one of the
+    rarest n + 1 - t * n / (2 - t), in neighbouring bands of length. Inside the join, counts of ``COUNTS`` groups of
+    characters bound what two keys can have in common.
+    """
+    t = threshold
+    need = lambda n: F.ceil(t / (2 - t) * n - 1e-9)
+    band = F.floor(F.log(F.greatest(F.col("n"), F.lit(1)).cast("double")) / F.lit(math.log((2 - t) / t) if t < 1 else 1.0)) if t < 1 else F.col("n")
+
+    def characters(df: DataFrame) -> DataFrame:
+        chars = F.filter(F.split("_key", ""), lambda x: x != "")
+        each = df.select("_key", F.explode(chars).alias("c")).groupBy("_key", "c").agg(F.count(F.lit(1)).cast("int").alias("k"))
+        return each.select("_key", F.explode(F.sequence(F.lit(1), F.col("k"))).alias("k"), "c")
+
+    frequent = characters(right).groupBy("c", "k").agg(F.count(F.lit(1)).alias("df")).orderBy(F.col("df").desc(), "c", "k").limit(2000)
+
+    def keyed(df: DataFrame, name: str) -> DataFrame:
+        """Each key with its counts and rarest characters (those that aren't among the frequent ones come first)."""
+        tokens = characters(df).join(F.broadcast(frequent), ["c", "k"], "left").withColumn("g", F.crc32(F.col("c").cast("binary")) % COUNTS)
+        ordered = F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "c", "k")))
+        counts = [F.count(F.when(F.col("g") == i, 1)).cast("int").alias(f"{name}_{i}") for i in range(COUNTS)]
+        made = tokens.groupBy("_key").agg(F.count(F.lit(1)).cast("int").alias("n"), ordered.alias("tokens"), *counts)
+        first = F.slice("tokens", F.lit(1), F.greatest(F.lit(0), (F.col("n") - need(F.col("n")) + 1).cast("int")))
+        return made.select(F.col("_key").alias(name), F.col("n").alias(f"{name}_n"), band.cast("int").alias("band"), *[f"{name}_{i}" for i in range(COUNTS)], F.explode(first).alias("t")).select("*", F.col("t.c").alias("c"), F.col("t.k").alias("k")).drop("t")
+
+    a, b = keyed(left, "left_key"), keyed(right, "right_key")
+    a = a.withColumn("band", F.explode(F.array(*[F.col("band") + d for d in (-1, 0, 1)]))) if t < 1 else a
+    common = reduce(lambda x, y: x + y, [F.least(f"left_key_{i}", f"right_key_{i}") for i in range(COUNTS)])
+    fits = 2.0 * common >= t * (F.col("left_key_n") + F.col("right_key_n")) - 1e-9
+    return a.join(b, ["c", "k", "band"]).where(fits).select("left_key", "right_key").distinct()
+
+
+def _ratio(threshold: float):
     @F.pandas_udf("double")
     def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
         from difflib import SequenceMatcher
 
-        return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype="float64")
+        def one(x: str, y: str) -> float:
+            m = SequenceMatcher(None, x, y)
+            return m.ratio() if m.quick_ratio() >= threshold else 0.0
+
+        return pd.Series([one(x, y) for x, y in zip(a, b)], dtype="float64")
 
     return ratio
 
