@@ -175,3 +175,24 @@ def dates_in_five_layouts(events):
     k, t = F.col("event_id") % 5, F.col("ts").cast("timestamp")
     s = F.when(k == 0, F.date_format(t, "yyyy-MM-dd HH:mm:ss")).when(k == 1, F.date_format(t, "yyyy/M/d HH:mm:ss")).otherwise(F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss"))
     return events.select("event_id", F.date_format(parse_date(s), "yyyy-MM-dd HH:mm:ss").alias("shown"))
+
+
+_LAYOUTS = """CASE event_id % 12 WHEN 0 THEN strftime(t, '%Y-%m-%dT%H:%M:%SZ') WHEN 1 THEN strftime(t, '%Y-%m-%d %H:%M:%S.%g') WHEN 2 THEN strftime(t, '%Y/%-m/%-d %H:%M') WHEN 3 THEN strftime(t, '%Y-%m')
+ WHEN 4 THEN strftime(t, '%b %-d, %Y') WHEN 5 THEN strftime(t, '%-d %B %Y') WHEN 6 THEN strftime(t, '%d-%b-%Y') WHEN 7 THEN strftime(t, '%Y%m%dT%H%M%S') WHEN 8 THEN strftime(t, '%Y年%-m月%-d日')
+ WHEN 9 THEN strftime(t, '%-m/%-d/%Y %H:%M') WHEN 10 THEN strftime(t + INTERVAL 5 HOUR, '%Y-%m-%dT%H:%M:%S') || '+05:00' ELSE strftime(t, '%Y.%m.%d') || ' no' END"""
+
+
+@query("events", sql=f"""
+SELECT event_id, {_LAYOUTS} AS shown, strftime(CASE event_id % 12 WHEN 0 THEN date_trunc('second', t) WHEN 1 THEN date_trunc('millisecond', t) WHEN 2 THEN date_trunc('minute', t) WHEN 3 THEN date_trunc('month', t)
+ WHEN 7 THEN date_trunc('second', t) WHEN 9 THEN date_trunc('minute', t) WHEN 10 THEN date_trunc('second', t) WHEN 11 THEN NULL ELSE date_trunc('day', t) END, '%Y-%m-%d %H:%M:%S.%g') AS read
+FROM (SELECT event_id, CAST(ts AS TIMESTAMP) AS t FROM events)""")
+def date_layouts(events):
+    """Times written in eleven layouts, and a text that is none, read back as far as each layout goes."""
+    t, way = F.col("ts").cast("timestamp"), F.col("event_id") % 12
+    write = lambda pattern, t=t: F.date_format(t, pattern)
+    made = [
+        write("yyyy-MM-dd'T'HH:mm:ss'Z'"), write("yyyy-MM-dd HH:mm:ss.SSS"), write("yyyy/M/d HH:mm"), write("yyyy-MM"), write("MMM d, yyyy"), write("d MMMM yyyy"), write("dd-MMM-yyyy"),
+        write("yyyyMMdd'T'HHmmss"), write("yyyy年M月d日"), write("M/d/yyyy HH:mm"), F.concat(write("yyyy-MM-dd'T'HH:mm:ss", t + F.expr("interval 5 hours")), F.lit("+05:00")), F.concat(write("yyyy.MM.dd"), F.lit(" no")),
+    ]
+    shown = F.coalesce(*[F.when(way == i, x) for i, x in enumerate(made)])
+    return events.select("event_id", shown.alias("shown")).withColumn("read", F.date_format(parse_date(F.col("shown")), "yyyy-MM-dd HH:mm:ss.SSS"))

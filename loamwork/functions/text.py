@@ -13,19 +13,19 @@ FULL_WIDTH = "".join(chr(c) for c in range(0xFF01, 0xFF5F)) + "　"
 HALF_WIDTH = "".join(chr(c) for c in range(0x21, 0x7F)) + " "
 ZERO_WIDTH = "[\\x{200B}\\x{200C}\\x{200D}\\x{FEFF}]"
 _NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
-#: Date layouts that are understood, each with the shape of the texts it reads. No text has two shapes.
-DATE_LAYOUTS = {
-    "yyyy-M-d": r"^\d{4}-\d{1,2}-\d{1,2}$",
-    "yyyy-MM-dd HH:mm:ss": r"^\d{4}-\d\d-\d\d \d\d:\d\d:\d\d$",
-    "yyyy-MM-dd'T'HH:mm:ss": r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d$",
-    "yyyy-MM-dd HH:mm": r"^\d{4}-\d\d-\d\d \d\d:\d\d$",
-    "yyyy/M/d": r"^\d{4}/\d{1,2}/\d{1,2}$",
-    "yyyy/M/d HH:mm:ss": r"^\d{4}/\d{1,2}/\d{1,2} \d\d:\d\d:\d\d$",
-    "yyyy.M.d": r"^\d{4}\.\d{1,2}\.\d{1,2}$",
-    "yyyyMMdd": r"^\d{8}$",
-    "yyyy年M月d日": r"^\d{4}年\d{1,2}月\d{1,2}日$",
-    "M/d/yyyy": r"^\d{1,2}/\d{1,2}/\d{4}$",
-    "d-MMM-yyyy": r"^\d{1,2}-[A-Za-z]{3}-\d{4}$",
+#: The English names of months, of which three letters or all may be written.
+MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
+_TIME = r"(?:[ T]\d{1,2}:\d\d(?::\d\d(?:\.\d{1,9})?)?)"
+_ZONE = r"(?: ?(?:Z|[+-]\d\d(?::?\d\d)?))"
+#: The shapes of dates that are understood, each with what turns its parts into ISO 8601; years have four digits.
+#: No text has two shapes.
+DATE_SHAPES = {
+    "ISO 8601, also with / or . and short parts, or without a day": (rf"^(\d{{4}})([-/.])(\d{{1,2}})(?:\2(\d{{1,2}})({_TIME}{_ZONE}?)?)?$", None),
+    "20240305, 20240305T101112Z": (r"^(\d{4})(\d\d)(\d\d)(?:[T ]?(\d\d)(\d\d)(\d\d)(Z?))?$", None),
+    "2024年3月5日": (rf"^(\d{{4}})年(\d{{1,2}})月(?:(\d{{1,2}})日({_TIME}{_ZONE}?)?)?$", None),
+    "month/day/year": (rf"^(\d{{1,2}})/(\d{{1,2}})/(\d{{4}})({_TIME}{_ZONE}?)?$", "$3-$1-$2$4"),
+    "Mar 5, 2024 or March 2024": (rf"(?i)^([a-z]{{3,9}})\.? (?:(\d{{1,2}}),? )?(\d{{4}})({_TIME}{_ZONE}?)?$", "$3-#$1-$2$4"),
+    "5 Mar 2024, 5-Mar-2024": (rf"(?i)^(\d{{1,2}})[ -]([a-z]{{3,9}})\.?,?[ -](\d{{4}})({_TIME}{_ZONE}?)?$", "$3-#$2-$1$4"),
 }
 #: All characters with Unicode's White_Space property.
 WHITE_SPACE = "".join(map(chr, [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
@@ -117,12 +117,32 @@ def number(c: Column, numbers: str = "plain") -> Column:
 
 
 def parse_date(c: Column) -> Column:
-    """A date or time in any of ``DATE_LAYOUTS``, as timestamp; else null. The shape picks the layout, so a value is parsed once."""
+    """A date or time in any of ``DATE_SHAPES``, as timestamp; else null. Texts without an offset are in the session's zone.
+
+    The characters a text begins with and holds tell its shape, so one pattern is tried for each text, and Spark's own
+    reading of ISO 8601 does the rest.
+    """
+    iso, compact, cjk, us, month_first, day_first = DATE_SHAPES.values()
+    stamp = lambda x: x.try_cast("timestamp")
+
+    def named(s: Column, shape: tuple[str, str]) -> Column:
+        """Year-#name-day to ISO; an unknown name leaves a text that is no date, a missing day is the first."""
+        parts = F.regexp_replace(s, *shape)
+        name = F.lower(F.regexp_extract(parts, "#([A-Za-z]+)", 1))
+        known = {k: i for i, m in enumerate(MONTHS, 1) for k in (m[:3], m)} | {"sept": 9}
+        number = F.create_map(*[F.lit(x) for k, i in known.items() for x in (k, f"{i:02d}")])
+        return F.when(s.rlike(shape[0]), stamp(F.regexp_replace(F.regexp_replace(parts, "#[A-Za-z]+", F.element_at(number, name)), "-(?=[ T]|$)", "-1")))
+
     def read(s: Column) -> Column:
-        out = F.when(~s.rlike(r"^\d"), F.lit(None).cast("timestamp"))
-        for layout, shape in DATE_LAYOUTS.items():
-            out = out.when(s.rlike(shape), F.try_to_timestamp(s, F.lit(layout)))
-        return out
+        return (
+            F.when(~s.rlike(r"\d{4}"), F.lit(None).cast("timestamp"))
+            .when(s.rlike("^[A-Za-z]"), named(s, month_first))
+            .when(s.rlike(r"^\d{4}[-/.]"), F.when(s.rlike(iso[0]), stamp(F.regexp_replace(F.regexp_replace(s, r"^(\d{4})[-/.](\d{1,2})(?:[-/.]|$)", "$1-$2-"), "-$", "-1"))))
+            .when(s.rlike(r"^\d{4}年"), F.when(s.rlike(cjk[0]), stamp(F.regexp_replace(F.regexp_replace(s, "^(.{4})年(.+?)月(.*?)日?(?=[ T]|$)", "$1-$2-$3"), "-$", "-1"))))
+            .when(s.rlike(r"^\d{8}"), F.when(s.rlike(compact[0]), stamp(F.regexp_replace(F.regexp_replace(s, compact[0], "$1-$2-$3T$4:$5:$6$7"), "T::$", ""))))
+            .when(s.rlike(r"^\d{1,2}/"), F.when(s.rlike(us[0]), stamp(F.regexp_replace(s, *us))))
+            .otherwise(named(s, day_first))
+        )
 
     return once(strip(c.cast("string")), read)
 

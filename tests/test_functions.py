@@ -123,3 +123,13 @@ def test_names_that_begin_like_totals_are_records(spark):
 
     got = {r["name"]: (r["t"], r["r"]) for r in df.select("name", total_row(df.columns).alias("t"), remark_row(df.columns).alias("r")).collect()}
     assert [n for n in names if got[n][0]] == ["total", " SUM ", "合计"] and [n for n in names if got[n][1]] == ["Note: x", "remarks", "备注如下"]
+
+
+@pytest.mark.parametrize(("shown", "want"), [
+    ("2024-03-05T10:11:12Z", "2024-03-05 10:11:12"), ("2024-03-05 10:11:12.123", "2024-03-05 10:11:12.123"), ("2024/3/5 10:11", "2024-03-05 10:11:00"), ("2024-03", "2024-03-01 00:00:00"),
+    ("Mar 5, 2024", "2024-03-05 00:00:00"), ("Sept. 5, 2024", "2024-09-05 00:00:00"), ("5 March 2024", "2024-03-05 00:00:00"), ("March 2024", "2024-03-01 00:00:00"), ("20240305T101112Z", "2024-03-05 10:11:12"),
+    ("2024年3月", "2024-03-01 00:00:00"), ("2024-03-05T10:11:12+0800", "2024-03-05 02:11:12"), ("2024-03-05T10:11:12.123456789Z", "2024-03-05 10:11:12.123456"), ("2024-1-1 1:02", "2024-01-01 01:02:00"),
+    ("1/10/2024 01:11", "2024-01-10 01:11:00"), ("2024-02-30", None), ("Foo 5, 2024", None), ("2024", None), ("12:30", None), ("2024/3-5", None), ("13/40/2024", None), ("123456789", None), ("31-feb-2024", None), ("2024-03-05x", None),
+])
+def test_date_shapes(spark, shown, want):
+    assert one(spark, shown, lambda c: parse_date(c).cast("string")) == want
