@@ -28,7 +28,8 @@ def shard_by_bytes(docs: DataFrame, shards: int = 40, sample_keys: int = 20_000,
     Null texts have no bytes (size ``OVERHEAD``, crc32 0). Repeated rows count each. An empty table gives no rows.
     ``sample_keys`` bounds the sampled keys in expectation; they and two numbers a range are all that the driver sees.
     A range with over ``overfull`` times its planned bytes, or over ``max_range_rows`` rows, is divided by a sample of its
-    own, as often as it takes. A row's key ends with a hash of its place in the scan, so even equal rows can be divided.
+    own, up to 20 times. A row's key ends with a hash of its place in the scan, so even equal rows can be divided. At
+    last a cut inside a group that is to stay whole moves to the group's start.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     keyed = id_and_text(docs).select(
@@ -48,7 +49,7 @@ def shard_by_bytes(docs: DataFrame, shards: int = 40, sample_keys: int = 20_000,
     drawn = keyed.where((F.pmod(F.xxhash64("tie", "doc_id"), F.lit(1 << 30)) / float(1 << 30)) * total <= F.col("size") * float(max(sample_keys, 8 * ranges)))
     sample = sorted((r["h"], r["tie"]) for r in drawn.select("h", "tie").collect())
     cuts = sorted({sample[len(sample) * i // ranges] for i in range(1, ranges)}) if sample else []
-    cuts = _divided(keyed, cuts, overfull * total / ranges, max_range_rows)
+    cuts = _rounded(keyed, _divided(keyed, cuts, overfull * total / ranges, max_range_rows), whole * total / shards)
     at = keyed.withColumn("range", _range_of(cuts)("h", "tie"))
     placed = _on_the_line(at, total, shards, whole)
     return _slots(placed).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -77,6 +78,17 @@ def _divided(keyed: DataFrame, cuts: list[tuple[int, int]], most_bytes: float, m
     return cuts
 
 
+def _rounded(keyed: DataFrame, cuts: list[tuple[int, int]], most: float) -> list[tuple[int, int]]:
+    """Cuts inside a group of equal texts of up to ``most`` bytes moved to its start. The upper bits of a tie are the crc32."""
+    groups = sorted({(h, tie >> 31) for h, tie in cuts})
+    if not groups:
+        return cuts
+    asked = F.broadcast(keyed.sparkSession.createDataFrame(groups, "h long, text_crc32 long"))
+    sums = keyed.join(asked, ["h", "text_crc32"]).groupBy("h", "text_crc32").agg(F.sum("size").alias("size")).collect()  # a row a cut at most
+    whole = {(r["h"], r["text_crc32"]) for r in sums if r["size"] <= most}
+    return sorted({(h, tie >> 31 << 31) if (h, tie >> 31) in whole else (h, tie) for h, tie in cuts})
+
+
 def _range_of(cuts: list[tuple[int, int]]):
     """How many of the sorted cuts are at or below (h, tie), by binary search."""
     h_cuts, tie_cuts = np.array([c[0] for c in cuts], np.int64), np.array([c[1] for c in cuts], np.int64)

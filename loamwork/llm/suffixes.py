@@ -287,6 +287,8 @@ def _hot_repeats(packed: DataFrame, cands: DataFrame, length: int, gram: int) ->
 
     hot = cands.where(F.exists("cands", lambda c: c["hot"]))
     found = packed.select("batch", "lengths", "blob").join(hot, "batch").select("batch", "lengths", "blob", "cands").mapInArrow(windows, schema("hash binary, batch long, n long, spots binary"))
+    # one exchange serves the sums and the join, so the windows are looked up once; a window has a row a batch at most
+    found = found.repartition("hash")
     again = found.groupBy("hash").agg(F.sum("n").alias("times")).where("times > 1").select("hash")
     return found.join(again, "hash").select("batch", "spots").mapInArrow(opened, schema("batch long, starts array<int>, ends array<int>"))
 

@@ -11,7 +11,7 @@ from fractions import Fraction
 import numpy as np
 import pytest
 
-from loamwork.llm import queries, ranked, runs, toxicity
+from loamwork.llm import queries, ranked, runs, sharding, suffixes, toxicity
 from tests.conftest import SF
 from tests.llm.helpers import WORD, ascii_lower, empty_documents, odd_documents
 
@@ -203,3 +203,25 @@ def test_toxicity_of_odd_tables(spark):
 def test_thresholds_take_the_widest_gap():
     assert toxicity.threshold(np.array([0.0, 1.0, 3.0, 4.0]), np.array([0, 0, 1, 1])) == 2.0
     assert toxicity.threshold(np.array([0.0, 1.0, 2.0, 3.0]), np.array([0, 1, 0, 1]), cost=0.1) < 1.0
+
+
+def test_small_groups_of_equal_texts_stay_in_one_shard(spark):
+    rng = random.Random(9)
+    texts = [f"text {i} " + "x" * rng.randint(20, 400) for i in range(3000)]
+    rows = [(t,) for t in texts for _ in range(rng.randint(1, 12))] + [("hot text " * 20,)] * 6000
+    docs = spark.createDataFrame([(i, t) for i, (t,) in enumerate(rows)], "doc_id long, text string")
+    got = sharding.shard_by_bytes(docs, shards=40).join(docs, "doc_id").select("text", "size", "shard").toPandas()
+    limit = 0.02 * got["size"].sum() / 40
+    groups = got.groupby("text").agg(size=("size", "sum"), shards=("shard", "nunique"))
+    assert (groups["shards"][groups["size"] <= limit] == 1).all() and groups["shards"].max() > 5
+    shard = got.groupby("shard")["size"].sum()
+    assert len(shard) == 40 and shard.max() - shard.min() < 0.1 * shard.mean()
+
+
+def test_hot_windows_are_looked_up_once(spark):
+    passage = " ".join(f"word{i}" for i in range(60))
+    docs = spark.createDataFrame([(i, f"start {i * 7919} {passage} end {i * 104729}") for i in range(300)], "doc_id long, text string")
+    got = suffixes.remove_repeats(docs, batch_bytes=1 << 14, common=50)
+    plain = suffixes.remove_repeats(docs, batch_bytes=1 << 14, common=1 << 30)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, plain.collect()))
+    assert got.where("n_removed >= 400").count() == 300
