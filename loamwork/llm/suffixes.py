@@ -277,20 +277,23 @@ def _hot_repeats(packed: DataFrame, cands: DataFrame, length: int, gram: int) ->
                 by_hash: dict[bytes, list[int]] = {}
                 for s in sorted(alone):
                     by_hash.setdefault(xxhash.xxh3_128_digest(text[s : s + length]), []).append(s)
-                yield pa.RecordBatch.from_arrays([pa.array(list(by_hash), pa.binary()), pa.array([name] * len(by_hash), pa.int64()), pa.array([len(x) for x in by_hash.values()], pa.int64()), pa.array([np.array(x, "<i4").tobytes() for x in by_hash.values()], pa.binary())], ["hash", "batch", "n", "spots"])
+                own = np.array([name], "<i8").tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array(list(by_hash), pa.binary()), pa.array([own + np.array(x, "<i4").tobytes() for x in by_hash.values()], pa.binary())], ["hash", "places"])
 
     @tidy
     def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            spots = [np.frombuffer(x, "<i4") for x in batch.column("spots").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("batch"), pa.array(spots, pa.list_(pa.int32())), pa.array([x + length for x in spots], pa.list_(pa.int32()))], ["batch", "starts", "ends"])
+            held = batch.column("places").to_pylist()
+            spots, names = [np.frombuffer(x, "<i4", offset=8) for x in held], [int.from_bytes(x[:8], "little", signed=True) for x in held]
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(spots, pa.list_(pa.int32())), pa.array([x + length for x in spots], pa.list_(pa.int32()))], ["batch", "starts", "ends"])
 
     hot = cands.where(F.exists("cands", lambda c: c["hot"]))
-    found = packed.select("batch", "lengths", "blob").join(hot, "batch").select("batch", "lengths", "blob", "cands").mapInArrow(windows, schema("hash binary, batch long, n long, spots binary"))
-    # one exchange serves the sums and the join, so the windows are looked up once; a window has a row a batch at most
+    found = packed.select("batch", "lengths", "blob").join(hot, "batch").select("batch", "lengths", "blob", "cands").mapInArrow(windows, schema("hash binary, places binary"))
+    # one exchange serves the sums and the join, as both read all its columns, so the windows are looked up once; a window
+    # has a row a batch at most: 8 bytes that name the batch, 4 for each place
     found = found.repartition("hash")
-    again = found.groupBy("hash").agg(F.sum("n").alias("times")).where("times > 1").select("hash")
-    return found.join(again, "hash").select("batch", "spots").mapInArrow(opened, schema("batch long, starts array<int>, ends array<int>"))
+    again = found.groupBy("hash").agg(F.sum((F.octet_length("places") - 8) / 4).alias("times")).where("times > 1").select("hash")
+    return found.join(again, "hash").select("places").mapInArrow(opened, schema("batch long, starts array<int>, ends array<int>"))
 
 
 def _front_coded(held: list[tuple[int, bytes, bytes, int, int]]) -> pa.RecordBatch:
