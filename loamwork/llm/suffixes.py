@@ -209,13 +209,14 @@ def _candidates(packed: DataFrame, length: int, gram: int, common: int) -> DataF
                     more[i] = at[first[i] + 1 : first[i] + size[i]].tobytes()
                 yield pa.RecordBatch.from_arrays([pa.array(h[first].view(np.int64)), pa.array(np.full(len(first), name, np.int64)), pa.array(at[first].astype(np.int32)), pa.array(more, pa.binary())], ["hash", "batch", "pos", "more"])
 
-    spots = materialize(packed.select("batch", "lengths", "blob").mapInArrow(choose, schema("hash long, batch long, pos int, more binary")), "suffix-positions")
+    # one exchange serves the sums and the join, as both read all its columns (none is ever null but more), so that the
+    # positions are neither computed nor moved twice; a gram has a row a batch at most
+    spots = packed.select("batch", "lengths", "blob").mapInArrow(choose, schema("hash long, batch long, pos int, more binary")).repartition("hash")
     places = F.lit(1) + F.coalesce(F.octet_length("more") / 4, F.lit(0)).cast("int")
-    again = spots.groupBy("hash").agg(F.sum(places).alias("n")).where("n > 1").select("hash", (F.col("n") > common).alias("hot"))
+    sums = spots.groupBy("hash").agg(F.sum(places).alias("n"), F.min("batch").alias("batch"), F.min("pos").alias("pos"))
+    again = sums.where("n > 1 and batch is not null and pos is not null").select("hash", (F.col("n") > common).alias("hot"))
     kept = spots.join(again, "hash").select("batch", F.struct("pos", "more", "hash", "hot").alias("c"))
-    found = materialize(kept.groupBy("batch").agg(F.collect_list("c").alias("cands"), F.sum(places_of("c")).alias("places")), "suffix-candidates")
-    discard(spots)
-    return found
+    return materialize(kept.groupBy("batch").agg(F.collect_list("c").alias("cands"), F.sum(places_of("c")).alias("places")), "suffix-candidates")
 
 
 def places_of(struct: str) -> Column:
