@@ -165,7 +165,7 @@ def _pack_batches(docs: DataFrame, batch_bytes: int) -> DataFrame:
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        seq, squeeze = TaskContext.get().partitionId() << 32, zstandard.ZstdCompressor(level=1)
+        seq, squeeze = TaskContext.get().partitionId() << 32, zstandard.ZstdCompressor(level=5)
         for batch in pieces(batches, text_sizes, batch_bytes):
             texts = rows_of(batch)
             rest = batch.drop_columns(["text"])
@@ -301,7 +301,7 @@ def _front_coded(held: list[tuple[int, bytes, bytes, int, int]]) -> pa.RecordBat
     import zstandard
 
     held.sort()
-    squeeze, rows, i = zstandard.ZstdCompressor(level=3), [], 0
+    squeeze, rows, i = zstandard.ZstdCompressor(level=5), [], 0
     while i < len(held):
         receiver, last, last_left = held[i][0], b"", None
         heads, counts, tails, lefts, names, spots = bytearray(), [], [], [], [], []
