@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import is_blank, is_date_name, is_key_name, number, parse_date, strip
 from .rules import ISSUES
+from .segments import exact_quantiles
 from .summarize import top_rows
 
 
@@ -62,8 +63,10 @@ def numeric_summary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     def one(c: str):
         x = number(F.col(f"`{c}`"), "business") if kinds[c] == "string" else F.col(f"`{c}`").cast("double")
         four = lambda v: F.round(v, 4)
-        return F.struct(F.lit(c).alias("field"), F.count(x).alias("n"), four(F.sum(x)).alias("total"), four(F.avg(x)).alias("mean"), four(F.min(x)).alias("least"), four(F.max(x)).alias("most"), four(F.percentile(x, F.lit(0.9))).alias("p90"))
+        return F.struct(F.lit(c).alias("field"), F.count(x).alias("n"), four(F.sum(x)).alias("total"), four(F.avg(x)).alias("mean"), four(F.min(x)).alias("least"), four(F.max(x)).alias("most"), four(F.lit(high[c][0]).cast("double")).alias("p90"))
 
+    numeric = {c: number(F.col(f"`{c}`"), "business") if kinds[c] == "string" else F.col(f"`{c}`") for c in names}
+    high = exact_quantiles(df, numeric, [0.9])
     return df.agg(F.array(*map(one, names)).alias("a")).select(F.inline("a")).where("n >= 2")
 
 

@@ -19,6 +19,7 @@ from ..functions.text import NUMERIC_TYPES, ZERO_WIDTH, holds_dates, is_amount_n
 from ..sources.scratch import written
 from .reshape import numbered_names, repeated_names
 from .rows import ROW_ID
+from .segments import exact_quantiles
 
 FINDINGS = "findings"
 FINDING = "array<struct<field:string,issue:string,severity:string,affects_final:boolean,fixable:boolean>>"
@@ -61,7 +62,7 @@ def column_name_findings(names: Sequence[str]) -> list[tuple[str, str]]:
 
 def _facts(df: DataFrame, names: Sequence[str], approx: bool) -> Mapping:
     """One aggregate over all columns: what the value detectors need to know of the whole table."""
-    kinds, aggs = dict(df.dtypes), []
+    kinds, aggs, exact = dict(df.dtypes), [], {}
     for i, n in enumerate(names):
         c, is_text = F.col(f"`{n}`"), kinds[n] == "string"
         x = typed_number(c, kinds[n])
@@ -73,8 +74,12 @@ def _facts(df: DataFrame, names: Sequence[str], approx: bool) -> Mapping:
         if is_text or kinds[n].startswith(NUMERIC_TYPES):
             aggs += [F.count(x).alias(f"numbers{i}"), F.max(x).alias(f"max{i}")]
             if not is_key_name(n) and (not is_text or is_amount_name(n) or is_count_name(n)):
-                aggs.append((F.percentile_approx(x, [0.25, 0.75], 10_000) if approx else F.percentile(x, F.array(F.lit(0.25), F.lit(0.75)))).alias(f"quartiles{i}"))
-    return df.agg(*aggs).first().asDict() if aggs else {}
+                if approx:
+                    aggs.append(F.percentile_approx(x, [0.25, 0.75], 10_000).alias(f"quartiles{i}"))
+                else:
+                    exact[f"quartiles{i}"] = x
+    facts = df.agg(*aggs).first().asDict() if aggs else {}
+    return facts | {k: v for k, v in exact_quantiles(df, exact, [0.25, 0.75]).items() if v[0] is not None}
 
 
 def _mixed_cases(df: DataFrame, names: Sequence[str]) -> tuple[DataFrame, list[int]]:

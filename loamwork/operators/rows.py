@@ -13,6 +13,7 @@ from ..functions.predicates import Condition, all_of, filter_rows
 from ..functions.repeats import mark_repeats, row_cells
 from ..functions.text import NUMERIC_TYPES, parse_date, strip, text, to_number, typed_number
 from ..sources.scratch import written
+from .segments import last_value, running_sum
 
 ROW_ID = "_row_id"
 
@@ -49,16 +50,20 @@ def sortable(df: DataFrame, name: str, as_type: str | None = None) -> Column:
 def dense_rank(df: DataFrame, output: str, source: str, partition: Sequence[str] = (), descending: bool = True, as_type: str | None = None) -> DataFrame:
     """Dense rank of a column; nulls have none.
 
-    Without a partition the distinct values are ranked, not the rows: counts of values per range are summed up to each
-    range, so no task holds all of them, and ranks are joined back by value.
+    The distinct values are ranked, not the rows: counts of values per range are summed up to each range, with carries where
+    a partition goes on in the next range, so no task holds all of a table or partition. Ranks are joined back by value.
     """
     value = sortable(df, source, as_type)
-    if partition:
-        order = value.desc_nulls_last() if descending else value.asc_nulls_last()
-        return df.withColumn(output, F.when(value.isNotNull(), F.dense_rank().over(Window.partitionBy(*partition).orderBy(order))))
     tagged = df.withColumn("_value", value)
-    distinct = tagged.where("_value is not null").select("_value").distinct()
-    ranks = _number_rows(distinct, [F.col("_value").desc() if descending else F.col("_value").asc()], "_rank")
+    order = F.col("_value").desc() if descending else F.col("_value").asc()
+    distinct = tagged.where("_value is not null").select(*partition, "_value").distinct()
+    if partition:
+        ranks = running_sum(distinct, list(partition), [order], F.lit(1), "_rank")
+        same = tagged["_value"].eqNullSafe(ranks["_value"])
+        for p in partition:
+            same = same & tagged[p].eqNullSafe(ranks[p])
+        return tagged.join(ranks, same, "left").select(*[tagged[c] for c in df.columns if c != output], ranks["_rank"].cast("int").alias(output))
+    ranks = _number_rows(distinct, [order], "_rank")
     return tagged.join(ranks, "_value", "left").withColumn(output, F.col("_rank").cast("int")).drop("_value", "_rank")
 
 
@@ -109,13 +114,12 @@ def dedupe(df: DataFrame, keys: Sequence[str] = (), keep: str = "first", order_b
 def fill_down(df: DataFrame, output: str, source: str, order_by: Sequence[str] | None = None, partition: Sequence[str] = ()) -> DataFrame:
     """The last value that isn't null, in order.
 
-    Without a partition, rows are numbered by a range sort and grouped into stretches that begin at a value; the values
-    before each range are carried over, so a long table is not put into one task.
+    Rows are range-sorted, and the values before each range are carried over (within its partition, if there is one), so
+    neither a long table nor a long partition is put into one task.
     """
     order = order_of(df, order_by)
     if partition:
-        w = Window.partitionBy(*partition).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-        return df.withColumn(output, F.last(F.col(f"`{source}`"), ignorenulls=True).over(w))
+        return last_value(df, list(partition), [F.col(c) if isinstance(c, str) else c for c in order], source, output)
     placed = written(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()), "filled")
     part = F.shiftright("_at", 33)
     ends = placed.groupBy(part.alias("_part")).agg(F.max_by(F.struct(F.col(f"`{source}`").alias("v")), F.when(F.col(f"`{source}`").isNotNull(), F.col("_at"))).alias("s")).orderBy("_part").collect()

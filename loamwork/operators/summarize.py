@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.predicates import non_record_row
 from ..functions.text import is_blank, number, parse_business_number, parse_date, time_bucket
 from .rows import ROW_ID, order_of
+from .segments import group_quantiles
 
 AGGREGATES = ("count", "sum", "mean", "min", "max", "median", "nunique", "first", "last")
 
@@ -51,8 +52,21 @@ def metric_column(m: Metric, df: DataFrame, order_by: Sequence[str] | None = Non
 
 
 def aggregate(df: DataFrame, keys: Sequence[str], metrics: Sequence[Metric], order_by: Sequence[str] | None = None, approx: bool = False) -> DataFrame:
-    """Totals by key; null keys are a group of their own. Without keys, one row."""
-    return df.groupBy(*keys).agg(*[metric_column(m, df, order_by, approx) for m in metrics])
+    """Totals by key; null keys are a group of their own. Without keys, one row.
+
+    Exact medians are not aggregates of a task: they are selected by counts that run over ranges of (group, value).
+    """
+    medians = [m for m in metrics if m.op == "median" and not approx]
+    if not medians:
+        return df.groupBy(*keys).agg(*[metric_column(m, df, order_by, approx) for m in metrics])
+    kinds = dict(df.dtypes)
+    values = {m.name: parse_business_number(F.col(f"`{m.column}`")) if kinds[m.column] == "string" else F.col(f"`{m.column}`") for m in medians}
+    found = group_quantiles(df, keys, values, 0.5)
+    rest = df.groupBy(*keys).agg(*[metric_column(m, df, order_by, approx) for m in metrics if m not in medians] or [F.lit(1).alias("_one")])
+    same = F.lit(True)
+    for k in keys:
+        same = same & rest[k].eqNullSafe(found[k])
+    return rest.join(found, same, "left").select(*[rest[k] for k in keys], *[(found if m in medians else rest)[m.name] for m in metrics])
 
 
 def crosstab(df: DataFrame, rows: Sequence[str], column: str, metric: Metric, values: Sequence | None = None, max_values: int = 1000) -> DataFrame:
