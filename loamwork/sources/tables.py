@@ -119,27 +119,41 @@ def inline_table(spark: SparkSession, records: Sequence[Mapping], most: int = 10
     return spark.createDataFrame(rows, T.StructType([T.StructField(n, kinds[n][0]) for n in names]))
 
 
-def detect_header(rows: Sequence[Sequence[str | None]]) -> tuple[int, int]:
-    """(row, levels) of the header among the first rows of a grid: the first full row of distinct, wordy cells; two levels
-    where the row above it repeats or leaves gaps over several columns."""
-    def filled(r):
-        return [c for c in r if c is not None and str(c).strip()]
-
-    def wordy(r):
-        cells = filled(r)
-        return bool(cells) and sum(not re.fullmatch(r"[+-]?[\d.,]+", str(c).strip()) for c in cells) >= 0.8 * len(cells)
-
-    width = max((len(filled(r)) for r in rows), default=0)
-    for i, r in enumerate(rows):
-        cells = filled(r)
-        if width and len(cells) >= max(2, 0.6 * width) and wordy(r):
-            nxt = rows[i + 1] if i + 1 < len(rows) else []
-            names = [str(c).strip() for c in cells]
-            if len(set(names)) < len(names) and wordy(nxt) and len(filled(nxt)) >= len(cells):
-                return i, 2
+def _row_kind(cells: Sequence[str], width: int) -> str:
+    """What a row above a table may be: blank, a title (one cell of several columns), names (one for each column, all
+    different, not only numbers), groups (words with gaps or repeats, as merged cells leave them), or other."""
+    padded = [*cells, *[""] * (width - len(cells))]
+    filled = [c for c in padded if c]
+    if not filled:
+        return "blank"
+    in_words = not all(re.fullmatch(r"[+-]?([\d,]+\.?\d*|\.\d+)([eE][+-]?\d+)?", c) for c in filled)
+    if in_words and len(set(filled)) == len(padded):
+        return "names"
+    if in_words and len(filled) > 1:
+        return "groups"
+    return "title" if len(filled) == 1 and width > 1 else "other"
+
+
+def detect_header(rows: Sequence[Sequence[str | None]], look_at: int | None = None) -> tuple[int, int]:
+    """(row, levels) of the header among the first ``look_at`` rows of a grid; (0, 1), the usual case, if in doubt.
+
+    Blank rows and titles are passed over. Names are a header of one level. Groups over names are one of two levels, but
+    only with a record below, so that a table's only record is never taken for names. Columns are as many as the rows
+    below a candidate usually fill.
+    """
+    grid = [[str(c).strip() if c is not None else "" for c in r] for r in rows]
+    extent = [max((i + 1 for i, c in enumerate(r) if c), default=0) for r in grid]
+    for i in range(len(grid) if look_at is None else min(look_at, len(grid))):
+        below = sorted(x for x in extent[i + 1 :] if x)
+        width = max(extent[i], below[(len(below) - 1) // 2] if below else 0)
+        cells = grid[i][: max(width, extent[i])]
+        kind = _row_kind(cells, width)
+        if kind == "names":
             return i, 1
-        if width and 2 <= len(cells) < width and wordy(r) and i + 1 < len(rows) and wordy(rows[i + 1]) and len(filled(rows[i + 1])) == width:
+        if kind == "groups" and i + 2 < len(grid) and _row_kind(grid[i + 1][: max(width, extent[i + 1])], width) == "names":
             return i, 2
+        if kind not in ("blank", "title"):
+            break
     return 0, 1
 
 
@@ -161,7 +175,7 @@ def read_with_header_repair(spark: SparkSession, paths: Sequence[str], look_at:
     The first lines of each file (a few cells, whatever the file's size) are looked at on the driver; the header rows are
     then filtered out of the scan. Files with the same names are read together, and all are united by name. Cells to the
     right of the header are kept as column_1, column_2, ... by their place. Two passes before the result find the widest
-    row, so that no first line decides how many cells are read.
+    row, so that no first line decides how many cells are read. Files without any line give no rows and no columns.
     """
     from pyspark.sql import Window
 
@@ -173,17 +187,19 @@ def read_with_header_repair(spark: SparkSession, paths: Sequence[str], look_at:
     raw = raw.withColumn("_c0", F.regexp_replace("_c0", "^\ufeff", ""))
     placed = raw.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at")).withColumn("_cells", F.array(*cells))
     first = placed.where("_block = 0").groupBy("_file").agg(F.min("_at").alias("_first"))
-    near = placed.where("_block = 0").join(F.broadcast(first), "_file").where(F.col("_at") < F.col("_first") + 2 * look_at)
+    near = placed.where("_block = 0").join(F.broadcast(first), "_file").where(F.col("_at") < F.col("_first") + 2 * look_at + 2)
     place = F.row_number().over(Window.partitionBy("_file").orderBy("_at"))
     heads: dict[str, list] = {}
-    for r in near.withColumn("_n", place).where(F.col("_n") <= look_at).orderBy("_file", "_n").select("_file", "_at", "_cells").collect():
+    for r in near.withColumn("_n", place).where(F.col("_n") <= look_at + 2).orderBy("_file", "_n").select("_file", "_at", "_cells").collect():
         heads.setdefault(r["_file"], []).append((r["_at"], list(r["_cells"])))
     groups: dict[tuple, list[tuple[str, int]]] = {}
     for f, rows in heads.items():
-        row, levels = detect_header([c for _, c in rows])
+        row, levels = detect_header([c for _, c in rows], look_at)
         grid = [c for _, c in rows]
         width = max((i + 1 for c in grid[row : row + levels] for i, x in enumerate(c) if x is not None and x.strip()), default=len(cells))
         groups.setdefault(tuple(header_names([c[:width] for c in grid], row, levels)), []).append((f, rows[row + levels - 1][0]))
+    if not groups:
+        return spark.createDataFrame([], "_file string")
     parts = []
     last = F.greatest(F.lit(0), *[F.when(F.trim(c) != "", i + 1) for i, c in enumerate(cells)])
     for names, files in groups.items():

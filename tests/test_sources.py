@@ -92,3 +92,28 @@ def test_header_repair_reads_quoted_separators(spark, tmp_path):
     (tmp_path / "a.csv").write_text('Sales\nid,city\n1,"Rome, Italy"\n2,"two\nlines"\n')
     out = tables.read_with_header_repair(spark, [str(tmp_path)])
     assert cells(out.drop("_file")) == [("1", "Rome, Italy"), ("2", "two\nlines")]
+
+
+@pytest.mark.parametrize(("grid", "want"), [
+    ([["order", "customer", "amount"], ["O1", "Ann", "100"]], (0, 1)),
+    ([], (0, 1)),
+    ([["city", "2023", "2024"], ["Rome", "100", "200"]], (0, 1)),
+    ([["order", None, "amount", None], ["no", "customer", "net", "gross"], ["O1", "Ann", "100", "113"]], (0, 2)),
+    ([["order", "order", "amount", "amount"], ["no", "customer", "net", "gross"], ["O1", "Ann", "100", "113"]], (0, 2)),
+    ([["order", "customer", "amount", None], ["no", "name", "net", "gross"], ["O1", "Ann", "100", "113"]], (0, 2)),
+    ([["Sales of 2024", None, None], ["order", "customer", "amount"], ["O1", "Ann", "100"]], (1, 1)),
+    ([[None, None, None], ["order", "customer", "amount"], ["O1", "Ann", "100"]], (1, 1)),
+    ([["O1", "Ann", "100"], ["O2", "Bob", "200"]], (0, 1)),
+    ([["city", "city", "note"], ["Paris", "Rome", "x"]], (0, 1)),
+    ([["a", "b", "c"], ["1", "2", "3"], ["4", "5", "6", "7"]], (0, 1)),
+])
+def test_headers_of_grids(grid, want):
+    assert tables.detect_header(grid) == want
+
+
+def test_an_only_record_is_kept_and_an_empty_file_is_no_error(spark, tmp_path):
+    (tmp_path / "one.csv").write_text("city,city,note\nParis,Rome,x\n")
+    out = tables.read_with_header_repair(spark, [f"{tmp_path}/one.csv"]).drop("_file")
+    assert [tuple(r) for r in out.collect()] == [("Paris", "Rome", "x")]
+    (tmp_path / "none.csv").write_text("")
+    assert tables.read_with_header_repair(spark, [f"{tmp_path}/none.csv"]).count() == 0
