@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.formulas import Formula
-from ..functions.predicates import remark_row, sparse_note_row, total_row
+from ..functions.predicates import Condition, remark_row, sparse_note_row, total_row
 from ..functions.text import parse_business_number
 from ..operators import audit, detect, lookup, profile, reshape, rows, rules, summarize
 from ..operators.rules import Rule
+from ..plans import pipeline
 from ..sources import tables
 from ..sources.scratch import scratch_dir
 from .base import registry
@@ -110,6 +111,29 @@ def lookup_fuzzy_codes(supplier):
     return lookup.lookup(typed, true, "typed", "code", ["found"], mode="fuzzy", order_by=["found"], match_field="matched").select("s_suppkey", "found", "matched")
 
 
+@query("orders", "customer", sql="""
+SELECT 1 AS place, 'source' AS step, count(*) AS rows_in, count(*) AS rows_out, 0::BIGINT AS removed, NULL::BIGINT AS matched, NULL::BIGINT AS flagged FROM orders
+UNION ALL SELECT 2, 'lookup customer', count(*), count(*), 0, count(CASE WHEN o_custkey % 3 > 0 THEN 1 END), NULL FROM orders
+UNION ALL SELECT 3, 'formulas', count(*), count(CASE WHEN o_totalprice >= 50000 THEN 1 END), count(CASE WHEN NOT o_totalprice >= 50000 THEN 1 END), NULL, NULL FROM orders
+UNION ALL SELECT 4, 'rules', count(*), count(*), 0, NULL, count(CASE WHEN o_orderstatus = 'F' THEN 1 END) FROM orders WHERE o_totalprice >= 50000""")
+def stage_metrics(orders, customer):
+    """Rows in and out of each step of a job, with matches, removals and flags, as they were seen while it ran."""
+    job = pipeline.Job(
+        "orders", auto_fix=False, detect=False, lookups=[pipeline.LookupStep("customer", "o_custkey", "c_custkey", ["c_name"], {"order_by": ["c_custkey"]})],
+        formulas=[Formula("", "filter_rows", conditions=[Condition("o_totalprice", "gte", 50000)])], rules=[rules.Rule("closed", "o_orderstatus", "equals", "F", reason="closed")],
+    )
+    done = pipeline.run(job, {"orders": orders, "customer": customer.where("c_custkey % 3 > 0")})
+    return done.measured(lambda df: df.write.format("noop").mode("overwrite").save()).drop("seconds")
+
+
+@query("lineitem", sql="SELECT 1 AS k, string_agg(flag, '; ' ORDER BY place) AS modes FROM (SELECT l_returnflag AS flag, min(l_orderkey * 100 + l_linenumber) AS place FROM lineitem GROUP BY 1)")
+def lookup_list_hot_key(lineitem):
+    """All rows of the right side share one key: the list holds each value once, in the order of its first row."""
+    left = lineitem.sparkSession.range(1).select(F.lit(1).alias("k"))
+    right = lineitem.select(F.lit(1).alias("k"), "l_orderkey", "l_linenumber", F.col("l_returnflag").alias("modes"))
+    return lookup.lookup(left, right, "k", "k", ["modes"], policy="list", order_by=["l_orderkey", "l_linenumber"])
+
+
 @query("orders", "lineitem", sql="SELECT 1 AS place, 'l_orderkey' AS field UNION ALL SELECT 2, 'l_linenumber' FROM (SELECT count(*) FROM orders) WHERE (SELECT count(*) FROM lineitem) >= 0")
 def unionable_groups(orders, lineitem):
     """Tables with the same names are found from their schemas; the rows listed are the columns of the group, in order."""

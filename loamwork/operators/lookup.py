@@ -52,17 +52,20 @@ def _prepared(right: DataFrame, keys: Sequence[str], fields: Sequence[str], mode
         taken = F.min_by(F.struct(*[F.col(f"_f{i}") for i in range(len(fields))], F.lit(1).alias("_one")), "_order").alias("_hit")
         return keyed.groupBy("_key").agg(n, taken).select("_key", "_n", *[F.col(f"_hit._f{i}").alias(f"_f{i}") for i in range(len(fields))])
 
-    def listed(i: int) -> Column:
-        value = strip(text(F.col(f"_f{i}")))
-        ordered = F.array_sort(F.collect_list(F.when(value != "", F.struct("_order", value.alias("v")))))
-        return F.array_join(F.array_distinct(F.transform(ordered, lambda x: x["v"])), sep)
-
     summed = set()
     if policy == "aggregate":
         kinds = right.select(*fields).agg(*[(F.count(f"`{f}`") - F.count(to_number(F.col(f"`{f}`")))).alias(f"_c{i}") for i, f in enumerate(fields)]).first()
         summed = {i for i in range(len(fields)) if kinds[i] == 0}
-    aggs = [(F.sum(to_number(F.col(f"_f{i}"))) if i in summed else listed(i)).alias(f"_f{i}") for i in range(len(fields))]
-    return keyed.groupBy("_key").agg(n, *aggs)
+    sums = keyed.groupBy("_key").agg(n, *[F.sum(to_number(F.col(f"_f{i}"))).alias(f"_f{i}") for i in sorted(summed)])
+    texts = [i for i in range(len(fields)) if i not in summed]
+    if not texts:
+        return sums
+    # what is distinct first, with partial sums, so that no list is longer than a key has different values
+    cells = F.array(*[F.struct(F.lit(i).alias("_i"), strip(text(F.col(f"_f{i}"))).alias("_v")) for i in texts])
+    distinct = keyed.select("_key", "_order", F.inline(cells)).where("_v <> ''").groupBy("_key", "_i", "_v").agg(F.min("_order").alias("_order"))
+    ordered = lambda i: F.array_sort(F.collect_list(F.when(F.col("_i") == i, F.struct("_order", "_v"))))
+    lists = distinct.groupBy("_key").agg(*[F.array_join(F.transform(ordered(i), lambda x: x["_v"]), sep).alias(f"_f{i}") for i in texts])
+    return sums.join(lists, "_key", "left").select("_key", "_n", *[(F.col(f"_f{i}") if i in summed else F.coalesce(F.col(f"_f{i}"), F.lit(""))).alias(f"_f{i}") for i in range(len(fields))])
 
 
 def lookup(
@@ -83,6 +86,18 @@ def lookup(
     rk = [right_key] if isinstance(right_key, str) else list(right_key)
     if len(lk) != len(rk):
         raise ValueError("keys differ in length")
+    if clash := {"_key", "_n", "_left_key", "right_key", "score", *(f"_f{i}" for i in range(len(fields)))} & set(left.columns):
+        hidden = {c: f"_own{i}_{c}" for i, c in enumerate(sorted(clash))}
+        found = lookup(
+            left.withColumnsRenamed(hidden), right, [hidden.get(k, k) for k in lk], rk, fields, aliases={f: f"_got{i}" for i, f in enumerate(fields)}, suffix=suffix, mode=mode, policy=policy, order_by=order_by, sep=sep,
+            match_field=match_field, confidence_field=confidence_field, explanation_field=explanation_field, ambiguity_field=ambiguity_field, threshold=threshold,
+        )
+        taken, names = set(left.columns), {v: k for k, v in hidden.items()}
+        for i, f in enumerate(fields):
+            name = (aliases or {}).get(f, f)
+            names[f"_got{i}"] = name = name + suffix if name in taken else name
+            taken.add(name)
+        return found.withColumnsRenamed(names)
     table = _prepared(right, rk, fields, mode, policy, order_by, sep)
     keyed = left.withColumn("_key", _keys(lk, mode))
     if mode == "fuzzy":

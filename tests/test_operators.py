@@ -248,3 +248,19 @@ def test_large_value_maps_keep_rows(spark):
     df = spark.createDataFrame([("1",), ("7",), (None,)], "v string")
     many = {i: f"n{i}" for i in range(2, 700)} | {1: "one", "1": "uno"}
     assert values(reshape.map_values(df, "v", many), "v_mapped") == sorted([("uno",), ("n7",), (None,)], key=repr)
+
+
+def test_lookups_take_any_column_name(spark):
+    left = spark.createDataFrame([("a", 1, 2, 3)], "_key string, _n int, score int, _f0 int")
+    right = spark.createDataFrame([("a", 7, 8)], "k string, _n int, v int")
+    for mode in ("exact", "fuzzy"):
+        out = lookup.lookup(left, right, "_key", "k", ["_n", "v"], mode=mode, order_by=["v"], match_field="found")
+        assert out.columns == ["_key", "_n", "score", "_f0", "_n_lookup", "v", "found"] and [tuple(r) for r in out.collect()] == [("a", 1, 2, 3, 7, 8, True)]
+
+
+def test_a_job_sums_by_columns_outside_its_target(spark):
+    df = spark.createDataFrame([(1, "x", 5.0), (2, "y", 7.0)], "id int, g string, v double")
+    done = pipeline.run(pipeline.Job("t", auto_fix=False, detect=False, target_schema=["id"], group_by=["g"], metrics=[summarize.Metric("sum", "v", "s")]), {"t": df})
+    assert values(done.summary, "g", "s") == [("x", 5.0), ("y", 7.0)] and done.usable.columns == ["id"]
+    told = done.measured(lambda d: d.collect())
+    assert values(told, "step", "rows_in", "rows_out", "flagged") == sorted([("source", 2, 2, None), ("formulas", 2, 2, None), ("rules", 2, 2, 0)], key=repr)
