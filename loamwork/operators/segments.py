@@ -102,7 +102,8 @@ def exact_quantiles(df: DataFrame, values: Mapping[str, Column], probabilities:
     for n in names:
         for j, p in enumerate(probabilities):
             lo, hi = first[f"{n}_{j}"] or (None, None)
-            bracket[n, p] = (first[f"{n}_lo"] if p <= spread else lo, first[f"{n}_hi"] if p >= 1 - spread else hi)
+            few = held[n] <= max(most, accuracy)  # the ranks of a sketch are too coarse for so few
+            bracket[n, p] = (first[f"{n}_lo"] if few or p <= spread else lo, first[f"{n}_hi"] if few or p >= 1 - spread else hi)
     live = [s for s in slots if held[s[0]]]
     rank = {(n, p): int((held[n] - 1) * p) for n, p in live}
     after = {}
@@ -115,7 +116,8 @@ def exact_quantiles(df: DataFrame, values: Mapping[str, Column], probabilities:
         for i, s in wide:
             at = (rank[s] - sums[f"below{i}"]) / sums[f"inside{i}"]
             inside = F.when(F.col(s[0]).between(*bracket[s]), F.col(s[0]))
-            asked.append(F.percentile_approx(inside, [clip(at - spread), clip(at + spread + 1 / sums[f"inside{i}"])], accuracy).alias(f"s{i}"))
+            slack = spread + 1.5 / sums[f"inside{i}"]  # a sketch takes the nearest rank
+            asked.append(F.percentile_approx(inside, [clip(at - slack), clip(at + slack)], accuracy).alias(f"s{i}"))
         found = data.agg(*asked).first()
         for i, s in wide:
             after[s] = bracket[s]

@@ -52,6 +52,13 @@ def test_exact_quantiles(spark, most):
     assert got["x"] == pytest.approx(np.quantile(x, ps).tolist()) and got["y"] == pytest.approx(np.quantile(np.arange(len(x)) % 5, ps).tolist()) and got["z"] == [None] * len(ps)
 
 
+@pytest.mark.parametrize("n", [1, 2, 3, 7, 150])
+def test_exact_quantiles_of_few_values(spark, n):
+    x = np.random.default_rng(n).normal(size=n)
+    got = segments.exact_quantiles(spark.createDataFrame([(float(v),) for v in x], "x double"), {"x": F.col("x")}, [0.25, 0.5, 0.75, 0.9])
+    assert got["x"] == pytest.approx(np.quantile(x, [0.25, 0.5, 0.75, 0.9]).tolist())
+
+
 def test_medians_by_group_and_in_all(hot):
     got = {r["k"]: (r["n"], r["m"]) for r in summarize.aggregate(hot, ["k"], [summarize.Metric("count", output="n"), summarize.Metric("median", "x", "m")]).collect()}
     want = hot.toPandas().groupby("k", dropna=False)["x"].agg(["size", "median"])
