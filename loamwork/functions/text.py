@@ -8,6 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .folding import nfkc
+
 #: Full-width forms U+FF01..U+FF5E and the ideographic space, with their ASCII forms.
 FULL_WIDTH = "".join(chr(c) for c in range(0xFF01, 0xFF5F)) + "　"
 HALF_WIDTH = "".join(chr(c) for c in range(0x21, 0x7F)) + " "
@@ -68,8 +70,8 @@ def normalize_width(c: Column) -> Column:
 
 
 def normalize_key(c: Column) -> Column:
-    """A key for matching across tables: width folded, stripped, lower case. Folds U+FF01..FF5E and U+3000."""
-    return F.lower(strip(half_width(c.cast("string"))))
+    """A key for matching across tables: compatibility forms folded (NFKC), stripped, lower case."""
+    return F.lower(strip(nfkc(c.cast("string"))))
 
 
 def to_number(c: Column) -> Column:

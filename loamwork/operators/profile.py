@@ -9,11 +9,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.predicates import condition, with_repeats
-from ..functions.text import is_blank, is_key_name, normalize_name, strip, to_number
+from ..functions.text import is_blank, is_key_name, normalize_key, normalize_name, strip, to_number
 from .rules import Rule
 
 PROFILE = "table string, column string, dtype string, rows long, nulls long, null_rate double, empty_strings long, distinct_values long, repeated_rows long, samples array<string>"
-RELATION = "left_table string, left_field string, right_table string, right_field string, left_keys long, matched_keys long, match_rate double, unmatched_keys long, left_repeats boolean, right_repeats boolean, cardinality string, output_rows long, growth long, most_matches long, advice string"
+RELATION = "left_table string, left_field string, right_table string, right_field string, left_keys long, matched_keys long, match_rate double, unmatched_keys long, left_rows long, matched_rows long, row_match_rate double, left_repeats boolean, right_repeats boolean, right_repeated_keys long, cardinality string, output_rows long, growth long, most_matches long, unmatched_samples array<string>, repeated_samples array<string>, advice string"
 
 
 def profile(df: DataFrame, table: str = "table", approx: bool = False, repeats: Sequence[str] | None = None, samples: int = 3) -> DataFrame:
@@ -78,41 +78,78 @@ def key_candidates(profiles: DataFrame) -> DataFrame:
     return profiles.where(F.col("column").isin(keys)).select("table", "column", F.round(unique, 4).alias("uniqueness"), F.round(complete, 4).alias("completeness"), score.alias("score"), level.alias("level"))
 
 
-def relationship(left: DataFrame, left_field: str, right: DataFrame, right_field: str, left_table: str = "left", right_table: str = "right") -> DataFrame:
-    """How two fields relate, from counts by key: match rate, cardinality, and what a join would yield (one row)."""
-    def counts(df: DataFrame, name: str, as_: str) -> DataFrame:
-        key = strip(F.col(f"`{name}`").cast("string"))
-        return df.groupBy(F.when(key != "", key).alias("k")).agg(F.count(F.lit(1)).alias(as_))
-
-    a, b = counts(left, left_field, "nl"), counts(right, right_field, "nr").where("k is not null")
-    both = a.join(b, a["k"].eqNullSafe(b["k"]), "full_outer").select(F.coalesce(a["k"], b["k"]).alias("k"), "nl", "nr")
-    has, got = F.col("nl").isNotNull() & F.col("k").isNotNull(), F.col("nr").isNotNull()
-    sums = both.agg(
-        F.count(F.when(has, 1)).alias("left_keys"), F.count(F.when(has & got, 1)).alias("matched_keys"),
-        F.coalesce(F.max(F.when(F.col("k").isNotNull(), F.col("nl"))), F.lit(0)).alias("l"), F.coalesce(F.max("nr"), F.lit(0)).alias("r"),
-        F.coalesce(F.sum(F.col("nl") * F.greatest(F.coalesce("nr", F.lit(0)), F.lit(1))), F.lit(0)).alias("output_rows"),
-        F.coalesce(F.sum("nl"), F.lit(0)).alias("left_rows"), F.coalesce(F.max(F.when(has, F.col("nr"))), F.lit(0)).alias("most_matches"),
+def _related(sides: Sequence[tuple[str, DataFrame]], pairs: Sequence[tuple[int, str, int, str]], samples: int) -> DataFrame:
+    """One row for each pair (place of the left table, its field, place of the right one, its field).
+
+    Fields that meet in a pair form a group. All fields of all tables go into one index, (group, key) with a count for each
+    field of the group, in one shuffle with partial sums; figures and samples of every pair follow from it.
+    """
+    spark = sides[0][1].sparkSession
+    group: dict[tuple[int, str], int] = {}
+    for a, x, b, y in pairs:
+        g = min(group.get((a, x), len(group)), group.get((b, y), len(group)))
+        joined = {group.get((a, x)), group.get((b, y))}
+        group.update({s: g for s in [*(s for s, old in group.items() if old in joined), (a, x), (b, y)]})
+    place: dict[tuple[int, str], int] = {}
+    for s, g in group.items():
+        place[s] = sum(group[t] == g for t in place)
+    cells = []
+    for i, (_, df) in enumerate(sides):
+        mine = [(c, group[i, c], place[i, c]) for c in df.columns if (i, c) in group]
+        if mine:
+            cells.append(df.select(F.inline(F.array(*[F.struct(F.lit(g).alias("g"), F.lit(p).alias("p"), normalize_key(F.col(f"`{c}`")).alias("k")) for c, g, p in mine]))))
+    key = F.when(F.col("k") != "", F.col("k")).alias("k")
+    counts = [F.count(F.when(F.col("p") == p, 1)).alias(f"n{p}") for p in range(max(place.values()) + 1)]
+    index = reduce(DataFrame.unionByName, cells).select("g", "p", key).groupBy("g", "k").agg(*counts)
+    wanted = spark.createDataFrame([(n, group[a, x], place[a, x], place[b, y]) for n, (a, x, b, y) in enumerate(pairs)], "pair int, g int, i int, j int")
+    n_of = F.array(*[F.col(f"n{p}") for p in range(len(counts))])
+    met = index.join(F.broadcast(wanted), "g").select("pair", "k", F.get(n_of, F.col("i")).alias("nl"), F.when(F.col("k").isNotNull(), F.get(n_of, F.col("j"))).otherwise(F.lit(0)).alias("nr"))
+    has, got = F.col("k").isNotNull() & (F.col("nl") > 0), F.col("nr") > 0
+    total = lambda test, n: F.coalesce(F.sum(F.when(test, F.col(n))), F.lit(0))
+    every = F.lit(True)
+    sums = met.groupBy("pair").agg(
+        F.count(F.when(has, 1)).alias("left_keys"), F.count(F.when(has & got, 1)).alias("matched_keys"), total(has, "nl").alias("left_rows"), total(has & got, "nl").alias("matched_rows"),
+        F.count(F.when(F.col("nr") > 1, 1)).alias("right_repeated_keys"), F.coalesce(F.max(F.when(has, F.col("nl"))), F.lit(0)).alias("l"), F.coalesce(F.max("nr"), F.lit(0)).alias("r"),
+        F.coalesce(F.sum(F.col("nl") * F.greatest("nr", F.lit(1))), F.lit(0)).alias("output_rows"), total(every, "nl").alias("all_rows"), F.max(F.when(has & got, F.col("nr"))).alias("most"),
     )
-    rate = F.when(F.col("left_keys") > 0, F.round(F.col("matched_keys") / F.col("left_keys"), 4)).otherwise(F.lit(0.0))
+    kinds = F.array_compact(F.array(F.when(has & ~got, 0), F.when(F.col("nr") > 1, 1)))
+    least = F.row_number().over(Window.partitionBy("pair", "kind").orderBy("k"))
+    shown = met.select("pair", "k", F.explode(kinds).alias("kind")).withColumn("at", least).where(F.col("at") <= samples)
+    of_kind = lambda n: F.array_sort(F.collect_list(F.when(F.col("kind") == n, F.col("k"))))
+    shown = shown.groupBy("pair").agg(of_kind(0).alias("unmatched_samples"), of_kind(1).alias("repeated_samples"))
+    named = spark.createDataFrame([(n, sides[a][0], x, sides[b][0], y) for n, (a, x, b, y) in enumerate(pairs)], "pair int, left_table string, left_field string, right_table string, right_field string")
+    share = lambda part, whole: F.when(F.col(whole) > 0, F.round(F.col(part) / F.col(whole), 4)).otherwise(F.lit(0.0))
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     kind = F.concat(F.when(F.col("l") > 1, "N").otherwise("1"), F.lit(":"), F.when(F.col("r") > 1, "N").otherwise("1"))
-    return sums.select(
-        F.lit(left_table).alias("left_table"), F.lit(left_field).alias("left_field"), F.lit(right_table).alias("right_table"), F.lit(right_field).alias("right_field"),
-        "left_keys", "matched_keys", rate.alias("match_rate"), (F.col("left_keys") - F.col("matched_keys")).alias("unmatched_keys"),
-        (F.col("l") > 1).alias("left_repeats"), (F.col("r") > 1).alias("right_repeats"), kind.alias("cardinality"),
-        "output_rows", (F.col("output_rows") - F.col("left_rows")).alias("growth"), "most_matches",
+    rate, none = share("matched_rows", "left_rows"), F.array().cast("array<string>")
+    return F.broadcast(named).join(sums, "pair", "left").join(F.broadcast(shown), "pair", "left").select(
+        "left_table", "left_field", "right_table", "right_field", zero("left_keys").alias("left_keys"), zero("matched_keys").alias("matched_keys"), share("matched_keys", "left_keys").alias("match_rate"),
+        (zero("left_keys") - zero("matched_keys")).alias("unmatched_keys"), zero("left_rows").alias("left_rows"), zero("matched_rows").alias("matched_rows"), rate.alias("row_match_rate"),
+        (zero("l") > 1).alias("left_repeats"), (zero("r") > 1).alias("right_repeats"), zero("right_repeated_keys").alias("right_repeated_keys"), kind.alias("cardinality"),
+        zero("output_rows").alias("output_rows"), (zero("output_rows") - zero("all_rows")).alias("growth"), zero("most").alias("most_matches"),
+        F.coalesce("unmatched_samples", none).alias("unmatched_samples"), F.coalesce("repeated_samples", none).alias("repeated_samples"),
         F.when(rate >= 0.8, "recommended").when(rate >= 0.5, "possible").otherwise("unlikely").alias("advice"),
     )
 
 
-def relationships(tables: Mapping[str, DataFrame]) -> DataFrame:
-    """All pairs of key-like fields of the same normalised name in two tables, in both directions."""
-    found = []
-    for a, left in tables.items():
-        for b, right in tables.items():
-            for x in left.columns if a != b else ():
-                found += [relationship(left, x, right, y, a, b) for y in right.columns if is_key_name(x) and normalize_name(x) == normalize_name(y) != ""]
-    spark = next(iter(tables.values())).sparkSession
-    return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], RELATION)
+def relationship(left: DataFrame, left_field: str, right: DataFrame, right_field: str, left_table: str = "left", right_table: str = "right", samples: int = 10) -> DataFrame:
+    """How two fields relate, from counts by key (folded as ``lookup`` folds them): one row.
+
+    ``match_rate`` is over distinct keys, ``row_match_rate`` over rows, which the advice follows. ``output_rows`` and
+    ``growth`` are what a left join would yield. Samples are the least keys of the left side without a partner, and the
+    least keys that repeat on the right side.
+    """
+    return _related([(left_table, left), (right_table, right)], [(0, left_field, 1, right_field)], samples)
+
+
+def relationships(tables: Mapping[str, DataFrame], samples: int = 10) -> DataFrame:
+    """All pairs of key-like fields of the same normalised name in two tables, in both directions, from one shuffle."""
+    sides = list(tables.items())
+    pairs = [
+        (a, x, b, y) for a, (_, left) in enumerate(sides) for b, (_, right) in enumerate(sides) if a != b
+        for x in left.columns if is_key_name(x) for y in right.columns if normalize_name(x) == normalize_name(y) != ""
+    ]
+    return _related(sides, pairs, samples) if pairs else sides[0][1].sparkSession.createDataFrame([], RELATION)
 
 
 def base_table(row_counts: Mapping[str, int]) -> str | None:
