@@ -8,18 +8,35 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from .rules import ISSUES, issue_text, needs_review
+from .rules import ISSUES, Rule, issue_text, needs_review
 from .reshape import drop_technical
 
 
-def record_audit(df: DataFrame, keys: Sequence[str], covered: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
-    """One row for each record and issue, with the field's value. ``dirty:`` reasons go where a rule covers the field."""
+def record_audit(df: DataFrame, keys: Sequence[str], rules: Sequence[Rule] = (), lookups: Mapping[str, str] | None = None, table: str = "") -> DataFrame:
+    """One row for each record and issue, with the field's value. ``dirty:`` reasons go where a rule covers the field.
+
+    ``source`` tells what found it (rule, lookup or detector) and ``rule`` the name of the rule, of ``rules``, or else the
+    detector. ``lookups`` names the match column of each lookup: those that found a row and those that did not are joined
+    by semicolons, in the order given; a match that is null did not find one.
+    """
     by_rule = F.transform(F.filter(F.col(ISSUES), lambda x: ~x["reason"].startswith("dirty:")), lambda x: x["field"])
     kept = F.filter(F.col(ISSUES), lambda x: ~(x["reason"].startswith("dirty:") & F.array_contains(by_rule, x["field"])))
     names = [c for c in df.columns if c != ISSUES]
     values = F.create_map(*[v for c in names for v in (F.lit(c), F.col(f"`{c}`").cast("string"))])
-    audited = df.select(*keys, values.alias("_values"), F.inline(kept))
-    return audited.select(*keys, "reason", "field", "severity", "kind", F.try_element_at("_values", F.col("field")).alias("value"))
+    matched = {n: F.coalesce(F.col(f"`{c}`").cast("boolean"), F.lit(False)) for n, c in (lookups or {}).items()}
+    hit = F.concat_ws(";", *[F.when(m, F.lit(n)) for n, m in matched.items()])
+    failed = F.concat_ws(";", *[F.when(~m, F.lit(n)) for n, m in matched.items()])
+    audited = df.select(*keys, values.alias("_values"), hit.alias("hit_lookups"), failed.alias("failed_lookups"), F.inline(kept))
+    detected = F.col("reason").startswith("dirty:")
+    source = F.when(detected, "detector").when(F.col("kind") == "unmatched_lookup", "lookup").otherwise("rule")
+    known = {(r.reason or r.name, r.field): r.name for r in rules}
+    rule = F.when(detected, F.regexp_extract("reason", "([^:]*)$", 1))
+    for (reason, name), rule_name in known.items():
+        rule = rule.when((F.col("reason") == reason) & (F.col("field") == name), rule_name)
+    return audited.select(
+        *keys, F.lit(table).alias("source_table"), source.alias("source"), rule.otherwise(F.col("reason")).alias("rule"), "hit_lookups", "failed_lookups",
+        "reason", "field", "severity", "kind", F.try_element_at("_values", F.col("field")).alias("value"),
+    )
 
 
 def label_summary(df: DataFrame, keys: Sequence[str], samples: int = 3) -> DataFrame:
@@ -105,12 +122,17 @@ def apply_decisions(df: DataFrame, decisions: DataFrame, keys: Sequence[str], **
 
 @dataclass(frozen=True)
 class Contract:
-    """What a table must look like. ``match``: exact (names in order), prefix (these first) or subset (these at least)."""
+    """What a table must look like.
+
+    ``match``: exact (names in order), prefix (these first), subset (these at least), conditional (some of these, in their
+    order) or source_dynamic (none but these and ``source_columns``, in any order).
+    """
 
     columns: Sequence[str] = ()
     match: str = "exact"
     rows: int | None = None
     unique: Sequence[str] = field(default_factory=tuple)
+    source_columns: Sequence[str] = ()
 
 
 class ContractBroken(AssertionError):
@@ -122,8 +144,8 @@ def assert_contract(df: DataFrame, spec: Contract) -> DataFrame:
     names, want = df.columns, list(spec.columns)
     if len(set(names)) < len(names):
         raise ContractBroken(f"repeated columns: {names}")
-    fine = {"exact": names == want, "prefix": names[: len(want)] == want, "subset": set(want) <= set(names)}[spec.match]
-    if want and not fine:
+    fine = {"exact": names == want, "prefix": names[: len(want)] == want, "subset": set(want) <= set(names), "conditional": names == [c for c in want if c in names], "source_dynamic": set(names) <= {*want, *spec.source_columns}}[spec.match]
+    if (want or spec.match == "source_dynamic") and not fine:
         raise ContractBroken(f"columns are {names}, declared {spec.match}: {want}")
     if spec.rows is not None and (n := df.count()) != spec.rows:
         raise ContractBroken(f"{n} rows, declared {spec.rows}")

@@ -57,6 +57,12 @@ def profile_tables(tables: Mapping[str, DataFrame], approx: bool = False) -> Dat
     return reduce(DataFrame.unionByName, [profile(df, name, approx) for name, df in tables.items()])
 
 
+def profile_issues(profiles: DataFrame) -> DataFrame:
+    """(table, field, issue, rows): the columns of ``profiles`` that hold nulls or empty texts; clean ones do not appear."""
+    kinds = [F.when(F.col(c) > 0, F.struct(F.lit(i).alias("issue"), F.col(c).alias("rows"))) for i, c in (("null_values", "nulls"), ("empty_strings", "empty_strings"))]
+    return profiles.select("table", F.col("column").alias("field"), F.array_compact(F.array(*kinds)).alias("_i")).select("table", "field", F.inline("_i"))
+
+
 def overview(tables: Mapping[str, DataFrame]) -> DataFrame:
     """(table, rows, columns, duplicate_rows): duplicate rows beyond the first of each kind."""
     def one(name: str, df: DataFrame) -> DataFrame:
