@@ -9,9 +9,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import checks, further, joins, scalars, tables
+from . import checks, covering, further, joins, scalars, tables
 
-_MODULES = (scalars, joins, tables, checks, further)
+_MODULES = (scalars, joins, tables, checks, further, covering)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
