@@ -1,6 +1,7 @@
 """Packing, top-k, token files, sharding, quality and licences against brute force, and on odd tables."""
 
 import collections
+import math
 import random
 import zlib
 
@@ -12,6 +13,7 @@ from loamwork.llm.shared import default_tokenizer
 from loamwork.llm.sharding import shard_by_bytes
 from loamwork.llm.token_files import EliasFano, Shard, read_token_shards, shard_image, write_token_shards
 from loamwork.llm.topk import top_k
+from pyspark.sql import functions as F
 
 from ..conftest import SF
 from .helpers import empty_documents, odd_documents
@@ -157,6 +159,51 @@ def test_quality_is_learnt_and_scores_everything(spark):
     assert quality.keep_good(odd, model).columns == odd.columns
 
 
+def plain_features(text: bytes) -> dict:
+    """The features of a text, one by one in plain Python."""
+    kinds = {
+        "upper": b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", "lower": b"abcdefghijklmnopqrstuvwxyz", "digit": b"0123456789", "wide": bytes(range(128, 256)), "newline": b"\n", "space": b" ", "stop": b".?,;:",
+        "loud": b"!", "bar": b"|", "mark": b"#$%&*@^~`+=<>{}[]\\_/", "control": bytes(b for b in range(32) if b not in (9, 10, 13)),
+    }
+    words, lines = text.split(), [x for x in text.split(b"\n") if x.strip()]
+    out = {k: sum(b in v for b in text) / len(text) if text else 0.0 for k, v in kinds.items()}
+    if not words:
+        return out | {k: 0.0 for k in quality.FEATURES if k not in out}
+    n = len(words)
+    bad = lambda x: sum(x.count(c.encode()) for c in "|!#$%&*") + 2 * sum(w.isupper() for w in x.split())
+    return out | {
+        "log_words": math.log(1 + n), "distinct": len(set(words)) / n, "triples": len({tuple(words[i : i + 3]) for i in range(n - 2)}) / max(1, n - 2), "twice": sum(words[i] == words[i - 1] for i in range(1, n)) / n,
+        "lines": len(set(lines)) / max(1, len(lines)), "word_length": sum(map(len, words)) / n, "short_words": sum(len(w) <= 3 for w in words) / n, "long_words": sum(len(w) > 12 for w in words) / n,
+        "top_word": max(words.count(w) for w in set(words)) / n, "worst_line": max((bad(x) / (8 + len(x)) for x in lines), default=0.0),
+    }
+
+
+def test_quality_scores_equal_brute_force(spark):
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    model = quality.train(docs, labels)
+    texts = docs.select("doc_id", "text").union(odd_documents(spark).select(F.col("doc_id") + 10**9, "text").where("doc_id is not null")).where("text is null or length(text) < 20000")
+    asked = collections.defaultdict(set)
+    for r in texts.collect():
+        asked[r["doc_id"]].add((r["text"] or "").encode())
+    unsure = []
+    squash = lambda z: 1 / (1 + math.exp(-min(30, max(-30, (z - model.threshold) * model.scale))))
+    for r in quality.score(texts, model).collect():
+        possible = []
+        for text in asked[r["doc_id"]]:
+            x, weights = plain_features(text), iter(model.weights)
+            low = high = 0.0
+            for name, edges in zip(quality.FEATURES, model.edges):
+                for e, w in zip(edges, weights):
+                    if e and math.isclose(x[name], e, rel_tol=1e-12):  # may be rounded to either side of the edge
+                        low, high = low + min(0, w), high + max(0, w)
+                    elif x[name] > e:
+                        low, high = low + w, high + w
+            possible.append((squash(low), squash(high)))
+        assert any(a - 1e-9 <= r["score"] <= b + 1e-9 for a, b in possible)
+        unsure += [b - a for a, b in possible]
+    assert sum(u < 1e-9 for u in unsure) > len(unsure) / 2
+
+
 def test_worst_line_counts_all_words_of_a_line():
     at = quality.FEATURES.index("worst_line")
     calm, loud = ["word"] * 100, ["LOUD"] * 100

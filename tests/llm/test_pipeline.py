@@ -1,15 +1,19 @@
 import hashlib
+import zlib
 
 import corpus_pipeline as cp
+import numpy as np
 import pytest
 from loamwork.llm import quality
-from loamwork.llm.shared import materialize
+from loamwork.llm.shared import default_tokenizer, materialize
 
 from ..conftest import SF
 from .helpers import empty_documents, odd_documents
 from .test_decontaminate import brute as contaminated
 from .test_suffixes import brute as repeats
 
+tokenizers = pytest.importorskip("tokenizers")
+
 
 @pytest.fixture(scope="module")
 def stages(spark):
@@ -75,8 +79,27 @@ def test_contaminated_documents_go(spark, stages):
 
 
 def test_packing_covers_what_is_left(stages):
+    """Every id of every document that is left lies in one piece, and every sequence is filled without a gap."""
     before, after = stages["packing"]
-    assert after.select("doc_id").distinct().count() == before.count()
+    tok = tokenizers.Tokenizer.from_file(default_tokenizer())
+    ids = {r["doc_id"]: np.array(tok.encode(r["text"] or "", add_special_tokens=False).ids + [2], "<u4") for r in before.collect()}
+    by_doc, by_sequence = {d: [] for d in ids}, {}
+    for r in after.collect():
+        by_doc[r["doc_id"]].append(r)
+        by_sequence.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for d, pieces in by_doc.items():
+        at = 0
+        for r in sorted(pieces, key=lambda r: r["start"]):
+            assert (r["start"], r["doc_tokens"]) == (at, len(ids[d]))
+            assert r["ids_crc32"] == zlib.crc32(ids[d][at : at + r["length"]].tobytes())
+            at += r["length"]
+        assert at == len(ids[d])
+    for pieces in by_sequence.values():
+        at = 0
+        for offset, n in sorted(pieces):
+            assert offset == at and n > 0
+            at += n
+        assert at <= 4096 and at & (at - 1) == 0
 
 
 def test_odd_tables(spark):
