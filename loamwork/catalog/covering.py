@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import analysis, audit, detect, lookup, profile, reshape, rules, states, summarize
+from ..operators import analysis, audit, detect, impact, lookup, profile, reshape, rules, states, summarize
 from ..operators.rules import Rule
 from ..sources import rule_files, tables
 from ..sources.scratch import scratch_dir
@@ -180,3 +180,53 @@ def rules_from_files(orders):
     marked = rules.apply_rules(bad_orders(orders), made)
     about = lambda f: F.exists("issues", lambda x: x["field"] == f)
     return marked.select("o_orderkey", about("o_custkey").alias("customer"), about("status").alias("status"), about("amount").alias("amount"))
+
+
+_LABELLED = [Rule("customer required", "o_custkey", "is_blank", reason="incomplete", severity="error"), Rule("status allowed", "status", "not_in", values=("F", "O", "P"), reason="incomplete", severity="warn"), Rule("amount positive", "amount", "lt", 0, reason="amount", severity="error"), Rule("status twice", "status", "duplicated", severity="info")]
+_HITS = f"""h AS (SELECT 'customer required' AS rule, 'incomplete' AS label, 'error' AS severity, 'o_custkey is_blank' AS condition, o_orderkey AS k FROM orders WHERE {_C}
+ UNION ALL SELECT 'status allowed', 'incomplete', 'warn', 'status not_in F, O, P', o_orderkey FROM orders WHERE {_S} UNION ALL SELECT 'amount positive', 'amount', 'error', 'amount lt 0', o_orderkey FROM orders WHERE {_A}
+ UNION ALL SELECT 'status twice', 'status twice', 'info', 'status duplicated', o_orderkey FROM (SELECT o_orderkey, count(*) OVER (PARTITION BY status) AS n FROM ({_BAD})) WHERE n > 1)"""
+
+
+@query("orders", sql=f"""
+WITH {_HITS}, t AS (SELECT count(*) AS n FROM orders), d AS (SELECT DISTINCT 'label' AS part, label AS name, k FROM h UNION ALL SELECT 'rule', rule, k FROM h),
+s AS (SELECT part, name, array_to_string(list(CAST(k AS VARCHAR) ORDER BY k)[1:10], ',') AS sample_keys FROM d GROUP BY 1, 2)
+SELECT x.*, s.sample_keys FROM (
+ SELECT 'rule' AS part, rule AS name, severity, condition, 1 AS rules, count(*) AS hits, count(*) AS rows, round(count(*) / any_value(t.n), 4) AS rate FROM h, t GROUP BY 2, 3, 4
+ UNION ALL SELECT 'label', label, min(severity), CASE label WHEN 'incomplete' THEN 'o_custkey is_blank; status not_in F, O, P' ELSE min(condition) END, CAST(count(DISTINCT rule) AS INTEGER), count(*), count(DISTINCT k), round(count(DISTINCT k) / any_value(t.n), 4) FROM h, t GROUP BY 2) x JOIN s ON x.part = s.part AND x.name = s.name""")
+def impact_by_rule_and_label(orders):
+    """Hits, rates and the first keys of four rules and three labels, before any rule is applied."""
+    return impact.impact(bad_orders(orders), _LABELLED, ["o_orderkey"]).withColumn("sample_keys", F.array_join("sample_keys", ","))
+
+
+@query("orders", sql=f"""
+WITH {_HITS}, l AS (SELECT k, string_agg(DISTINCT label, ';' ORDER BY label DESC) AS labels FROM h WHERE label <> 'status twice' GROUP BY 1)
+SELECT labels, o_orderkey, o_custkey, status, round(amount, 2) AS amount FROM l JOIN ({_BAD}) ON k = o_orderkey ORDER BY o_orderkey LIMIT 20""")
+def impact_labelled_rows(orders):
+    """The first twenty rows that rules would label: a report to look at."""
+    return impact.labelled_rows(bad_orders(orders).drop("order_date"), _LABELLED[:3], ["o_orderkey"]).withColumn("amount", F.round("amount", 2))
+
+
+@query("orders", sql=f"SELECT unnest(['lookups', 'rules', 'labels', 'rows', 'labelled rows', 'rows with errors']) AS item, unnest([1, 3, 2, n, l, e]) AS count, unnest([NULL, NULL, NULL, NULL, round(l / n, 4), round(e / n, 4)]) AS rate FROM (SELECT count(*) AS n, count(CASE WHEN {_C} OR {_S} OR {_A} THEN 1 END) AS l, count(CASE WHEN {_C} OR {_A} THEN 1 END) AS e FROM orders)")
+def impact_approval(orders):
+    return impact.approval_list(bad_orders(orders), _LABELLED[:3], lookups=1)
+
+
+@query("orders", "customer", sql=f"""
+WITH b AS (SELECT b.*, o_orderpriority AS p, o_orderdate AS day FROM ({_BAD}) b JOIN orders o ON o.o_orderkey = b.o_orderkey), m AS (SELECT strftime(day, '%Y-%m') AS month, count(*) AS n FROM b GROUP BY 1),
+i AS (SELECT p, reason, count(*) AS n FROM (SELECT o_orderkey, p, 'incomplete' AS reason FROM b WHERE {_C.replace("o_orderkey", "b.o_orderkey")} OR o_orderkey % 13 IN (0, 2) UNION ALL SELECT o_orderkey, p, 'amount' FROM b WHERE amount < 0) GROUP BY 1, 2),
+k AS (SELECT count(DISTINCT o_custkey) AS n, count(DISTINCT CASE WHEN o_custkey % 3 > 0 THEN o_custkey END) AS m FROM orders)
+SELECT 'counts' AS topic, 'of ' || count(*) || ' rows ' || count(CASE WHEN NOT ({_C} OR {_A}) THEN 1 END) || ' are usable and ' || count(CASE WHEN {_C} OR {_A} THEN 1 END) || ' need review' AS finding FROM orders
+UNION ALL SELECT 'groups', 'p is most often ' || p || ': ' || n || ' rows' FROM (SELECT p, count(*) AS n FROM b GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 1)
+UNION ALL SELECT 'numbers', printf('amount: %d numbers from %.2f to %.2f, total %.2f, mean %.2f, nine in ten up to %.2f', count(*), min(amount), max(amount), sum(amount), avg(amount), quantile_cont(amount, 0.9)) FROM b
+UNION ALL SELECT 'trend', 'the last month, ' || max(month) || ', has ' || arg_max(n, month) || ' rows; most, ' || max(n) || ', are in ' || (SELECT month FROM m ORDER BY n DESC, month LIMIT 1) FROM m
+UNION ALL (SELECT 'cross', p || ' has most rows with ' || reason || ': ' || n FROM i ORDER BY n DESC, p, reason LIMIT 1)
+UNION ALL SELECT 'matches', 'o.custkey -> c.custkey matches the fewest keys: ' || m || ' of ' || n FROM k
+UNION ALL SELECT 'points', printf('o_orderkey and amount: correlation %.2f in %d points', corr(o_orderkey, amount), count(*)) FROM (SELECT o_orderkey, amount FROM b ORDER BY o_orderkey LIMIT 200)""")
+def findings_of_analysis(orders, customer):
+    """The sentences of all tables that describe a result: counts, groups, numbers, trend, issues by group, matches, points."""
+    t = orders.select("o_orderkey", F.col("o_orderpriority").alias("p"), F.col("o_orderdate").alias("day")).join(bad_orders(orders).drop("order_date"), "o_orderkey")
+    keys = {"o": orders.select(F.col("o_custkey").alias("custkey")), "c": customer.where("c_custkey % 3 > 0").select(F.col("c_custkey").alias("custkey"))}
+    relations = profile.relationships(keys).where("left_table = 'o'")
+    made = analysis.analyse(rules.apply_rules(t, _LABELLED[:3]), "status", dimension="p", measures=["amount"], date="day", points=("o_orderkey", "amount"), order_by=["o_orderkey"], relations=relations)
+    return made["findings"].where("topic not in ('status', 'missing', 'exceptions')").withColumn("finding", F.regexp_replace("finding", r" \([0-9.]+ %\)", ""))

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import is_blank, is_date_name, is_key_name, number, parse_date, strip
-from .rules import ISSUES
+from .rules import ISSUES, run_counts
 from .segments import exact_quantiles
 from .summarize import top_rows
 
@@ -53,13 +53,21 @@ def dimension_columns(df: DataFrame, most: int = 3) -> list[str]:
 def group_distribution(df: DataFrame, columns: Sequence[str] | None = None, top: int = 5, blank: str = "未填写") -> DataFrame:
     """(dimension, category, rows): the most frequent categories of each column."""
     names = list(columns if columns is not None else dimension_columns(df))
+    if not names:
+        return df.sparkSession.createDataFrame([], "dimension string, category string, rows long")
     cells = df.select(*[F.when(is_blank(F.col(f"`{n}`")), blank).otherwise(strip(F.col(f"`{n}`").cast("string"))).alias(n) for n in names]).unpivot([], names, "dimension", "category")
     return top_rows(cells.groupBy("dimension", "category").agg(F.count(F.lit(1)).alias("rows")), "rows", top, ["category"], ["dimension"])
 
 
 def numeric_summary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(field, n, total, mean, least, most, p90) of columns with two numbers at least, read as business numbers; rounded to 4."""
+    """(field, n, total, mean, least, most, p90) of columns with two numbers at least, read as business numbers; rounded to 4.
+
+    Columns named as keys hold no measures; if there are no others the result is empty.
+    """
     kinds, names = dict(df.dtypes), [c for c in columns if not is_key_name(c)]
+    if not names:
+        return df.sparkSession.createDataFrame([], "field string, n long, total double, mean double, least double, most double, p90 double")
+
     def one(c: str):
         x = number(F.col(f"`{c}`"), "business") if kinds[c] == "string" else F.col(f"`{c}`").cast("double")
         four = lambda v: F.round(v, 4)
@@ -94,10 +102,72 @@ def scatter_points(df: DataFrame, x: str, y: str, order_by: Sequence[str], most:
     return df.select(x, y, *[c for c in order_by if c not in (x, y)]).dropna(subset=[x, y]).orderBy(*order_by).limit(most).select(x, y)
 
 
-def findings(status: DataFrame, missing: DataFrame, exceptions: DataFrame) -> DataFrame:
-    """Sentences drawn from small tables, as rows (topic, finding)."""
-    a = status.select(F.lit("status").alias("topic"), F.format_string("%s: %d rows (%.1f %%)", F.coalesce(F.col("status").cast("string"), F.lit("none")), "rows", F.col("share") * 100).alias("finding"))
-    b = missing.where("missing > 0").select(F.lit("missing").alias("topic"), F.format_string("%s is missing in %d rows (%.1f %%)", "field", "missing", F.col("rate") * 100).alias("finding"))
-    c = exceptions.select(F.lit("exceptions").alias("topic"), F.format_string("%s: %d rows", "reason", "rows").alias("finding"))
-    return reduce(DataFrame.unionByName, [a, b, c])
-
+def _sentences(df: DataFrame, topic: str, pattern: str, *values) -> DataFrame:
+    return df.select(F.lit(topic).alias("topic"), F.format_string(pattern, *[F.col(v) if isinstance(v, str) else v for v in values]).alias("finding"))
+
+
+def findings(
+    status: DataFrame, missing: DataFrame, exceptions: DataFrame, *, counts: DataFrame | None = None, matches: DataFrame | None = None, groups: DataFrame | None = None,
+    numbers: DataFrame | None = None, trend: DataFrame | None = None, cross: DataFrame | None = None, points: DataFrame | None = None,
+) -> DataFrame:
+    """Sentences drawn from small tables, as rows (topic, finding). A table without rows says nothing.
+
+    ``counts`` is that of ``run_counts``; ``matches``, ``groups``, ``numbers``, ``trend``, ``cross`` and ``points`` those of
+    ``match_rates``, ``group_distribution``, ``numeric_summary``, ``monthly_trend``, ``cross_issues`` and ``scatter_points``.
+    Where one row is named for its rank, equals are told apart by name (the earliest month, the first category).
+    """
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("none"))
+    out = [
+        _sentences(status, "status", "%s: %d rows (%.1f %%)", text("status"), "rows", F.col("share") * 100),
+        _sentences(missing.where("missing > 0"), "missing", "%s is missing in %d rows (%.1f %%)", "field", "missing", F.col("rate") * 100),
+        _sentences(exceptions, "exceptions", "%s: %d rows", text("reason"), "rows"),
+    ]
+    if counts is not None:
+        share = lambda c: F.when(F.col("output") > 0, F.col(c) / F.col("output") * 100).otherwise(F.lit(0.0))
+        out.append(_sentences(counts, "counts", "of %d rows %d are usable (%.1f %%) and %d need review (%.1f %%)", "output", "valid", share("valid"), "abnormal", share("abnormal")))
+    if matches is not None:
+        weakest = matches.where("match_rate is not null").orderBy("match_rate", "relationship").limit(1)
+        out.append(_sentences(weakest, "matches", "%s matches the fewest keys: %d of %d (%.1f %%)", "relationship", "matched_keys", "left_keys", F.col("match_rate") * 100))
+    if groups is not None:
+        out.append(_sentences(top_rows(groups, "rows", 1, ["category"], ["dimension"]), "groups", "%s is most often %s: %d rows", "dimension", "category", "rows"))
+    if numbers is not None:
+        out.append(_sentences(numbers, "numbers", "%s: %d numbers from %.2f to %.2f, total %.2f, mean %.2f, nine in ten up to %.2f", "field", "n", "least", "most", "total", "mean", "p90"))
+    if trend is not None:
+        ends = trend.agg(F.max_by(F.struct("month", "rows"), "month").alias("last"), F.max_by(F.struct("month", "rows"), F.struct(F.col("rows"), -F.regexp_replace("month", "-", "").cast("long"))).alias("top"))
+        out.append(_sentences(ends.where("last is not null"), "trend", "the last month, %s, has %d rows; most, %d, are in %s", "last.month", "last.rows", "top.rows", "top.month"))
+    if cross is not None:
+        out.append(_sentences(top_rows(cross, "rows", 1, ["dimension", "reason"]), "cross", "%s has most rows with %s: %d", text("dimension"), "reason", "rows"))
+    if points is not None:
+        x, y = points.columns
+        r = points.agg(F.count(F.lit(1)).alias("n"), F.corr(F.col(f"`{x}`").cast("double"), F.col(f"`{y}`").cast("double")).alias("r")).where("n > 1 and r is not null and not isnan(r)")
+        out.append(_sentences(r, "points", "%s and %s: correlation %.2f in %d points", F.lit(x), F.lit(y), "r", "n"))
+    return reduce(DataFrame.unionByName, out)
+
+
+def analyse(
+    df: DataFrame, status: str, *, dimension: str | None = None, measures: Sequence[str] = (), date: str | None = None, points: tuple[str, str] | None = None,
+    order_by: Sequence[str] = (), relations: DataFrame | None = None, policy: Mapping | None = None,
+) -> dict[str, DataFrame]:
+    """All tables of this module for a table with ``issues``, by name, and ``findings`` drawn from them.
+
+    ``dimension`` crosses with issues, and is the column of ``groups``; without it both are left out or found by
+    ``dimension_columns``. ``points`` needs ``order_by``. What a table does not have is left out, not empty.
+    """
+    plain = df.drop(ISSUES)
+    made = {
+        "status": status_distribution(df, status), "missing": missing_rates(plain), "exceptions": exception_distribution(df),
+        "counts": run_counts(df, **(policy or {})), "groups": group_distribution(plain, [dimension] if dimension else None),
+    }
+    if relations is not None:
+        made["matches"] = match_rates(relations)
+    if measures:
+        made["numbers"] = numeric_summary(plain, measures)
+    if date or any(is_date_name(c) for c in plain.columns):
+        made["trend"] = monthly_trend(plain, date)
+    if dimension:
+        made["cross"] = cross_issues(df, dimension)
+    if points:
+        if not order_by:
+            raise ValueError("points need an order")
+        made["points"] = scatter_points(plain, *points, order_by)
+    return {**made, "findings": findings(**made)}

@@ -13,14 +13,15 @@ from ..functions.text import strip, to_number
 DISTINCT_ERROR, RANK_ERROR = 0.0163, 0.0133
 
 
-def _limited(df: DataFrame, by: Sequence[str], order: Sequence[Column], most: int) -> DataFrame:
+def first_of_each(df: DataFrame, by: Sequence[str], order: Sequence[Column], most: int) -> DataFrame:
     """The first ``most`` rows of each group; the window is cut off in every task before rows move."""
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("_n") <= most)
 
 
-def _in_order(df: DataFrame, by: Sequence[str], output: str) -> DataFrame:
-    listed = F.array_sort(F.collect_list(F.struct("_n", "v")))
-    return df.groupBy(*by).agg(F.transform(listed, lambda x: x["v"]).alias(output))
+def listed(df: DataFrame, by: Sequence[str], output: str) -> DataFrame:
+    """The values ``v`` that ``first_of_each`` left, as one list a group."""
+    numbered = F.array_sort(F.collect_list(F.struct("_n", "v")))
+    return df.groupBy(*by).agg(F.transform(numbered, lambda x: x["v"]).alias(output))
 
 
 def profile_states(df: DataFrame, part: Column | str, order_by: Sequence[str], samples: int = 3) -> DataFrame:
@@ -48,7 +49,7 @@ def profile_states(df: DataFrame, part: Column | str, order_by: Sequence[str], s
     states = df.groupBy(at.alias("part")).agg(F.array(*aggregates).alias("_a")).select("part", F.inline("_a"))
     order = [F.col(f"`{c}`").alias(f"_o{i}") for i, c in enumerate(order_by)]
     values = df.select(at.alias("part"), *order, F.array(*cells).alias("_c")).select("part", *[f"_o{i}" for i in range(len(order))], F.inline("_c")).where("v is not null")
-    first = _in_order(_limited(values, ["part", "place"], [F.col(f"_o{i}") for i in range(len(order))] + [F.col("v")], samples), ["part", "place"], "first")
+    first = listed(first_of_each(values, ["part", "place"], [F.col(f"_o{i}") for i in range(len(order))] + [F.col("v")], samples), ["part", "place"], "first")
     first = first.withColumnsRenamed({"part": "_part", "place": "_place"})
     joined = states.join(first, states["part"].eqNullSafe(first["_part"]) & (states["place"] == first["_place"]), "left")
     return joined.select("part", *[c for c in states.columns if c != "part"], F.coalesce("first", F.array().cast("array<string>")).alias("first"))
@@ -65,7 +66,7 @@ def unite(states: DataFrame, part: str | None = None, samples: int = 3) -> DataF
         F.hll_union_agg("distinct_sketch").alias("distinct_sketch"), F.kll_merge_agg_double("number_sketch").alias("number_sketch"),
     )
     values = states.select("part", *by, F.posexplode("first").alias("at", "v"))
-    first = _in_order(_limited(values, by, [F.col("part"), F.col("at")], samples), by, "first")
+    first = listed(first_of_each(values, by, [F.col("part"), F.col("at")], samples), by, "first")
     out = sums.join(first, by, "left").withColumn("first", F.coalesce("first", F.array().cast("array<string>")))
     return out.select(F.lit(part).cast("string").alias("part"), *[c for c in out.columns])
 
