@@ -131,6 +131,8 @@ def fingerprint_components(docs: DataFrame, k: int = 3) -> DataFrame:
 
 #: Buckets of a parity sketch, and of the one folded from it that goes with every shared shingle.
 SKETCH, FOLD = 1024, 128
+#: How often a crowded shingle is divided by the next shingle that its texts share.
+DEPTH = 3
 
 
 def shingle_hashes(text: bytes, k: int) -> np.ndarray:
@@ -179,9 +181,9 @@ def _frequent(docs: DataFrame, k: int, sample_texts: int = 20_000, most: int = 5
 
 
 def _prefixes(docs: DataFrame, k: int, similarity: float) -> DataFrame:
-    """(doc_id, node, size, keys, sketch, fold) of each row; node is a hash of the text, so equal texts are one node.
+    """(doc_id, node, size, keys, more, sketch, fold) of each row; node is a hash of the text, so equal texts are one node.
 
-    size: of the set of shingles; keys: its prefix, for a text without words one fixed value.
+    size: of the set of shingles; keys: its prefix, for a text without words one fixed value; more: the ``DEPTH`` after it.
     """
     sent = docs.sparkSession.sparkContext.broadcast(_frequent(docs, k))
 
@@ -189,7 +191,7 @@ def _prefixes(docs: DataFrame, k: int, similarity: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, counts = sent.value
         for batch in pieces(batches, text_sizes, 4 << 20):
-            sizes, keys, sketches, folds = [], [], [], []
+            sizes, keys, more, sketches, folds = [], [], [], [], []
             for t in rows_of(batch):
                 h = shingle_hashes(t, k)
                 sizes.append(len(h))
@@ -197,19 +199,22 @@ def _prefixes(docs: DataFrame, k: int, similarity: float) -> DataFrame:
                 folds.append(parity_bits(h, FOLD))
                 if not len(h):
                     keys.append([0])
+                    more.append([])
                     continue
                 rank = np.zeros(len(h), np.int64)
                 if len(known):
                     at = np.minimum(np.searchsorted(known, h), len(known) - 1)
                     rank = np.where(known[at] == h, counts[at], 0)
-                keys.append(h[np.lexsort((h, rank))][: prefix_length(len(h), similarity)].view(np.int64))
+                first, line = prefix_length(len(h), similarity), h[np.lexsort((h, rank))].view(np.int64)
+                keys.append(line[:first])
+                more.append(line[first : first + DEPTH])
             longs = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("node"), pa.array(sizes, pa.int64()), pa.array(keys, longs), pa.array(sketches, longs), pa.array(folds, longs)],
-                ["doc_id", "node", "size", "keys", "sketch", "fold"],
+                [batch.column("doc_id"), batch.column("node"), pa.array(sizes, pa.int64()), pa.array(keys, longs), pa.array(more, longs), pa.array(sketches, longs), pa.array(folds, longs)],
+                ["doc_id", "node", "size", "keys", "more", "sketch", "fold"],
             )
 
-    return _nodes_of(docs).mapInArrow(run, schema("doc_id long, node long, size long, keys array<long>, sketch array<long>, fold array<long>"))
+    return _nodes_of(docs).mapInArrow(run, schema("doc_id long, node long, size long, keys array<long>, more array<long>, sketch array<long>, fold array<long>"))
 
 
 def _nodes_of(docs: DataFrame) -> DataFrame:
@@ -306,7 +311,7 @@ def _banded(crowd: DataFrame, similarity: float, ratio: float = 1.03) -> DataFra
     smallest = lambda p: F.greatest(F.pow(F.lit(ratio), p.cast("double")) - F.lit(1e-6), size * F.lit(similarity))
     able = F.filter(partners, lambda p: (size == 0) | (size - F.col("pos") >= _least_overlap(size, smallest(p), similarity)))
     spread = crowd.withColumn("band", own).withColumn("partner", F.explode(able))
-    return spread.select("key", F.least("band", "partner").alias("low"), F.greatest("band", "partner").alias("high"), "node", "pos", "size", "fold")
+    return spread.select("key", F.least("band", "partner").alias("low"), F.greatest("band", "partner").alias("high"), "band", "node", "pos", "size", "fold")
 
 
 def _pivots(waiting: DataFrame, many: int) -> DataFrame:
@@ -328,17 +333,20 @@ def near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8, pivots
     A place (a shingle, for shingles of over ``COMMON`` prefixes with the sizes of both sides) with up to ``COMMON`` texts
     gives all its pairs. A fuller one is worked off in rounds: the ``pivots`` most typical texts are compared with all
     others; then, of the texts outside the place's largest group so far, eight times as many are compared with all that
-    aren't in their own group, and so on. A text that was asked leaves the place, and a place is done when its texts are
-    in one group. So no pair that could join two groups is left out, and ``n_links`` is a lower bound there: pairs known
-    to be in one group aren't compared.
+    aren't in their own group. Where more than that are outside, the place is divided first, by the next shingle that two
+    texts share (``_divided``), up to ``DEPTH`` times; what is crowded still is asked eight times as much in each round. A
+    text that was asked leaves the place, and a place is done when its texts are in one group. So no pair that could join
+    two groups is left out, and ``n_links`` is a lower bound there: pairs known to be in one group aren't compared.
     """
     wide = materialize(_prefixes(docs, k, similarity), "near-prefixes")
-    firsts = [F.first(c).alias(c) for c in ("size", "keys", "sketch", "fold")]
+    firsts = [F.first(c).alias(c) for c in ("size", "keys", "more", "sketch", "fold")]
     nodes = materialize(wide.groupBy("node").agg(F.min("doc_id").alias("least"), *firsts), "near-nodes")
     met = materialize(_meetings(nodes), "near-meetings")
     banded = materialize(_banded(met.where(F.col("n") > COMMON), similarity), "near-banded")
-    places = materialize(banded.groupBy(*_PLACE).agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "near-places")
-    small, full = (banded.join(bounded(places.where(c).select(*_PLACE)), list(_PLACE)) for c in (F.col("n") <= COMMON, F.col("n") > COMMON))
+    # texts of one band meet where both sides are that band
+    sides = banded.groupBy(*_PLACE).agg(F.count(F.lit(1)).alias("n"), F.min("band").alias("least"), F.max("band").alias("most"))
+    places = materialize(sides.where("n > 1 and least = low and most = high"), "near-places")
+    small, full = (banded.drop("band").join(bounded(places.where(c).select(*_PLACE)), list(_PLACE)) for c in (F.col("n") <= COMMON, F.col("n") > COMMON))
     waiting = materialize(full, "near-waiting")
 
     def pairs(members: DataFrame, others: DataFrame, by: tuple[str, ...]) -> DataFrame:
@@ -350,13 +358,18 @@ def near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8, pivots
     candidates = candidates.union(pairs(small, _side(small, "b", "size", "pos", "fold", by=_PLACE), _PLACE).where("a < b"))
     links = _verified(_close(candidates.union(pairs(waiting, bounded(asked), _PLACE)), nodes, similarity), docs, nodes, k, similarity)
     discard(met, banded, places)
-    roots = _roots(links)
+    roots, depth = _roots(links), 0
     while True:
         before, waiting = waiting, materialize(_open_places(waiting, asked, roots), "near-waiting")
         discard(before, asked)
         if waiting.isEmpty():
             break
-        pivots *= 8
+        depth += 1
+        if depth == 1 or depth > DEPTH:
+            pivots *= 8
+        if depth <= DEPTH:
+            before, waiting = waiting, materialize(_divided(waiting, nodes, depth, similarity, pivots), "near-waiting")
+            discard(before)
         asked = materialize(_pivots(waiting.where("root <> main"), pivots), "near-pivots")
         met = _side(waiting, "a", "size", "pos", "fold", "root", by=_PLACE).join(bounded(asked), list(_PLACE))
         found = met.where("root_a <> root_b").where(_may_start_here(similarity)).select("a", "b")
@@ -382,7 +395,32 @@ def _open_places(waiting: DataFrame, asked: DataFrame, roots: DataFrame) -> Data
     main: the group most texts of the place are in.
     """
     left = waiting.drop("root", "main").join(asked.select(*_PLACE, F.col("b").alias("node")), [*_PLACE, "node"], "left_anti")
-    placed = left.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    return _unlike(left.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+
+
+def _unlike(placed: DataFrame) -> DataFrame:
     groups = placed.groupBy(*_PLACE, "root").agg(F.count(F.lit(1)).alias("n")).groupBy(*_PLACE)
     unlike = groups.agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count(F.lit(1)).alias("groups")).where("groups > 1")
     return placed.join(unlike.drop("groups"), list(_PLACE))
+
+
+def _divided(waiting: DataFrame, nodes: DataFrame, depth: int, similarity: float, most: int) -> DataFrame:
+    """``waiting``, with the places that have more than ``most`` texts outside their main group divided.
+
+    In the order of all shingles, the l-th one that two similar sets share is among the first n - ceil(s n) + l of each, if
+    they share so many. So a place of texts that met in ``depth`` shingles becomes one place for each shingle that may be
+    the next, and ``pos`` remains the number of shingles before it that are not shared. Sets so small that they may share
+    no more than ``depth`` meet in a place of their own. Unlike texts hardly share a second shingle: they part here.
+    """
+    full = waiting.where("root <> main").groupBy(*_PLACE).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select(*_PLACE)
+    full = materialize(full, "near-full")
+    if full.isEmpty():
+        return waiting
+    at = F.col("pos") + F.lit(depth)
+    after = F.slice(F.concat("keys", "more"), at + 1, F.size("keys") + F.lit(depth) - at)
+    step = F.transform(after, lambda x, i: F.struct(F.xxhash64("key", x).alias("key"), (F.col("pos") + i).cast("int").alias("pos")))
+    none = F.filter(step, lambda x: F.lit(False))
+    end = F.when(F.ceil(F.col("size") * F.lit(similarity) - F.lit(1e-9)) <= depth, F.array(F.struct(F.xxhash64("key", F.lit("end")).alias("key"), F.col("pos").cast("int").alias("pos")))).otherwise(none)
+    texts = waiting.join(bounded(full), list(_PLACE)).join(nodes.select("node", "keys", "more"), "node")
+    parts = texts.select("low", "high", "node", "size", "fold", "root", F.inline(F.concat(step, end)))
+    return waiting.join(bounded(full), list(_PLACE), "left_anti").unionByName(_unlike(parts).select(*waiting.columns))
