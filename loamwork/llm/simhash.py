@@ -206,8 +206,8 @@ def _prefixes(docs: DataFrame, k: int, similarity: float) -> DataFrame:
                     at = np.minimum(np.searchsorted(known, h), len(known) - 1)
                     rank = np.where(known[at] == h, counts[at], 0)
                 first, line = prefix_length(len(h), similarity), h[np.lexsort((h, rank))].view(np.int64)
-                keys.append(line[:first])
-                more.append(line[first : first + DEPTH])
+                keys.append(line[:first].copy())
+                more.append(line[first : first + DEPTH].copy())
             longs = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("node"), pa.array(sizes, pa.int64()), pa.array(keys, longs), pa.array(more, longs), pa.array(sketches, longs), pa.array(folds, longs)],
@@ -268,8 +268,8 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, simil
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist()):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            for x, y in zip(batch.column("sa"), batch.column("sb")):  # read in place, no copy of a batch's sets
+                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(both >= similarity * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
