@@ -1,11 +1,9 @@
 import random
 
-import numpy as np
 import pytest
 import xxhash
 from loamwork.llm.components import connected_components
 from loamwork.llm.simhash import _links_within_two, fingerprint_components, near_duplicates
-from pyspark.sql import functions as F
 
 from .helpers import WORD, ascii_lower, empty_documents, odd_documents
 
@@ -135,54 +133,3 @@ def test_near_duplicates_of_drifting_copies(spark, common, monkeypatch):
     rng.shuffle(texts)
     found, want = groups_and_brute_force(spark, texts)
     assert found == want and len(set(want.values())) == 3
-
-
-def test_unlike_texts_under_one_shingle_are_not_compared_in_pairs(spark, monkeypatch):
-    """2,000 unlike texts of one size that share their first shingle, with groups of near copies among them."""
-    import loamwork.llm.simhash as s
-
-    rng = random.Random(4)
-    phrases = ((s.shingle_hashes(p.encode(), 5)[0], p) for p in (" ".join(words(rng, 5)) for _ in range(60_000)))
-    lowest, phrase = min(phrases)  # first in the order of shingles
-    assert lowest < 2**64 // 10_000
-    monkeypatch.setattr(s, "_frequent", lambda docs, k: (np.zeros(0, np.uint64), np.zeros(0, np.int64)))
-    joined = []
-    close = s._close
-    monkeypatch.setattr(s, "_close", lambda pairs, nodes, similarity: (joined.append(pairs.count()), close(pairs, nodes, similarity))[1])
-    tails = [words(rng, 40) for _ in range(2000)]
-    for i in range(0, 400, 2):
-        tails[i + 1] = [*tails[i][:-1], *words(rng, 1)]
-    texts = [f"{phrase} {' '.join(t)}" for t in tails]
-    # the sketches of sets would part most of them too: leave them out, so that what is counted is what meets
-    monkeypatch.setattr(s, "_may_start_here", lambda similarity: F.lit(True))
-    found = {r["doc_id"]: r["group_id"] for r in near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
-    assert found == {i: i - i % 2 if i < 400 else i for i in range(2000)}
-    assert sum(joined) < 30 * len(texts)  # all pairs are a thousand for each text
-
-
-def test_division_finds_what_pairs_would(spark, monkeypatch):
-    """Drifting copies, short texts and cuts with every crowd divided as often as may be."""
-    import loamwork.llm.simhash as s
-
-    monkeypatch.setattr(s, "COMMON", 1)
-    divide, times = s._divided, []
-
-    def divided(waiting, nodes, depth, similarity, most):
-        out = divide(waiting, nodes, depth, similarity, 0)
-        times.append(out is not waiting)
-        return out
-
-    monkeypatch.setattr(s, "_divided", divided)
-    pivots = s._pivots
-    monkeypatch.setattr(s, "_pivots", lambda waiting, many: pivots(waiting, 1 if many < 512 else many))
-    rng = random.Random(31)
-    texts = []
-    for n in (5, 6, 7, 8, 9, 10, 14, 40):
-        base = words(rng, n)
-        for _ in range(6):
-            texts.append(" ".join(base))
-            base = [*base[rng.choice([0, 1]) :], *words(rng, rng.choice([0, 1]))] if rng.random() < 0.7 else [*base, *base[:1]]
-    line = words(rng, 160)
-    texts += [" ".join(line[i : i + 60]) for i in range(0, 90, 4)]
-    found, want = groups_and_brute_force(spark, texts)
-    assert found == want and any(times)
