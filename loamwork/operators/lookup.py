@@ -127,8 +127,8 @@ def lookup(
     return joined.select(*out)
 
 
-#: Longest keys whose neighbours within two characters are looked up by what is left of a key when characters are deleted.
-NEAR = 24
+#: Longest keys whose neighbours are looked up by what is left of a key when one character is deleted, and when two are.
+ONE, NEAR = 256, 24
 #: Groups of characters that are counted for each key.
 COUNTS = 16
 
@@ -138,18 +138,29 @@ def fuzzy_matches(left: DataFrame, right: DataFrame, threshold: float) -> DataFr
 
     Equal keys match at 1; ties go to the smaller right key. Matching blocks of m characters in all are a common
     subsequence, so two keys of together s characters score (s - u) / s at most, if u of them are in no such subsequence.
-    First, short keys meet through what is left when up to two characters are deleted from both together: all pairs with u
-    up to 2, whatever the keys have in common. Left keys whose best score no pair with u = 3 can reach are done. The
-    others ask an inverted index (``index_pairs``). Candidates are scored in Arrow batches.
+    Steps of rising u meet all pairs up to it: keys with one character deleted, short keys with two. A left key is done after a step if no pair with a larger u can reach its best score, or the
+    threshold. What is left asks an inverted index (``index_pairs``). Candidates are scored in Arrow batches. Joins are
+    sorted ones, as the size of a compressed file says little of the rows made from it.
     """
-    l, r = left.where("_key is not null").distinct(), written(right.where("_key is not null").distinct(), "fuzzy-right")
+    l, r = left.where("_key is not null").distinct(), written(right.where("_key is not null").distinct(), "fuzzy-right").hint("merge")
     same = l.join(r, "_key").select(F.col("_key").alias("left_key"), F.col("_key").alias("right_key"), F.lit(1.0).alias("score"))
-    rest = written(l.join(r, "_key", "left_anti"), "fuzzy-left")
-    near = written(_best(near_pairs(rest, r), threshold), "fuzzy-near")
-    n = F.length("left_key")
-    done = near.where((n + 2 <= NEAR) & (F.col("score") > 2 * n / (2 * n + 3) + 1e-9)).select(F.col("left_key").alias("_key"))
-    far = _best(index_pairs(rest.join(done, "_key", "left_anti"), r, threshold), threshold)
-    return same.union(_best_of(near.union(far)))
+    rest, n, found = written(l.join(r, "_key", "left_anti"), "fuzzy-left"), F.length("_key"), []
+    steps = (
+        (1, n + 1 <= ONE, lambda x: near_pairs(x, r, 1)),
+        (2, n + 2 <= NEAR, lambda x: near_pairs(x, r, 2)),
+    )
+    for most, whole, pairs in steps:
+        asking = rest.where(whole)
+        if asking.isEmpty():
+            continue
+        best = written(_best(pairs(asking), threshold), "fuzzy-best")
+        found.append(best)
+        beyond = 2 * n / (2 * n + most + 1) + 1e-9
+        known = rest.join(best.select(F.col("left_key").alias("_key"), "score").hint("merge"), "_key", "left")
+        rest = written(known.where(~(whole & (F.coalesce("score", F.lit(threshold)) > beyond))).select("_key"), "fuzzy-left")
+    if not rest.isEmpty():
+        found.append(_best(index_pairs(rest, r, threshold), threshold))
+    return same.union(_best_of(reduce(DataFrame.union, found))) if found else same
 
 
 def _best_of(scored: DataFrame) -> DataFrame:
@@ -162,8 +173,11 @@ def _best(pairs: DataFrame, threshold: float) -> DataFrame:
     return _best_of(scored.where(F.col("score") >= threshold))
 
 
-def near_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
-    """(left_key, right_key): pairs of keys of up to ``NEAR`` characters that share a subsequence with two characters left over."""
+def near_pairs(left: DataFrame, right: DataFrame, most: int = 2) -> DataFrame:
+    """(left_key, right_key): pairs of keys that share a subsequence with up to ``most`` (1 or 2) characters left over.
+
+    Keys of up to ``ONE`` characters for one, of up to ``NEAR`` for two.
+    """
     key, n = F.col("_key"), F.length("_key")
     cut = lambda i: F.concat(F.substr(key, F.lit(1), i - 1), F.substr(key, i + 1))
     cut_two = lambda i, j: F.concat(F.substr(key, F.lit(1), i - 1), F.substr(key, i + 1, j - i - 1), F.substr(key, j + 1))
@@ -175,11 +189,11 @@ def near_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
         """Rows (name, h, i): a hash of what is left, for each number i of characters that the left key may lose."""
         made = {0: F.array(key), 1: ones, 2: twos}
         every = F.concat(*[F.transform(F.array_distinct(made[lost]), lambda x: F.struct(F.xxhash64(x).alias("h"), F.lit(i).alias("i"))) for lost, numbers in uses for i in numbers])
-        return df.where(n <= NEAR).select(key.alias(name), F.inline(every))
+        return df.where(n <= (ONE if most == 1 else NEAR)).select(key.alias(name), F.inline(every))
 
-    a = left_over(left, "left_key", [(0, [0]), (1, [1]), (2, [2])])
-    b = left_over(right, "right_key", [(0, [0, 1, 2]), (1, [0, 1]), (2, [0])])
-    return a.join(b, ["h", "i"]).select("left_key", "right_key").distinct()
+    a = left_over(left, "left_key", [(i, [i]) for i in range(most + 1)])
+    b = left_over(right, "right_key", [(lost, range(most + 1 - lost)) for lost in range(most + 1)])
+    return a.join(b.hint("merge"), ["h", "i"]).select("left_key", "right_key").distinct()
 
 
 def index_pairs(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:

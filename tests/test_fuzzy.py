@@ -47,3 +47,12 @@ def test_index_candidates_are_counted(spark):
     keys = [f"{a} item of the {b} kind, number {i}" for i, (a, b) in enumerate((x, y) for x in ("red", "blue", "quartz", "onyx", "jade") for y in ("first", "second", "third", "fourth"))]
     pairs = lookup.index_pairs(frame(spark, [k.upper().lower().replace("item", "itm") for k in keys]), frame(spark, keys), 0.95)
     assert pairs.count() < 0.5 * len(keys) ** 2
+
+
+def test_rows_made_from_keys_are_never_broadcast(spark, tmp_path):
+    """The files of keys are small; what deletions make of them is not."""
+    frame(spark, [f"customer#{i:09d}" for i in range(2000)]).write.parquet(f"{tmp_path}/keys")
+    keys = spark.read.parquet(f"{tmp_path}/keys")
+    for most in (1, 2):
+        plan = lookup.near_pairs(keys, keys, most)._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
