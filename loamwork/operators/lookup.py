@@ -129,6 +129,8 @@ def lookup(
 
 #: Longest keys whose neighbours are looked up by what is left of a key when one character is deleted, and when two are.
 ONE, NEAR = 256, 24
+#: Longer keys with up to ``FAR`` characters left over are looked up by their rarest stretches of ``STRETCH`` characters.
+FAR, STRETCH = 3, 6
 #: Groups of characters that are counted for each key.
 COUNTS = 16
 
@@ -138,7 +140,8 @@ def fuzzy_matches(left: DataFrame, right: DataFrame, threshold: float) -> DataFr
 
     Equal keys match at 1; ties go to the smaller right key. Matching blocks of m characters in all are a common
     subsequence, so two keys of together s characters score (s - u) / s at most, if u of them are in no such subsequence.
-    Steps of rising u meet all pairs up to it: keys with one character deleted, short keys with two. A left key is done after a step if no pair with a larger u can reach its best score, or the
+    Steps of rising u meet all pairs up to it: keys with one character deleted, short keys with two, long keys by
+    stretches of characters. A left key is done after a step if no pair with a larger u can reach its best score, or the
     threshold. What is left asks an inverted index (``index_pairs``). Candidates are scored in Arrow batches. Joins are
     sorted ones, as the size of a compressed file says little of the rows made from it.
     """
@@ -148,6 +151,7 @@ def fuzzy_matches(left: DataFrame, right: DataFrame, threshold: float) -> DataFr
     steps = (
         (1, n + 1 <= ONE, lambda x: near_pairs(x, r, 1)),
         (2, n + 2 <= NEAR, lambda x: near_pairs(x, r, 2)),
+        (FAR, n - FAR >= STRETCH * (FAR + 1), lambda x: stretch_pairs(x, r)),
     )
     for most, whole, pairs in steps:
         asking = rest.where(whole)
@@ -196,6 +200,35 @@ def near_pairs(left: DataFrame, right: DataFrame, most: int = 2) -> DataFrame:
     return a.join(b.hint("merge"), ["h", "i"]).select("left_key", "right_key").distinct()
 
 
+def stretch_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(left_key, right_key): pairs with up to ``FAR`` characters left over, of right keys with ``FAR`` + 1 stretches or more.
+
+    A right key is cut into stretches of ``STRETCH`` characters. A character left over spoils one of them at most, so of
+    any ``FAR`` + 1 one stands in the left key whole, up to ``FAR`` places away: the rarest are asked for. Counts of
+    ``COUNTS`` groups of characters bound what two keys can have in common.
+    """
+    key, n = F.col("_key"), F.length("_key")
+    stretch = lambda at: F.struct(F.substr(key, at, F.lit(STRETCH)).alias("s"), at.alias("at"))
+    groups = F.transform(F.filter(F.split(key, ""), lambda x: x != ""), lambda x: (F.crc32(x.cast("binary")) % COUNTS).cast("int"))
+    counted = F.transform(F.sequence(F.lit(0), F.lit(COUNTS - 1)), lambda g: F.size(F.filter("groups", lambda x: x == g)))
+
+    def cut(df: DataFrame, name: str, least: int, step: int) -> DataFrame:
+        long = df.where(n >= least).select("_key", groups.alias("groups"))
+        starts = F.sequence(F.lit(1), F.greatest(F.lit(1), n - STRETCH + 1), F.lit(step))  # shorter keys may be asked before they are left out
+        return long.select(key.alias(name), n.alias(f"{name}_n"), counted.alias(f"{name}_counts"), F.transform(starts, stretch).alias("cut"))
+
+    b = cut(right, "right_key", STRETCH * (FAR + 1), STRETCH)
+    each = b.select("right_key", F.inline("cut"))
+    shared = each.groupBy("s").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    ranked = each.join(shared.hint("merge"), "s", "left").groupBy("right_key").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(1)).alias("df"), "at", "s"))).alias("cut"))
+    asked = ranked.select("right_key", F.inline(F.slice("cut", 1, FAR + 1))).select("right_key", "s", F.col("at").alias("right_at"))
+    asked = asked.join(b.drop("cut").hint("merge"), "right_key")
+    a = cut(left, "left_key", STRETCH * (FAR + 1) - FAR, 1).select("left_key", "left_key_n", "left_key_counts", F.inline("cut"))
+    common = reduce(lambda x, y: x + y, [F.least(F.col("left_key_counts")[i], F.col("right_key_counts")[i]) for i in range(COUNTS)])
+    fits = (F.abs(F.col("at") - F.col("right_at")) <= FAR) & (F.col("left_key_n") + F.col("right_key_n") - 2 * common <= FAR)
+    return a.join(asked.hint("merge"), "s").where(fits).select("left_key", "right_key").distinct()
+
+
 def index_pairs(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
     """(left_key, right_key) that may score ``threshold``, by an inverted index of characters, with their repeats, in order of frequency.
 

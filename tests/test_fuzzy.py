@@ -56,3 +56,39 @@ def test_rows_made_from_keys_are_never_broadcast(spark, tmp_path):
     for most in (1, 2):
         plan = lookup.near_pairs(keys, keys, most)._jdf.queryExecution().executedPlan().toString()
         assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_long_codes_meet_by_rare_stretches(spark, monkeypatch):
+    """Codes of the same characters, one changed and one added, find their own without the index of characters."""
+    counts, true = {}, {}
+    for n in (100, 400):
+        rng = random.Random(n)
+        true[n] = ["supplier code " + "".join(rng.choice("0123456789abcdef") for _ in range(40)) for _ in range(n)]
+        counts[n] = lookup.stretch_pairs(frame(spark, ["supplier_" + c[9:] + "!" for c in true[n]]), frame(spark, true[n])).count()
+        assert counts[n] < 2 * n
+    monkeypatch.setattr(lookup, "index_pairs", None)
+    found = lookup.fuzzy_matches(frame(spark, ["supplier_" + c[9:] + "!" for c in true[100]]), frame(spark, true[100]), 0.85).collect()
+    assert sorted(r["right_key"] for r in found) == sorted(true[100]) and all(r["left_key"][9:-1] == r["right_key"][9:] for r in found)
+
+
+@pytest.mark.parametrize("threshold", [0.85, 0.95])
+def test_long_keys_equal_brute_force(spark, threshold):
+    rng = random.Random(5)
+    word = lambda n: "".join(rng.choice("abcx ") for _ in range(n)).strip() + "z"
+    right = [word(rng.randint(18, 60)) for _ in range(60)]
+    right += [r[:k] + rng.choice("abcx") + r[k + 1 :] for r in right[:30] for k in [rng.randrange(len(r) - 1)]]
+
+    def typo(s):
+        for _ in range(rng.randint(1, 5)):
+            i = rng.randrange(len(s) - 1)
+            s = s[:i] + rng.choice(["", "x", "b", "q"]) + s[i + rng.randint(0, 1) :]
+        return s
+
+    left = {typo(rng.choice(right)) for _ in range(80)} - {""}
+    expected = set()
+    for x in left:
+        score, key = min((-(1.0 if x == y else SequenceMatcher(None, x, y).ratio()), y) for y in set(right))
+        if -score >= threshold:
+            expected.add((x, key, round(-score, 9)))
+    got = {(r["left_key"], r["right_key"], round(r["score"], 9)) for r in lookup.fuzzy_matches(frame(spark, left), frame(spark, right), threshold).collect()}
+    assert got == expected
