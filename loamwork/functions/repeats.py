@@ -53,8 +53,9 @@ def mark_repeats(df: DataFrame, keys: Sequence[Column], output: str) -> DataFram
 def mark_many(df: DataFrame, keys: Mapping[str, Sequence[Column]], known: Mapping[str, tuple[Column, DataFrame]] | None = None) -> DataFrame:
     """Adds, for each name in ``keys``, whether that key occurs in another row too (nulls are equal).
 
-    All keys share one shuffle of (key number, two hashes, row), the rows found are sent back as bit masks in one join: scans
-    and joins of the plan do not grow with the number of keys, and no wide row is moved more than once. The rows are
+    All keys share one shuffle of (key number, two hashes), which counts them and keeps a row of each: the rows whose key
+    occurs once are known from it, so no second shuffle looks for the others. They are sent back as bit masks in one join:
+    scans and joins of the plan do not grow with the number of keys, and no wide row is moved more than once. The rows are
     written first, as their numbers must be the same in all parts of the plan. Keys are compared by two 64-bit hashes.
 
     ``known``: for further names a key and a table whose one column holds the values to be found; they share the shuffle.
@@ -68,16 +69,20 @@ def mark_many(df: DataFrame, keys: Mapping[str, Sequence[Column]], known: Mappin
     hashes = [key_hashes(cells) for cells in keys.values()] + [key_hashes([c]) for c, _ in known.values()]
     entries = [F.struct(F.lit(i).alias("k"), a.alias("a"), b.alias("b")) for i, (a, b) in enumerate(hashes)]
     narrow = base.select(at, F.inline(F.array(*entries)))
-    found = narrow.where(F.col("k") < len(keys)).groupBy("k", "a", "b").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("k", "a", "b")
+    alone = narrow.where(F.col("k") < len(keys)).groupBy("k", "a", "b").agg(F.count(F.lit(1)).alias("n"), F.min(at).alias(at)).where("n = 1")
+    bits = alone.select(at, "k")
+    listed = None
     for i, (_, values) in enumerate(known.values(), len(keys)):
         a, b = key_hashes([F.col(f"`{values.columns[0]}`")])
-        found = found.union(values.distinct().select(F.lit(i).alias("k"), a.alias("a"), b.alias("b")))
+        one = values.distinct().select(F.lit(i).alias("k"), a.alias("a"), b.alias("b"))
+        listed = one if listed is None else listed.union(one)
+    if listed is not None:
+        bits = bits.union(narrow.where(F.col("k") >= len(keys)).join(listed, ["k", "a", "b"], "left_semi").select(at, "k"))
     words = range(-(-len(names) // _BITS))
     bit = F.expr(f"shiftleft(1L, k % {_BITS})")
     masks = [F.bit_or(F.when(F.floor(F.col("k") / _BITS) == w, bit).otherwise(F.lit(0).cast("long"))).alias(f"_mask{w}") for w in words]
-    hits = narrow.join(found, ["k", "a", "b"], "left_semi").groupBy(at).agg(*masks)
-    marked = base.join(hits, at, "left")
+    marked = base.join(bits.groupBy(at).agg(*masks), at, "left")
     for i, name in enumerate(names):
-        test = F.col(f"_mask{i // _BITS}").bitwiseAND(F.lit(1 << (i % _BITS))) != 0
-        marked = marked.withColumn(name, F.coalesce(test, F.lit(False)))
+        bit_set = F.coalesce(F.col(f"_mask{i // _BITS}").bitwiseAND(F.lit(1 << (i % _BITS))) != 0, F.lit(False))
+        marked = marked.withColumn(name, ~bit_set if i < len(keys) else bit_set)
     return marked.drop(at, *[f"_mask{w}" for w in words])

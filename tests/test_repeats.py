@@ -34,3 +34,19 @@ def test_known_values(spark):
     df = spark.createDataFrame([("a",), ("B",), (None,)], "v string")
     got = mark_many(df, {}, {"hit": (F.lower("v"), spark.createDataFrame([("b",), ("b",)], "low string"))})
     assert sorted((r["v"] or "", r["hit"]) for r in got.collect()) == [("", False), ("B", True), ("a", False)]
+
+
+def test_repeats_need_no_second_look_at_the_rows(spark):
+    """One count tells which rows are alone; the rows themselves are joined once, with the bits of each."""
+    df = spark.range(40).select(F.col("id"), (F.col("id") % 3).alias("a"))
+    marked = mark_many(df, {"again": [F.col("a")], "id_again": [F.col("id")]})
+    assert plan(marked)[1] == 1
+    assert marked.where("again and not id_again").count() == 40
+
+
+def test_only_wanted_issues_are_looked_for(spark):
+    df = spark.createDataFrame([(1, " x", -5.0), (1, " x", -5.0), (2, "", 7.0), (None, "", 7.0)], "row_id long, name string, amount double")
+    kept = lambda d: sorted(str([f for f in r["findings"] if f["issue"] in ("duplicate_key", "duplicate_row")]) for r in d.collect())
+    some, every = detect.detect(df, issues=("duplicate_key", "duplicate_row")), detect.detect(df)
+    assert {f["issue"] for r in some.collect() for f in r["findings"]} == {"duplicate_key", "duplicate_row"}
+    assert kept(some) == kept(every)
