@@ -29,6 +29,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays: the one of the smallest doc_id.
 
+    Groups come from SimHash (operator 8), each link checked on the shingles; an exact check of what it misses follows.
+
     Of rows that share a doc_id one stays, if none of them is in the group of another document. Rows without a doc_id go.
     """
     groups = materialize(near_duplicates(docs, k=5, similarity=0.8), "pipeline-groups")

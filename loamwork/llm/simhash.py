@@ -4,9 +4,10 @@ Two uses:
 
 * ``fingerprint_components``: 64-bit fingerprints of k-word shingles, linked at ``radius`` (2) or fewer differing bits, and
   their connected components. Exact.
-* ``near_duplicates``: groups of texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more. Such
-  texts differ in far more than two bits, and no fingerprint of fixed width finds all of them, so candidates come from
-  the shingles themselves. Exact.
+* ``near_duplicates``: groups of texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more. Texts
+  that the fingerprints link are grouped first, if their sets bear it out. Texts of that similarity may differ in far
+  more than two bits, and no fingerprint of fixed width finds all of them, so an exact check of all texts follows, whose
+  candidates come from the shingles themselves; it compares no two texts that are in one group by then. Exact.
 
 The first cuts a fingerprint into segments, enumerates the Hamming ball of radius 1 within each, fetches what the table
 of that segment holds there, and verifies the complete distance. Two values that differ in one bit are met from one side
@@ -130,7 +131,7 @@ def fingerprint_components(docs: DataFrame, k: int = 3) -> DataFrame:
 # Near duplicates
 
 #: Buckets of a parity sketch, and of the one folded from it that goes with every shared shingle.
-SKETCH, FOLD = 1024, 128
+SKETCH, FOLD = 1024, 256
 
 
 def shingle_hashes(text: bytes, k: int) -> np.ndarray:
@@ -179,9 +180,9 @@ def _frequent(docs: DataFrame, k: int, sample_texts: int = 20_000, most: int = 5
 
 
 def _prefixes(docs: DataFrame, k: int, similarity: float) -> DataFrame:
-    """(doc_id, node, size, keys, sketch, fold) of each row; node is a hash of the text, so equal texts are one node.
+    """(doc_id, node, fp, size, keys, sketch, fold) of each row; node is a hash of the text, so equal texts are one node.
 
-    size: of the set of shingles; keys: its prefix, for a text without words one fixed value.
+    fp: the fingerprint, as in ``fingerprints``; size: of the set of shingles; keys: its prefix, for a text without words one fixed value.
     """
     sent = docs.sparkSession.sparkContext.broadcast(_frequent(docs, k))
 
@@ -189,8 +190,9 @@ def _prefixes(docs: DataFrame, k: int, similarity: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, counts = sent.value
         for batch in pieces(batches, text_sizes, 4 << 20):
-            sizes, keys, sketches, folds = [], [], [], []
+            fps, sizes, keys, sketches, folds = [], [], [], [], []
             for t in rows_of(batch):
+                fps.append(simhash64(t))
                 h = shingle_hashes(t, k)
                 sizes.append(len(h))
                 sketches.append(parity_bits(h, SKETCH))
@@ -205,11 +207,11 @@ def _prefixes(docs: DataFrame, k: int, similarity: float) -> DataFrame:
                 keys.append(h[np.lexsort((h, rank))][: prefix_length(len(h), similarity)].view(np.int64))
             longs = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("node"), pa.array(sizes, pa.int64()), pa.array(keys, longs), pa.array(sketches, longs), pa.array(folds, longs)],
-                ["doc_id", "node", "size", "keys", "sketch", "fold"],
+                [batch.column("doc_id"), batch.column("node"), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(keys, longs), pa.array(sketches, longs), pa.array(folds, longs)],
+                ["doc_id", "node", "fp", "size", "keys", "sketch", "fold"],
             )
 
-    return _nodes_of(docs).mapInArrow(run, schema("doc_id long, node long, size long, keys array<long>, sketch array<long>, fold array<long>"))
+    return _nodes_of(docs).mapInArrow(run, schema("doc_id long, node long, fp long, size long, keys array<long>, sketch array<long>, fold array<long>"))
 
 
 def _nodes_of(docs: DataFrame) -> DataFrame:
@@ -286,11 +288,20 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, simil
 _PLACE = ("key", "low", "high")
 
 
+def _fingerprint_pairs(nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of texts that connect what the fingerprints link: texts of one with its first, first texts of linked ones."""
+    fps = materialize(nodes.groupBy("fp").agg(F.min("node").alias("first")), "near-fingerprints")
+    alike = nodes.select("node", "fp").join(fps, "fp").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    first = lambda side: fps.select(F.col("fp").alias(side), F.col("first").alias(f"first_{side}"))
+    linked = _links_within_two(fps.select("fp")).join(first("a"), "a").join(first("b"), "b")
+    return alike.union(linked.select(F.col("first_a").alias("a"), F.col("first_b").alias("b")))
+
+
 def _meetings(nodes: DataFrame) -> DataFrame:
-    """(key, n, node, pos, size, fold): the prefix shingles that more than one text has, and where in each they stand."""
+    """(key, n, node, pos, size, fold, root): the prefix shingles that more than one text has, and where in each they stand."""
     flat = nodes.select("node", F.posexplode("keys").alias("pos", "key"))
     shared = flat.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    return flat.join(shared, "key").join(nodes.select("node", "size", "fold"), "node").select("key", "n", "node", "pos", "size", "fold")
+    return flat.join(shared, "key").join(nodes.select("node", "size", "fold", "root"), "node").select("key", "n", "node", "pos", "size", "fold", "root")
 
 
 def _banded(crowd: DataFrame, similarity: float, ratio: float = 1.03) -> DataFrame:
@@ -306,7 +317,7 @@ def _banded(crowd: DataFrame, similarity: float, ratio: float = 1.03) -> DataFra
     smallest = lambda p: F.greatest(F.pow(F.lit(ratio), p.cast("double")) - F.lit(1e-6), size * F.lit(similarity))
     able = F.filter(partners, lambda p: (size == 0) | (size - F.col("pos") >= _least_overlap(size, smallest(p), similarity)))
     spread = crowd.withColumn("band", own).withColumn("partner", F.explode(able))
-    return spread.select("key", F.least("band", "partner").alias("low"), F.greatest("band", "partner").alias("high"), "node", "pos", "size", "fold")
+    return spread.select("key", F.least("band", "partner").alias("low"), F.greatest("band", "partner").alias("high"), "node", "pos", "size", "fold", "root")
 
 
 def _pivots(waiting: DataFrame, many: int) -> DataFrame:
@@ -316,41 +327,49 @@ def _pivots(waiting: DataFrame, many: int) -> DataFrame:
     """
     typical = Window.partitionBy(*_PLACE).orderBy(F.col("pos") / F.greatest("size", F.lit(1)), "node")
     first = waiting.withColumn("turn", F.row_number().over(typical)).where(F.col("turn") <= many)
-    return _side(first, "b", "size", "pos", "fold", *(["root"] if "root" in waiting.columns else []), by=_PLACE)
+    return _side(first, "b", "size", "pos", "fold", "root", by=_PLACE)
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8, pivots: int = 8) -> DataFrame:
-    """doc_id, group_id (smallest doc_id of the group), n_links (verified links of its text, exact copies aside).
+    """doc_id, group_id (smallest doc_id of the group), n_links (verified links of its text, exact copies aside; a lower bound).
 
     Equal texts (null is empty) are one node whatever their number. Texts without words form one group. Groups are those
     of all pairs with the similarity.
 
+    The texts that SimHash links are compared and grouped first; the exact check goes on from their groups.
+
     A place (a shingle, for shingles of over ``COMMON`` prefixes with the sizes of both sides) with up to ``COMMON`` texts
     gives all its pairs. A fuller one is worked off in rounds: the ``pivots`` most typical texts are compared with all
     others; then, of the texts outside the place's largest group so far, eight times as many are compared with all that
     aren't in their own group, and so on. A text that was asked leaves the place, and a place is done when its texts are
-    in one group. So no pair that could join two groups is left out, and ``n_links`` is a lower bound there: pairs known
-    to be in one group aren't compared.
+    in one group. So no pair that could join two groups is left out. Pairs known to be in one group aren't compared, so
+    ``n_links`` is a lower bound.
     """
     wide = materialize(_prefixes(docs, k, similarity), "near-prefixes")
-    firsts = [F.first(c).alias(c) for c in ("size", "keys", "sketch", "fold")]
+    firsts = [F.first(c).alias(c) for c in ("fp", "size", "keys", "sketch", "fold")]
     nodes = materialize(wide.groupBy("node").agg(F.min("doc_id").alias("least"), *firsts), "near-nodes")
-    met = materialize(_meetings(nodes), "near-meetings")
+    links = _verified(_close(_fingerprint_pairs(nodes), nodes, similarity), docs, nodes, k, similarity)
+    roots = _roots(links)
+    grouped = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    met = materialize(_meetings(grouped), "near-meetings")
     banded = materialize(_banded(met.where(F.col("n") > COMMON), similarity), "near-banded")
     places = materialize(banded.groupBy(*_PLACE).agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "near-places")
     small, full = (banded.join(bounded(places.where(c).select(*_PLACE)), list(_PLACE)) for c in (F.col("n") <= COMMON, F.col("n") > COMMON))
     waiting = materialize(full, "near-waiting")
 
     def pairs(members: DataFrame, others: DataFrame, by: tuple[str, ...]) -> DataFrame:
-        return _side(members, "a", "size", "pos", "fold", by=by).join(others, list(by)).where(_may_start_here(similarity)).select("a", "b")
+        met = _side(members, "a", "size", "pos", "fold", "root", by=by).join(others, list(by))
+        return met.where("root_a <> root_b").where(_may_start_here(similarity)).select("a", "b")
 
     asked = materialize(_pivots(waiting, pivots), "near-pivots")
     rare = met.where(F.col("n") <= COMMON)
-    candidates = pairs(rare, _side(rare, "b", "size", "pos", "fold", by=("key",)), ("key",)).where("a < b")
-    candidates = candidates.union(pairs(small, _side(small, "b", "size", "pos", "fold", by=_PLACE), _PLACE).where("a < b"))
-    links = _verified(_close(candidates.union(pairs(waiting, bounded(asked), _PLACE)), nodes, similarity), docs, nodes, k, similarity)
+    candidates = pairs(rare, _side(rare, "b", "size", "pos", "fold", "root", by=("key",)), ("key",)).where("a < b")
+    candidates = candidates.union(pairs(small, _side(small, "b", "size", "pos", "fold", "root", by=_PLACE), _PLACE).where("a < b"))
+    fresh = _verified(_close(candidates.union(pairs(waiting, bounded(asked), _PLACE)), nodes, similarity), docs, nodes, k, similarity)
     discard(met, banded, places)
-    roots = _roots(links)
+    if not fresh.isEmpty():
+        links = links.union(fresh)
+        roots = _roots(links)
     while True:
         before, waiting = waiting, materialize(_open_places(waiting, asked, roots), "near-waiting")
         discard(before, asked)
@@ -358,9 +377,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8, pivots
             break
         pivots *= 8
         asked = materialize(_pivots(waiting.where("root <> main"), pivots), "near-pivots")
-        met = _side(waiting, "a", "size", "pos", "fold", "root", by=_PLACE).join(bounded(asked), list(_PLACE))
-        found = met.where("root_a <> root_b").where(_may_start_here(similarity)).select("a", "b")
-        fresh = _verified(_close(found, nodes, similarity), docs, nodes, k, similarity)
+        fresh = _verified(_close(pairs(waiting, bounded(asked), _PLACE), nodes, similarity), docs, nodes, k, similarity)
         if not fresh.isEmpty():
             links = links.union(fresh)
             roots = _roots(links)

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 import xxhash
 from loamwork.llm.components import connected_components
@@ -133,3 +134,35 @@ def test_near_duplicates_of_drifting_copies(spark, common, monkeypatch):
     rng.shuffle(texts)
     found, want = groups_and_brute_force(spark, texts)
     assert found == want and len(set(want.values())) == 3
+
+
+def test_simhash_groups_come_first_and_are_not_compared_again(spark, monkeypatch):
+    """Texts that the fingerprints link make no candidates of the exact check; it finds what is further apart."""
+    from loamwork.llm import simhash
+
+    rng = random.Random(3)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(900)]
+    near = [" ".join(words[:i] + ["other"] + words[i + 1 :]) for i in (0, 899)]
+    far = " ".join(words[:820])
+    texts = [" ".join(words), *near, far, " ".join(f"v{rng.randrange(10**6)}" for _ in range(300))]
+    prints = [simhash.simhash64(t.encode()) for t in texts]
+    assert all((prints[0] ^ p).bit_count() <= 2 for p in prints[1:3]) and all((p ^ prints[3]).bit_count() > 2 for p in prints[:3])
+    asked, verified = [], simhash._verified
+
+    def seen(pairs, *more):
+        asked.append(pairs.count())
+        return verified(pairs, *more)
+
+    monkeypatch.setattr(simhash, "_verified", seen)
+    found = near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["group_id"] for r in found} == {0: 0, 1: 0, 2: 0, 3: 0, 4: 4}
+    assert asked[:2] == [2, 3]
+
+
+def test_sketches_tell_unlike_texts_of_usual_length_apart():
+    from loamwork.llm.simhash import FOLD, parity_bits
+
+    rng = np.random.default_rng(1)
+    bits = [parity_bits(rng.integers(0, 1 << 63, 330, dtype=np.uint64), FOLD) for _ in range(40)]
+    differ = [sum(((x ^ y) & (2**64 - 1)).bit_count() for x, y in zip(a, b)) for i, a in enumerate(bits) for b in bits[:i]]
+    assert min(differ) > 660 * 0.2 / 1.8
