@@ -6,6 +6,9 @@ stages but the last return the columns of their input. Counted as part of ``loam
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,15 +20,34 @@ from loamwork.llm.simhash import near_duplicates
 from loamwork.llm.suffixes import remove_repeats
 
 
+#: Texts make long rows. Batches of Spark's usual 4,096 rows (Parquet) and 10,000 rows (Arrow) would hold a whole file of
+#: them, in the JVM, outside its heap and in Python, for each task at once.
+BATCHES = {"spark.sql.parquet.columnarReaderBatchSize": 512, "spark.sql.execution.arrow.maxBytesPerBatch": 4 << 20}
+
+
+def in_small_batches(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """The stage, after its session got the settings of ``BATCHES``. They stay, as what a stage returns is run later."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        for name, value in BATCHES.items():
+            spark.conf.set(name, str(value))
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@in_small_batches
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go. It learns from labelled documents of the stage's input."""
     return quality.keep_good(docs, quality.train(docs, _table(spark, sf_dir, "labels")))
 
 
+@in_small_batches
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays: the one of the smallest doc_id.
 
@@ -43,6 +65,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return kept.join(bounded(twice), same, "left_anti").unionByName(kept.join(bounded(twice), same, "left_semi").dropDuplicates(["doc_id"]))
 
 
+@in_small_batches
 def repeated_string_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Strings of 200 bytes that occur more than once are cut out of the texts; n_chars follows. No document goes.
 
@@ -56,12 +79,14 @@ def repeated_string_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     return left.select(*[(text if c == "text" else counted if c == "n_chars" else F.col(f"column {i}")).alias(c) for i, c in enumerate(names)])
 
 
+@in_small_batches
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold ten words in a row of a benchmark item (or all of a shorter one) go."""
     dirty = contamination(docs, _table(spark, sf_dir, "benchmark")).where("contaminated").select(F.col("doc_id").alias("dirty_id")).distinct()
     return docs.join(bounded(materialize(dirty, "pipeline-dirty")), F.col("doc_id") == F.col("dirty_id"), "left_anti")
 
 
+@in_small_batches
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of 4096 token ids, as pieces of documents."""
     return pack(docs, default_tokenizer())

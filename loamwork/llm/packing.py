@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import id_and_text, materialize, pieces, rows_of, schema, shuffle_partitions, text_sizes, tidy, word_tokenizer
+from .shared import id_and_text, materialize, pieces, rows_of, schema, shuffle_partitions, text_sizes, tidy, tidy_with_words, word_tokenizer
 
 K1, B = 1.2, 0.75
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -145,7 +145,7 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int) -> tuple[DataFrame,
     (terms, counts), a row for each task: how many of its documents have each token.
     """
 
-    @tidy
+    @tidy_with_words
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = word_tokenizer(tokenizer)
         kind = np.dtype("<u2" if tok.code == "H" else "<u4")

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import id_and_text, materialize, pieces, rows_of, schema, shuffle_partitions, text_sizes, tidy, word_tokenizer
+from .shared import id_and_text, materialize, pieces, rows_of, schema, shuffle_partitions, text_sizes, tidy, tidy_with_words, word_tokenizer
 
 MAGIC = b"LMWSHD01"
 SAMPLE = 64
@@ -114,7 +114,7 @@ def write_token_shards(docs: DataFrame, tokenizer: str, end_id: int = 2, shard_i
     """
     width_limit = shard_ids * 4  # a byte of text gives an id at most, four of a wide one
 
-    @tidy
+    @tidy_with_words
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok, part = word_tokenizer(tokenizer), TaskContext.get().partitionId()
         width = 2 if tok.code == "H" else 4

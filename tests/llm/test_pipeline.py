@@ -3,9 +3,11 @@ import zlib
 
 import corpus_pipeline as cp
 import numpy as np
+import pyarrow as pa
 import pytest
-from loamwork.llm import quality
+from loamwork.llm import quality, shared
 from loamwork.llm.shared import default_tokenizer, materialize
+from pyspark.sql import functions as F
 
 from ..conftest import SF
 from .helpers import empty_documents, odd_documents
@@ -112,5 +114,32 @@ def test_odd_tables(spark):
         out.count()
 
 
+def test_stages_hold_few_texts_at_a_time(spark):
+    """A task of 40 MB of texts gets them in batches of some 4 MB, whichever stage is called."""
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], ["n"])
+
+    docs = spark.range(0, 8000, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("text "), 1000 + 0 * F.col("id").cast("int")).alias("text"))
+    before = {k: spark.conf.get(k) for k in cp.BATCHES}
+    for name, f in cp.STAGES:
+        for k in cp.BATCHES:
+            spark.conf.unset(k)
+        f(spark, empty_documents(spark), SF)
+        assert max(r["n"] for r in docs.mapInArrow(sizes, "n long").collect()) < 5 << 20, name
+        assert int(spark.conf.get("spark.sql.parquet.columnarReaderBatchSize")) <= 512
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def test_tasks_without_a_tokenizer_let_the_words_of_others_go():
+    shared.word_tokenizer(default_tokenizer()).encode([b"some words"])
+    list(shared.tidy_with_words(lambda batches: batches)(iter([])))
+    assert shared._tokenizers
+    list(shared.tidy(lambda batches: batches)(iter([])))
+    assert not shared._tokenizers
+
+
 def test_run(spark):
     assert cp.run(spark, SF).count() > 0 and len(cp.STAGES) == 5
