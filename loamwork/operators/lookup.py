@@ -40,6 +40,16 @@ def _keys(columns: Sequence[str], mode: str) -> Column:
     return F.when(~blank, whole)
 
 
+def _apart(df: DataFrame, key: str, by: Sequence[str]) -> DataFrame:
+    """``df`` with white space in place of each null of the column ``key``, as the columns ``by`` and the partition have it.
+
+    Nulls meet nothing, but a join on them brings them all to one task. White space meets nothing either, as no key is
+    blank, and goes to all tasks; a retried task makes the same.
+    """
+    digits = F.lpad(F.bin(F.pmod(F.xxhash64(F.spark_partition_id(), *[F.col(f"`{c}`") for c in by]), F.lit(1 << 16))), 16, "0")
+    return df.withColumn(key, F.coalesce(key, F.translate(digits, "01", " \t")))
+
+
 def _prepared(right: DataFrame, keys: Sequence[str], fields: Sequence[str], mode: str, policy: str, order_by, sep: str) -> DataFrame:
     """One row for each key: (_key, _n, fields...)."""
     keyed = right.select(_keys(keys, mode).alias("_key"), *[F.col(f"`{f}`").alias(f"_f{i}") for i, f in enumerate(fields)], F.struct(*order_of(right, order_by)).alias("_order")).where("_key is not null")
@@ -102,11 +112,12 @@ def lookup(
     keyed = left.withColumn("_key", _keys(lk, mode))
     if mode == "fuzzy":
         best = fuzzy_matches(keyed.select("_key"), table.select("_key"), threshold)
-        keyed = keyed.join(best.withColumnRenamed("left_key", "_key"), "_key", "left")
-        joined = keyed.withColumnRenamed("_key", "_left_key").join(table.withColumnRenamed("_key", "right_key"), "right_key", "left").withColumnRenamed("_left_key", "_key")
+        keyed = _apart(keyed, "_key", lk).join(best.withColumnRenamed("left_key", "_key"), "_key", "left")
+        keyed = _apart(keyed.withColumnRenamed("_key", "_left_key"), "right_key", ["_left_key"])
+        joined = keyed.join(table.withColumnRenamed("_key", "right_key"), "right_key", "left").withColumnRenamed("_left_key", "_key")
         confidence = F.coalesce(F.col("score"), F.lit(0.0))
     else:
-        joined = keyed.join(table, "_key", "left")
+        joined = _apart(keyed, "_key", lk).join(table, "_key", "left")
         confidence = F.when(F.col("_n").isNotNull(), F.lit(1.0)).otherwise(F.lit(0.0))
     matched, many = F.col("_n").isNotNull(), F.coalesce(F.col("_n") > 1, F.lit(False))
     if policy == "review":
@@ -118,7 +129,7 @@ def lookup(
         taken.add(name)
         out.append(F.col(f"_f{i}").alias(name))
     why = (
-        F.when(F.col("_key").isNull(), "blank key").when(~matched & F.lit(mode == "fuzzy"), "no candidate reaches the threshold").when(~matched, "no match")
+        F.when(strip(F.col("_key")) == "", "blank key").when(~matched & F.lit(mode == "fuzzy"), "no candidate reaches the threshold").when(~matched, "no match")
         .when(many & F.lit(policy == "review"), "several matches, first taken for review").when(F.lit(mode == "fuzzy") & (confidence < 1), "similar key").otherwise("matched")
     )
     for name, column in ((match_field, matched), (confidence_field, confidence), (explanation_field, why), (ambiguity_field, many)):

@@ -34,6 +34,27 @@ def test_lookups_keep_every_row(orders, customers, mode, policy):
         assert found["O2"] == {"first": ("Bob", 2, True), "list": ("Bob; Bea", "2; 3", True), "aggregate": ("Bob; Bea", 5.0, True), "review": ("Bob", 2, True)}[policy]
 
 
+@pytest.mark.parametrize("mode", ["exact", "fuzzy"])
+def test_blank_keys_do_not_meet_in_one_task(spark, mode):
+    """Rows without a partner are dealt out like others, are told apart from those with one, and match no odd key."""
+    plain = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in plain}
+    for k, v in plain.items():
+        spark.conf.set(k, v)
+    key = F.when(F.col("id") % 4 == 0, F.concat(F.lit("key number "), F.col("id").cast("string"))).when(F.col("id") % 4 == 1, " \t ")
+    left = spark.range(0, 4000, 1, 64).withColumn("k", key)
+    right = spark.createDataFrame([("key number 0", 1), (" \t", 2), ("", 3), (None, 4)], "k string, n int")
+    out = lookup.lookup(left, right, "k", "k", ["n"], mode=mode, threshold=0.99, order_by=["n"], match_field="found", explanation_field="why")
+    rows = out.select("id", "n", "found", "why", F.spark_partition_id().alias("part")).collect()
+    for k, v in before.items():
+        spark.conf.set(k, v)
+    assert len({r["id"] for r in rows}) == len(rows) == 4000
+    assert [(r["id"], r["n"]) for r in rows if r["found"]] == [(0, 1)] and {r["id"] % 4 for r in rows if r["why"] == "blank key"} == {1, 2, 3}
+    assert sum(r["why"] == "blank key" for r in rows) == 3000
+    blank = [r["part"] for r in rows if r["why"] == "blank key"]
+    assert max(blank.count(p) for p in set(blank)) < 1500
+
+
 def test_lookup_errors(orders, customers):
     with pytest.raises(lookup.DuplicateKeys, match="C2"):
         lookup.lookup(orders, customers, "customer_id", "customer_id", ["name"], policy="error", order_by=["n"])
