@@ -179,16 +179,50 @@ def _frequent(docs: DataFrame, k: int, sample_texts: int = 20_000, most: int = 5
     return keys[by], np.array([r["count"] for r in top], np.int64)[by]
 
 
+def _first_shingles(h: np.ndarray, known: np.ndarray, ranks: np.ndarray, similarity: float) -> np.ndarray:
+    """The prefix of a set in the order of ``ranks``: shingles that aren't ``known`` come first, ties by hash."""
+    rank = np.zeros(len(h), np.int64)
+    if len(known) and len(h):
+        at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+        rank = np.where(known[at] == h, ranks[at], 0)
+    return h[np.lexsort((h, rank))][: prefix_length(len(h), similarity)]
+
+
+def _order(docs: DataFrame, k: int, similarity: float, one_in: int = 8, most: int = 50_000) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that come late in the order, sorted, and their ranks.
+
+    After the frequent ones of a sample of bounded size come those that still crowd the prefixes. Prefixes are made of one
+    text in ``one_in`` to find them: of a share of the texts, so that as a table grows no more of its crowded shingles are
+    missed. Only their order matters.
+    """
+    known, ranks = _frequent(docs, k)
+    sent = docs.sparkSession.sparkContext.broadcast((known, ranks))
+
+    @tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, text_sizes, 4 << 20):
+            keys = [_first_shingles(shingle_hashes(t, k), *sent.value, similarity).view(np.int64) for t in rows_of(batch)]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(keys, pa.list_(pa.int64()))], ["node", "keys"])
+
+    drawn = _nodes_of(docs).where(F.pmod("node", F.lit(one_in)) == 0).select("node", "text").mapInArrow(run, schema("node long, keys array<long>"))
+    counts = drawn.groupBy("node").agg(F.first("keys").alias("keys")).select(F.explode("keys").alias("key")).groupBy("key").count()
+    top = counts.where(F.col("count") * one_in > COMMON // 2).orderBy(F.col("count").desc(), "key").limit(most).collect()
+    late = {r["key"]: (1 << 32) + r["count"] for r in top}
+    merged = dict(zip(known.view(np.int64).tolist(), ranks.tolist())) | late
+    keys = np.array(list(merged), np.int64).view(np.uint64)
+    by = np.argsort(keys)
+    return keys[by], np.array(list(merged.values()), np.int64)[by]
+
+
 def _prefixes(docs: DataFrame, k: int, similarity: float) -> DataFrame:
     """(doc_id, node, fp, size, keys, sketch, fold) of each row; node is a hash of the text, so equal texts are one node.
 
     fp: the fingerprint, as in ``fingerprints``; size: of the set of shingles; keys: its prefix, for a text without words one fixed value.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(_frequent(docs, k))
+    sent = docs.sparkSession.sparkContext.broadcast(_order(docs, k, similarity))
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, counts = sent.value
         for batch in pieces(batches, text_sizes, 4 << 20):
             fps, sizes, keys, sketches, folds = [], [], [], [], []
             for t in rows_of(batch):
@@ -197,14 +231,7 @@ def _prefixes(docs: DataFrame, k: int, similarity: float) -> DataFrame:
                 sizes.append(len(h))
                 sketches.append(parity_bits(h, SKETCH))
                 folds.append(parity_bits(h, FOLD))
-                if not len(h):
-                    keys.append([0])
-                    continue
-                rank = np.zeros(len(h), np.int64)
-                if len(known):
-                    at = np.minimum(np.searchsorted(known, h), len(known) - 1)
-                    rank = np.where(known[at] == h, counts[at], 0)
-                keys.append(h[np.lexsort((h, rank))][: prefix_length(len(h), similarity)].view(np.int64))
+                keys.append(_first_shingles(h, *sent.value, similarity).view(np.int64) if len(h) else [0])
             longs = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("node"), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(keys, longs), pa.array(sketches, longs), pa.array(folds, longs)],
@@ -305,18 +332,20 @@ def _meetings(nodes: DataFrame) -> DataFrame:
 
 
 def _banded(crowd: DataFrame, similarity: float, ratio: float = 1.03) -> DataFrame:
-    """Each member of a crowded shingle in a place for every band of sizes that a partner may have.
+    """Each member of a crowded shingle in a place for every band of sizes that a partner may have and that some member has.
 
     Against a partner of a given size a shingle counts only up to a certain position, so a text with many shingles of its
-    own before a common one is in few places or none.
+    own before a common one is in few places or none. Members of one band meet in that band's own place, so a place without
+    any of the other band would add nothing.
     """
     size, log = F.col("size"), math.log(ratio)
     band_of = lambda n: F.floor(F.log(F.greatest(n, F.lit(1.0))) / F.lit(log)).cast("int")
-    own = band_of(size.cast("double"))
+    own = crowd.withColumn("band", band_of(size.cast("double")))
+    present = materialize(own.groupBy("key").agg(F.collect_set("band").alias("bands")), "near-bands")
     partners = F.sequence(band_of(size * F.lit(similarity) - F.lit(1e-6)), band_of(size / F.lit(similarity)) + 1)
     smallest = lambda p: F.greatest(F.pow(F.lit(ratio), p.cast("double")) - F.lit(1e-6), size * F.lit(similarity))
-    able = F.filter(partners, lambda p: (size == 0) | (size - F.col("pos") >= _least_overlap(size, smallest(p), similarity)))
-    spread = crowd.withColumn("band", own).withColumn("partner", F.explode(able))
+    able = F.filter(F.array_intersect(partners, "bands"), lambda p: (size == 0) | (size - F.col("pos") >= _least_overlap(size, smallest(p), similarity)))
+    spread = own.join(bounded(present), "key").withColumn("partner", F.explode(able))
     return spread.select("key", F.least("band", "partner").alias("low"), F.greatest("band", "partner").alias("high"), "node", "pos", "size", "fold", "root")
 
 

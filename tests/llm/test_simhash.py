@@ -5,6 +5,7 @@ import pytest
 import xxhash
 from loamwork.llm.components import connected_components
 from loamwork.llm.simhash import _links_within_two, fingerprint_components, near_duplicates
+from pyspark.sql import functions as F
 
 from .helpers import WORD, ascii_lower, empty_documents, odd_documents
 
@@ -166,3 +167,28 @@ def test_sketches_tell_unlike_texts_of_usual_length_apart():
     bits = [parity_bits(rng.integers(0, 1 << 63, 330, dtype=np.uint64), FOLD) for _ in range(40)]
     differ = [sum(((x ^ y) & (2**64 - 1)).bit_count() for x, y in zip(a, b)) for i, a in enumerate(bits) for b in bits[:i]]
     assert min(differ) > 660 * 0.2 / 1.8
+
+
+def test_crowded_shingles_come_late_in_prefixes_however_few_texts_are_sampled(spark, monkeypatch):
+    from loamwork.llm import simhash
+
+    monkeypatch.setattr(simhash, "_frequent", lambda *_: (np.zeros(0, np.uint64), np.zeros(0, np.int64)))
+    rng = random.Random(11)
+    line = "this line is in all of them and crowds"
+    docs = spark.createDataFrame([(i, " ".join(words(rng, 30)) + " " + line) for i in range(400)], "doc_id long, text string")
+    common = set(simhash.shingle_hashes(line.encode(), 5).view(np.int64).tolist())
+    assert len(common) == 5 and not any(common & set(r["keys"]) for r in simhash._prefixes(docs, 5, 0.8).collect())
+
+
+def test_members_of_crowded_shingles_are_only_where_partners_may_be(spark):
+    """Of one size: once each. Of two sizes that may be alike: in two places each. The other bands hold nobody."""
+    from loamwork.llm import simhash
+
+    def banded(*sizes):
+        rows = [(7, i, 0, n, i) for i, n in enumerate(sizes)]
+        crowd = spark.createDataFrame(rows, "key long, node long, pos int, size long, root long").withColumn("fold", F.array(F.lit(0).cast("long")))
+        return {(r["low"], r["high"]): r["n"] for r in simhash._banded(crowd, 0.8).groupBy("low", "high").agg(F.count(F.lit(1)).alias("n")).collect()}
+
+    assert list(banded(*[396] * 50).values()) == [50]
+    assert sorted(banded(*[396] * 50, *[350] * 40).values()) == [40, 50, 90]
+    assert sorted(banded(*[396] * 50, *[200] * 40).values()) == [40, 50]
