@@ -10,6 +10,7 @@ import uuid
 from array import array
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -143,7 +144,7 @@ class WordTokenizer(dict):
     to the model.
     """
 
-    def __init__(self, path: str, keep: int = 400_000, longest: int = 64):
+    def __init__(self, path: str, keep: int = 1_000_000, longest: int = 64):
         from tokenizers import Tokenizer
 
         super().__init__()
@@ -187,7 +188,23 @@ class WordTokenizer(dict):
         if len(self) > self.keep // 2:
             self.old = dict(self)
             self.clear()
-        return [b"".join(map(self.__getitem__, self._lower(t).split())) for t in texts]
+        import pyarrow.compute as pc
+
+        lowered = pa.array([self._lower(t) for t in texts], pa.large_binary()).view(pa.large_string())
+        split = pc.ascii_split_whitespace(lowered)
+        words = split.flatten().view(pa.large_binary()).dictionary_encode()  # each different word is looked up once
+        known = list(map(self.__getitem__, words.dictionary.to_numpy(zero_copy_only=False).tolist()))
+        size = array(self.code).itemsize
+        pool, n = np.frombuffer(b"".join(known), f"<u{size}"), np.fromiter(map(len, known), np.int64, len(known)) // size
+        begin, codes = np.cumsum(n) - n, words.indices.to_numpy()
+        out, ends = [], [np.zeros(1, np.int64)]
+        for a in range(0, len(codes), 1 << 20):
+            part = codes[a : a + (1 << 20)]
+            end = np.cumsum(n[part])
+            out.append(pool[np.arange(end[-1]) + np.repeat(begin[part] - end + n[part], n[part])].tobytes())
+            ends.append(end + ends[-1][-1])
+        ids, ends = b"".join(out), np.concatenate(ends)[split.offsets.to_numpy()] * size
+        return [ids[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
 
     def _lower(self, text: bytes) -> bytes:
         if b"\xcc" in text or b"\xcd" in text or any(s[:2] in text for s in self.special):

@@ -68,3 +68,21 @@ def test_counts_equal_the_library_with_no_row_left_out(spark, tmp_path):
         from loamwork.llm.tokens import unigram_file_vocabulary
 
         unigram_file_vocabulary(default_tokenizer())
+
+
+def test_a_word_is_looked_up_once_a_batch():
+    """Also one too long to be remembered; white space of all kinds, none and bytes that are no UTF-8 change nothing."""
+    asked = []
+
+    class Counting(WordTokenizer):
+        def __missing__(self, word):
+            asked.append(word)
+            return super().__missing__(word)
+
+    path = default_tokenizer()
+    long, odd = b"ab" * 50, [b"", b" \t ", b" a\tb\x0bc\x0cd\r\n", b"\xff\xfe x", "é e\u0301 İ 中文\u3000x".encode(), b"x\x1cy"]
+    words, alone = Counting(path), WordTokenizer(path)
+    found = words.encode([long + b" " + long, *odd, b"A " + long])
+    assert asked.count(long) == 1
+    assert found == [alone[long] * 2, *(b"".join(alone[w] for w in alone._lower(t).split()) for t in odd), alone[b"a"] + alone[long]]
+    assert words.encode([]) == []
