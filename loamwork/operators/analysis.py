@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import is_blank, is_date_name, is_key_name, number, parse_date, strip
+from ..functions.text import is_blank, is_date_name, is_key_name, number, once, parse_date, strip
 from .rules import ISSUES, run_counts
-from .segments import exact_quantiles
+from .segments import exact_quantiles, exact_sum
 from .summarize import top_rows
 
 
@@ -59,23 +59,34 @@ def group_distribution(df: DataFrame, columns: Sequence[str] | None = None, top:
     return top_rows(cells.groupBy("dimension", "category").agg(F.count(F.lit(1)).alias("rows")), "rows", top, ["category"], ["dimension"])
 
 
-def numeric_summary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(field, n, total, mean, least, most, p90) of columns with two numbers at least, read as business numbers; rounded to 4.
-
-    Columns named as keys hold no measures; if there are no others the result is empty.
-    """
+def _measures(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``numeric_summary`` before it is rounded."""
     kinds, names = dict(df.dtypes), [c for c in columns if not is_key_name(c)]
     if not names:
         return df.sparkSession.createDataFrame([], "field string, n long, total double, mean double, least double, most double, p90 double")
+    numeric = {c: number(F.col(f"`{c}`"), "business") if kinds[c] == "string" else F.col(f"`{c}`") for c in names}
+    known = exact_quantiles(df, numeric, [0.0, 0.9, 1.0])
 
-    def one(c: str):
-        x = number(F.col(f"`{c}`"), "business") if kinds[c] == "string" else F.col(f"`{c}`").cast("double")
-        four = lambda v: F.round(v, 4)
-        return F.struct(F.lit(c).alias("field"), F.count(x).alias("n"), four(F.sum(x)).alias("total"), four(F.avg(x)).alias("mean"), four(F.min(x)).alias("least"), four(F.max(x)).alias("most"), four(F.lit(high[c][0]).cast("double")).alias("p90"))
+    def one(i: int, c: str):
+        x, (least, p90, most) = F.col(f"_v{i}"), known[c]
+        total = exact_sum(x, None if most is None else max(abs(least), abs(most)))
+        return F.struct(F.lit(c).alias("field"), F.count(x).alias("n"), total.alias("total"), F.try_divide(total, F.count(x)).alias("mean"), F.min(x).alias("least"), F.max(x).alias("most"), F.lit(p90).cast("double").alias("p90"))
 
-    numeric = {c: number(F.col(f"`{c}`"), "business") if kinds[c] == "string" else F.col(f"`{c}`") for c in names}
-    high = exact_quantiles(df, numeric, [0.9])
-    return df.agg(F.array(*map(one, names)).alias("a")).select(F.inline("a")).where("n >= 2")
+    read = df.select(*[x.cast("double").alias(f"_v{i}") for i, x in enumerate(numeric.values())])
+    return read.agg(F.array(*[one(i, c) for i, c in enumerate(numeric)]).alias("a")).select(F.inline("a")).where("n >= 2")
+
+
+def _four_decimals(measures: DataFrame) -> DataFrame:
+    return measures.select("field", "n", *[F.round(c, 4).alias(c) for c in ("total", "mean", "least", "most", "p90")])
+
+
+def numeric_summary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(field, n, total, mean, least, most, p90) of columns with two numbers at least, read as business numbers; rounded to 4.
+
+    Columns named as keys hold no measures; if there are no others the result is empty. Totals don't depend on the order
+    in which rows are added.
+    """
+    return _four_decimals(_measures(df, columns))
 
 
 def monthly_trend(df: DataFrame, column: str | None = None) -> DataFrame:
@@ -106,6 +117,25 @@ def _sentences(df: DataFrame, topic: str, pattern: str, *values) -> DataFrame:
     return df.select(F.lit(topic).alias("topic"), F.format_string(pattern, *[F.col(v) if isinstance(v, str) else v for v in values]).alias("finding"))
 
 
+def _two_decimals(c: Column) -> Column:
+    """A double's exact value to two decimals, an exact half to the even one, as ``printf`` of SQL and C writes it.
+
+    Java's formatter rounds the shortest text of a double, and its halves up. All steps here are exact: from 2**53 doubles
+    have no decimals, and below, the head of a fraction has 25 bits and its tail no more than 36 that count.
+    """
+
+    def cents(rest: Column) -> Column:
+        head = F.floor(rest * 2.0**25) / 2.0**25
+        low, over = F.floor(head * 100), head * 100 % 1.0 - 0.5 + (rest - head) * 100
+        return low + F.when((over > 0) | ((over == 0) & (low % 2 == 1)), 1).otherwise(0)
+
+    x = F.abs(c)
+    hundredths = F.floor(x) * 100 + once(x % 1.0, cents)
+    sign = F.when(c.cast("string").startswith("-"), "-").otherwise("")
+    text = F.concat(sign, (hundredths.cast("decimal(20,0)") / 100).cast("decimal(20,2)").cast("string"))
+    return F.when(x < 2.0**53, text).otherwise(F.format_string("%.2f", c))
+
+
 def findings(
     status: DataFrame, missing: DataFrame, exceptions: DataFrame, *, counts: DataFrame | None = None, matches: DataFrame | None = None, groups: DataFrame | None = None,
     numbers: DataFrame | None = None, trend: DataFrame | None = None, cross: DataFrame | None = None, points: DataFrame | None = None,
@@ -131,7 +161,7 @@ def findings(
     if groups is not None:
         out.append(_sentences(top_rows(groups, "rows", 1, ["category"], ["dimension"]), "groups", "%s is most often %s: %d rows", "dimension", "category", "rows"))
     if numbers is not None:
-        out.append(_sentences(numbers, "numbers", "%s: %d numbers from %.2f to %.2f, total %.2f, mean %.2f, nine in ten up to %.2f", "field", "n", "least", "most", "total", "mean", "p90"))
+        out.append(_sentences(numbers, "numbers", "%s: %d numbers from %s to %s, total %s, mean %s, nine in ten up to %s", "field", "n", *[_two_decimals(F.col(c)) for c in ("least", "most", "total", "mean", "p90")]))
     if trend is not None:
         ends = trend.agg(F.max_by(F.struct("month", "rows"), "month").alias("last"), F.max_by(F.struct("month", "rows"), F.struct(F.col("rows"), -F.regexp_replace("month", "-", "").cast("long"))).alias("top"))
         out.append(_sentences(ends.where("last is not null"), "trend", "the last month, %s, has %d rows; most, %d, are in %s", "last.month", "last.rows", "top.rows", "top.month"))
@@ -140,7 +170,7 @@ def findings(
     if points is not None:
         x, y = points.columns
         r = points.agg(F.count(F.lit(1)).alias("n"), F.corr(F.col(f"`{x}`").cast("double"), F.col(f"`{y}`").cast("double")).alias("r")).where("n > 1 and r is not null and not isnan(r)")
-        out.append(_sentences(r, "points", "%s and %s: correlation %.2f in %d points", F.lit(x), F.lit(y), "r", "n"))
+        out.append(_sentences(r, "points", "%s and %s: correlation %s in %d points", F.lit(x), F.lit(y), _two_decimals(F.col("r")), "n"))
     return reduce(DataFrame.unionByName, out)
 
 
@@ -161,7 +191,8 @@ def analyse(
     if relations is not None:
         made["matches"] = match_rates(relations)
     if measures:
-        made["numbers"] = numeric_summary(plain, measures)
+        measured = _measures(plain, measures)
+        made["numbers"] = _four_decimals(measured)
     if date or any(is_date_name(c) for c in plain.columns):
         made["trend"] = monthly_trend(plain, date)
     if dimension:
@@ -170,4 +201,5 @@ def analyse(
         if not order_by:
             raise ValueError("points need an order")
         made["points"] = scatter_points(plain, *points, order_by)
-    return {**made, "findings": findings(**made)}
+    told = {**made, "numbers": measured} if measures else made  # a number rounded twice may end on the wrong side
+    return {**made, "findings": findings(**told)}

@@ -7,6 +7,7 @@ of the range before starts from what is carried over.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -87,20 +88,21 @@ def exact_quantiles(df: DataFrame, values: Mapping[str, Column], probabilities:
     A sketch of fixed size brackets each quantile; the values below and inside each bracket are counted, and brackets with
     over ``most`` values are sketched again inside, all columns in one pass; then the distinct values inside are fetched.
     The sketch's rank error is 1 / ``accuracy`` at most, so a pass narrows a bracket some thousandfold, and no task or
-    driver holds more than the sketches and ``most`` values a bracket.
+    driver holds more than the sketches and ``most`` values a bracket. Least and greatest values (0 and 1) need no bracket.
     """
     names = [f"_v{i}" for i in range(len(values))]
     data = df.select(*[x.cast("double").alias(n) for n, x in zip(names, values.values())])
     if not names:
         return {}
-    slots = [(n, p) for n in names for p in probabilities]
+    inner = [p for p in probabilities if 0 < p < 1]
+    slots = [(n, p) for n in names for p in inner]
     spread = 2.0 / accuracy
     clip = lambda x: min(1.0, max(0.0, x))
-    first = data.agg(*[F.count(n).alias(f"{n}_n") for n in names], *[F.min(n).alias(f"{n}_lo") for n in names], *[F.max(n).alias(f"{n}_hi") for n in names], *[F.percentile_approx(n, [clip(p - spread), clip(p + spread)], accuracy).alias(f"{n}_{j}") for n in names for j, p in enumerate(probabilities)]).first()
+    first = data.agg(*[F.count(n).alias(f"{n}_n") for n in names], *[F.min(n).alias(f"{n}_lo") for n in names], *[F.max(n).alias(f"{n}_hi") for n in names], *[F.percentile_approx(n, [clip(p - spread), clip(p + spread)], accuracy).alias(f"{n}_{j}") for n in names for j, p in enumerate(inner)]).first()
     held = {n: first[f"{n}_n"] for n in names}
     bracket = {}
     for n in names:
-        for j, p in enumerate(probabilities):
+        for j, p in enumerate(inner):
             lo, hi = first[f"{n}_{j}"] or (None, None)
             few = held[n] <= max(most, accuracy)  # the ranks of a sketch are too coarse for so few
             bracket[n, p] = (first[f"{n}_lo"] if few or p <= spread else lo, first[f"{n}_hi"] if few or p >= 1 - spread else hi)
@@ -135,6 +137,9 @@ def exact_quantiles(df: DataFrame, values: Mapping[str, Column], probabilities:
             if not held[n]:
                 out[v].append(None)
                 continue
+            if p not in inner:
+                out[v].append(first[f"{n}_lo" if p <= 0 else f"{n}_hi"])
+                continue
             i = live.index((n, p))
             place = (held[n] - 1) * p
             upto, a, b = sums[f"below{i}"], None, None
@@ -145,3 +150,19 @@ def exact_quantiles(df: DataFrame, values: Mapping[str, Column], probabilities:
             b = above[f"a{i}"] if b is None else b
             out[v].append(a if b is None or place == int(place) else a + (b - a) * (place - int(place)))
     return out
+
+
+def exact_sum(x: Column, most: float | None) -> Column:
+    """Aggregate: the sum of doubles, the same in whatever order rows come; ``most`` is the greatest absolute value.
+
+    A double is a whole number of steps, of which ``most`` has 2**61 at least, and of parts, 2**60 a step; both are added as
+    decimals. What is less than a part is cut, at most 2**-121 of ``most`` a row. A sum that isn't finite is left to ``sum``.
+    """
+    places = min(62 - math.frexp(most or 0.0)[1], 1000)
+    scaled = x * F.lit(2.0**places)
+    added = lambda c: F.sum(F.floor(c).cast("decimal(20,0)"))
+    parts = added((scaled - F.floor(scaled)) * 2.0**60)
+    rest = parts % F.lit(1 << 60)
+    steps = added(scaled) + F.floor((parts - rest).cast("double") * 2.0**-60).cast("decimal(20,0)")
+    plain = F.sum(x)
+    return F.when(F.abs(plain) < math.inf, (steps.cast("double") + rest.cast("double") * 2.0**-60) * F.lit(2.0**-places)).otherwise(plain)
